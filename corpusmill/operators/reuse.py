@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..options import JobOptions
-from ..scale import BROADCAST_LIMIT_BYTES, cut, measured_bytes
+from ..scale import BROADCAST_LIMIT_BYTES, measured_bytes, stored
 
 CACHE_SCHEMA = (
     "fingerprint string, project string, rel_path string, content string, n_tokens bigint, "
@@ -90,7 +90,7 @@ def misses(files: DataFrame, cache: DataFrame) -> DataFrame:
     their keys are broadcast and the text of the others is never moved.
     """
     known = cache.select("fingerprint")
-    missing = cut(files.select("fingerprint").join(known, "fingerprint", "left_anti"))
+    missing = stored(files.select("fingerprint").join(known, "fingerprint", "left_anti"))
     if measured_bytes(missing) <= BROADCAST_LIMIT_BYTES:
         return files.join(F.broadcast(missing), "fingerprint", "left_semi")
     return files.join(known, "fingerprint", "left_anti")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fv
 from ..functions import names, pycode
 from ..options import JobOptions
-from ..scale import HOT_KEY_ROWS, spread_lookup
+from ..scale import HOT_KEY_ROWS, spread_lookup, stored
 
 _KEY = ["project", "dir"]
 
@@ -29,13 +29,12 @@ def _sort_key(path: Column) -> Column:
     return F.translate(path, "/", "\u0001")
 
 
-def _ancestors(path: Column, own: bool) -> Column:
-    """All leading parts of a path, shortest first; with or without itself."""
-    last = _depth(path) if own else _depth(path) - 1
-    steps = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(
-        F.array().cast("array<int>")
+def _ancestors(path: Column) -> Column:
+    """All leading parts of a path, shortest first, itself last."""
+    return F.transform(
+        F.sequence(F.lit(1), _depth(path)),
+        lambda i: F.call_function("substring_index", path, F.lit("/"), i),
     )
-    return F.transform(steps, lambda i: F.call_function("substring_index", path, F.lit("/"), i))
 
 
 def _file_stats(files: DataFrame) -> DataFrame:
@@ -48,13 +47,27 @@ def _file_stats(files: DataFrame) -> DataFrame:
     )
 
 
-def _all_dirs(stats: DataFrame) -> DataFrame:
-    """Every directory on the way to some file, once."""
-    return (
+def _folders(files: DataFrame) -> DataFrame:
+    """Every directory, the root included, with its last entry and their number.
+
+    ``(project, dir, last_child, n_children)``.  Only the first aggregation
+    touches file rows; the rest works on one row per directory.
+    """
+    stats = stored(_file_stats(files))
+    inner = (
         stats.where(F.col("dir") != "")
-        .select("project", F.explode(_ancestors(F.col("dir"), own=True)).alias("path"))
+        .select("project", F.explode(_ancestors(F.col("dir"))).alias("path"))
         .distinct()
     )
+    sub = inner.groupBy("project", names.directory(F.col("path")).alias("dir")).agg(
+        F.max(names.base_name(F.col("path"))).alias("last_child"),
+        F.count("*").alias("n_children"),
+    )
+    return stored(
+        stats.unionByName(sub)
+        .groupBy(*_KEY)
+        .agg(F.max("last_child").alias("last_child"), F.sum("n_children").alias("n_children"))
+    )
 
 
 def tree_nodes(files: DataFrame) -> DataFrame:
@@ -63,51 +76,39 @@ def tree_nodes(files: DataFrame) -> DataFrame:
     Empty directories never appear, as nodes come only from files.
     """
     path = F.col("path")
-    dirs = _all_dirs(_file_stats(files)).select("project", "path", F.lit("dir").alias("kind"))
+    dirs = (
+        _file_stats(files).where(F.col("dir") != "")
+        .select("project", F.explode(_ancestors(F.col("dir"))).alias("path"))
+        .distinct()
+        .select("project", "path", F.lit("dir").alias("kind"))
+    )
     leaves = files.select("project", F.col("rel_path").alias("path"), F.lit("file").alias("kind"))
     return dirs.unionByName(leaves).select("project", "path", _depth(path).alias("depth"), "kind")
 
 
-def _last_children(stats: DataFrame, dirs: DataFrame) -> DataFrame:
-    """Per directory: its last entry of any kind and its number of entries."""
-    sub = dirs.groupBy("project", names.directory(F.col("path")).alias("dir")).agg(
-        F.max(names.base_name(F.col("path"))).alias("last_child"),
-        F.count("*").alias("n_children"),
-    )
-    return (
-        stats.unionByName(sub)
-        .groupBy(*_KEY)
-        .agg(F.max("last_child").alias("last_child"), F.sum("n_children").alias("n_children"))
-    )
-
-
-def _dir_prefixes(dirs: DataFrame, last: DataFrame, hot_rows: int) -> DataFrame:
-    """Per directory: what stands before its own line and before its entries."""
-    flagged = spread_lookup(
-        dirs.withColumn("dir", names.directory(F.col("path"))),
-        last, _KEY, "path", "n_children", hot_rows,
-    ).select("project", "path", (names.base_name(F.col("path")) == F.col("last_child")).alias("is_last"))
-
+def _with_prefixes(folders: DataFrame, hot_rows: int) -> DataFrame:
+    """Add to every directory its own line and what stands before its entries."""
+    dirs = folders.where(F.col("dir") != "").select("project", F.col("dir").alias("path"))
     steps = dirs.select(
-        "project", F.col("path").alias("node"),
-        F.explode(_ancestors(F.col("path"), own=True)).alias("path"),
+        "project", F.col("path").alias("node"), F.explode(_ancestors(F.col("path"))).alias("path")
     )
     # A directory near the root is an ancestor of very many others.
-    weights = steps.groupBy("project", "path").agg(F.count("*").alias("n_below"))
-    bars = spread_lookup(
-        steps,
-        flagged.join(weights, ["project", "path"]),
-        ["project", "path"], "node", "n_below", hot_rows,
-    )
-    part = F.struct(
-        _depth(F.col("path")).alias("depth"),
-        F.col("is_last"),
-    )
-    # At most one element per level of the path, so the list stays short.
-    levels = F.sort_array(F.collect_list(part))
+    below = steps.groupBy("project", "path").agg(F.count("*").alias("n_below"))
+    flagged = stored(
+        spread_lookup(
+            below.withColumn("dir", names.directory(F.col("path"))),
+            folders, _KEY, "path", "n_children", hot_rows,
+        ).select(
+            "project", "path", "n_below",
+            (names.base_name(F.col("path")) == F.col("last_child")).alias("is_last"),
+        )
+    )
+    bars = spread_lookup(steps, flagged, ["project", "path"], "node", "n_below", hot_rows)
+    part = F.struct(_depth(F.col("path")).alias("depth"), F.col("is_last"))
     indent = lambda p: F.when(p["is_last"], fv.INDENT_CLOSED).otherwise(fv.INDENT_OPEN)
-    return (
-        bars.groupBy("project", "node").agg(levels.alias("levels"))
+    prefixes = (
+        # At most one element per level of the path, so the list stays short.
+        bars.groupBy("project", "node").agg(F.sort_array(F.collect_list(part)).alias("levels"))
         .select(
             "project",
             F.col("node").alias("dir"),
@@ -121,6 +122,7 @@ def _dir_prefixes(dirs: DataFrame, last: DataFrame, hot_rows: int) -> DataFrame:
             F.array_join(F.transform("levels", indent), "").alias("prefix"),
         )
     )
+    return stored(folders.join(prefixes, _KEY, "left"))
 
 
 def _branch(is_last: Column) -> Column:
@@ -134,23 +136,17 @@ def tree_lines(files: DataFrame, hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
     adds one line per symbol below its file (``ord`` 1, 2, ...).
     """
     with_symbols = "symbols" in files.columns
-    stats = _file_stats(files)
-    dirs = _all_dirs(stats)
-    last = _last_children(stats, dirs)
-    prefixes = _dir_prefixes(dirs, last, hot_rows)
-
-    dir_lines = prefixes.select(
+    folders = _with_prefixes(_folders(files), hot_rows)
+    dir_lines = folders.where(F.col("dir") != "").select(
         "project", F.col("dir").alias("path"), F.lit(0).alias("ord"), F.col("dir_line").alias("line")
     )
-
     entries = spread_lookup(
         files.select(
             "project", "rel_path",
             names.directory(F.col("rel_path")).alias("dir"),
             *(["symbols"] if with_symbols else []),
         ),
-        last.join(prefixes.drop("dir_line"), _KEY, "left"),
-        _KEY, "rel_path", "n_children", hot_rows,
+        folders.drop("dir_line"), _KEY, "rel_path", "n_children", hot_rows,
     )
     name = names.base_name(F.col("rel_path"))
     before = F.coalesce("prefix", F.lit(""))
@@ -204,5 +200,12 @@ def symbol_rows(files: DataFrame, source: str = "content") -> DataFrame:
     )
 
 
-def tree_line_counts(lines: DataFrame) -> DataFrame:
-    return lines.groupBy("project").agg(F.count("*").alias("tree_lines"))
+def tree_line_counts(files: DataFrame) -> DataFrame:
+    """Number of lines each tree will have, without rendering it."""
+    nodes = tree_nodes(files).groupBy("project").agg(F.count("*").alias("tree_lines"))
+    if "symbols" not in files.columns:
+        return nodes
+    extra = files.groupBy("project").agg(F.sum(F.size("symbols")).alias("n_symbols"))
+    return nodes.join(extra, "project").select(
+        "project", (F.col("tree_lines") + F.col("n_symbols")).alias("tree_lines")
+    )

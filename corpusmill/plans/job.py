@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -101,9 +102,13 @@ class Job:
         return self.results.select("project").distinct()
 
     @property
-    def tree(self) -> DataFrame:
+    def tree_files(self) -> DataFrame:
         columns = ["project", "rel_path"] + (["symbols"] if self.options.wants_symbols else [])
-        return tree.tree_lines(self.results.where("in_tree").select(*columns))
+        return self.results.where("in_tree").select(*columns)
+
+    @cached_property
+    def tree(self) -> DataFrame:
+        return tree.tree_lines(self.tree_files)
 
     @property
     def categories(self) -> DataFrame:
@@ -121,7 +126,7 @@ class Job:
 
     def summary(self, dry_run: bool = False) -> DataFrame:
         tokens = assembly.document_tokens(self.unified) if self.options.create_unified_file else None
-        lines = tree.tree_line_counts(self.tree) if self.options.generate_tree else None
+        lines = tree.tree_line_counts(self.tree_files) if self.options.generate_tree else None
         return counters.run_summary(self.counters, self.options, tokens, lines, dry_run)
 
 

@@ -158,7 +158,7 @@ SELECT f.project, f.rel_path FROM both_files f JOIN last l USING (project)
 WHERE NOT f.file_name LIKE '%.spec.ts'
   AND NOT regexp_matches(f.file_name, 'conf_.*\\.yaml$')
   AND NOT regexp_matches(f.file_name, '[ab]pp_' || l.last_id || '..*\\.js$')
-  AND len(list_filter(string_split(f.dir, '/'), x -> ends_with(x, 'd' || l.k))) = 0"""
+  AND len([x for x in string_split(f.dir, '/') if ends_with(x, 'd' || l.k)]) = 0"""
 
 ORACLES["filter_exclude"] = f"""
 WITH {_FILES} SELECT project, rel_path FROM files
@@ -269,8 +269,9 @@ found AS (
   UNION ALL SELECT project, rel_path, 0, 'error', NULL, 'Invalid AST (SyntaxError): invalid syntax (line 1)'
   FROM {src} WHERE ext IN ('.ts', '.js', '.java'))"""
 
-# Prose files are no Python either, but each fails with a message of its own,
-# which only the Python parser can tell; "symbols" therefore has no oracle.
+ORACLES["symbols"] = f"""
+WITH {_SCANNED}, shown AS (SELECT * FROM scanned WHERE in_tree), {_SYMBOLS.format(src='shown')}
+SELECT project, rel_path, CAST(ord AS BIGINT) AS ord, kind, parent, name FROM found"""
 
 # -- trees ------------------------------------------------------------------
 

@@ -281,7 +281,7 @@ def skeleton(spark, sf):
 
 @register
 def symbols(spark, sf):
-    rows = tree.symbol_rows(_named(spark, sf))
+    rows = tree.symbol_rows(_in_tree(spark, sf))
     return rows.withColumn("ord", F.col("ord").cast("bigint"))
 
 
@@ -314,7 +314,7 @@ def tree_symbols(spark, sf):
 
 @register
 def tree_line_counts(spark, sf):
-    return tree.tree_line_counts(tree.tree_lines(_in_tree(spark, sf)))
+    return tree.tree_line_counts(_in_tree(spark, sf))
 
 
 # -- tokens and cost --------------------------------------------------------

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,10 +33,15 @@ def shared_dir(spark: SparkSession) -> str:
     return current
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder once and go on from there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and go on from there.
+
+    Used where several later steps need the same small table: the work above is
+    done once, survives lost executors, and the planner knows the size.
+    """
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def measured_bytes(df: DataFrame) -> int:
@@ -46,12 +52,12 @@ def measured_bytes(df: DataFrame) -> int:
 
 
 def small_side(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> tuple[DataFrame, bool]:
-    """Materialise a lookup side and mark it for broadcast if it is small.
+    """Store a lookup side and mark it for broadcast if it is small.
 
     Returns the frame and whether it is small.  Beyond the limit the caller's
     join shuffles as usual.
     """
-    df = cut(df)
+    df = stored(df)
     small = measured_bytes(df) <= limit
     return (F.broadcast(df) if small else df), small
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import names
 from ..functions.text import read_text
 from ..options import JobOptions
-from ..scale import cut
+from ..scale import stored
 
 READ_TASK_BYTES = 128 * 1024 * 1024
 _BATCH_BYTES = 32 * 1024 * 1024
@@ -64,7 +64,7 @@ def list_tree(spark: SparkSession, root: str, exclude_patterns: tuple[str, ...])
     files: DataFrame | None = None
     while True:
         # Written down, so that a lost executor does not restart the walk.
-        entries = cut(level.mapInPandas(one_level, _ENTRY))
+        entries = stored(level.mapInPandas(one_level, _ENTRY))
         here = entries.where("not is_dir").drop("is_dir")
         files = here if files is None else files.unionByName(here)
         folders = entries.where(
