@@ -156,8 +156,8 @@ def _trim_closed_lines(text: Column) -> Column:
 
 
 def collapse_blank_lines(text: Column) -> Column:
-    text = F.regexp_replace(text, r"\n{3,}", "\n\n")
-    return F.regexp_replace(text, r"\A\n{2,}", "\n")
+    """Keep one of each run of blank lines, also at the very start."""
+    return F.regexp_replace(text, r"\n(?<=\n\n\n|\A\n\n)\n*", "")
 
 
 def minify(text: Column, ext: Column) -> Column:
@@ -167,8 +167,9 @@ def minify(text: Column, ext: Column) -> Column:
 
 
 def minify_whole(text: Column, ext: Column) -> Column:
-    """:func:`minify`, with all blanks and line feeds cut at the very end."""
-    return F.regexp_replace(minify(text, ext), rf"(?<![{BLANKS}\n])[{BLANKS}\n]++\z", "")
+    """:func:`minify`, without any blank or line feed at the very end."""
+    # Lines are trimmed already, so only line feeds can be left there.
+    return F.rtrim(minify(text, ext), F.lit("\n"))
 
 
 def reduction_percent(before: Column, after: Column) -> Column:

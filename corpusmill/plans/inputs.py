@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators import catalogue, reuse
 from ..options import JobOptions
+from ..sources.corpus import balanced
 
 USER, HOME = "dev", "/home/dev"
 OPTIONS = JobOptions(extensions=(".py", ".ts", ".js", ".java"), user_name=USER, home_dir=HOME)
@@ -55,14 +56,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Documents for work on their text, dealt out evenly when there are few."""
+    return balanced(table(spark, sf_dir, "documents").select(*columns))
+
+
 def edge_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents with secrets, paths and comments added around them."""
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir, "doc_id", "source", "lang", "text")
     return docs.select("doc_id", "source", "lang", _fill(EDGE_TEXT).alias("text"))
 
 
-def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One file per document: ``(project, rel_path, content, mtime, length, doc_id, lang, n_chars)``."""
+def files(spark: SparkSession, sf_dir: str, with_text: bool = False) -> DataFrame:
+    """One file per document: ``(project, rel_path, content, mtime, length, doc_id, lang, n_chars)``.
+
+    ``with_text`` says that the query will work on ``content``.
+    """
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    docs = texts(spark, sf_dir, *columns) if with_text else table(spark, sf_dir, "documents")
     doc = F.col("doc_id")
     digit = lambda n: doc % 10 == n
     number = doc.cast("string")
@@ -88,8 +99,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.col("text"))
     )
     return (
-        table(spark, sf_dir, "documents")
-        .withColumn("commented", F.replace("text", F.lit("\n"), F.lit("\n# ")))
+        docs.withColumn("commented", F.replace("text", F.lit("\n"), F.lit("\n# ")))
         .withColumn("slashed", F.replace("text", F.lit("\n"), F.lit("\n// ")))
         .select(
             F.col("source").alias("project"), path.alias("rel_path"), code.alias("content"),

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import names, pycode, text, tokens
 from ..operators import assembly, catalogue, costing, counters, filtering, reuse, tree
-from ..scale import shared_dir
-from ..sources.corpus import from_table
+from ..scale import shared_dir, stored
+from ..sources.corpus import balanced, from_table
 from ..streaming import ingest
 from . import inputs, job
 
@@ -27,8 +27,8 @@ def register(query: Query) -> Query:
     return query
 
 
-def _named(spark: SparkSession, sf: str) -> DataFrame:
-    return filtering.with_name_parts(inputs.files(spark, sf))
+def _named(spark: SparkSession, sf: str, with_text: bool = False) -> DataFrame:
+    return filtering.with_name_parts(inputs.files(spark, sf, with_text))
 
 
 def _edge(spark: SparkSession, sf: str, change: Callable[[Column], Column]) -> DataFrame:
@@ -52,9 +52,9 @@ def decode_text(spark, sf):
 @register
 def incremental_ingest(spark, sf):
     """The documents as a stream of files, each taken exactly once."""
-    stream = (
-        spark.readStream.schema(inputs.table(spark, sf, "documents").schema)
-        .parquet(f"{sf}/documents.parque[t]")
+    docs = inputs.table(spark, sf, "documents")
+    stream = balanced(
+        spark.readStream.schema(docs.schema).parquet(f"{sf}/documents.parque[t]"), size_of=docs
     )
     rows = from_table(
         stream.withColumn("path", F.concat(F.col("doc_id").cast("string"), F.lit(".py"))),
@@ -200,8 +200,7 @@ def redact_assignment(spark, sf):
 @register
 def redact_all(spark, sf):
     """All patterns over the documents as they are."""
-    docs = inputs.table(spark, sf, "documents").select("doc_id", "text")
-    return text.redact_column(docs, "text")
+    return text.redact_column(inputs.texts(spark, sf, "doc_id", "text"), "text")
 
 
 @register
@@ -227,7 +226,7 @@ def minify_slash(spark, sf):
 
 @register
 def minify_all(spark, sf):
-    return _named(spark, sf).select(*KEY, text.minify(F.col("content"), F.col("ext")).alias("content"))
+    return _named(spark, sf, with_text=True).select(*KEY, text.minify(F.col("content"), F.col("ext")).alias("content"))
 
 
 @register
@@ -237,7 +236,7 @@ def minify_whole(spark, sf):
 
 @register
 def minify_reduction(spark, sf):
-    small = _named(spark, sf).select(
+    small = _named(spark, sf, with_text=True).select(
         *KEY, "content", text.minify(F.col("content"), F.col("ext")).alias("small")
     )
     return small.select(*KEY, text.reduction_percent(F.col("content"), F.col("small")).alias("saved_percent"))
@@ -245,7 +244,7 @@ def minify_reduction(spark, sf):
 
 @register
 def transform_chain(spark, sf):
-    changed = text.transform_column(_named(spark, sf), CHAIN)
+    changed = text.transform_column(_named(spark, sf, with_text=True), CHAIN)
     return changed.select(*KEY, "content")
 
 
@@ -276,7 +275,7 @@ def checksum(spark, sf):
 @register
 def skeleton(spark, sf):
     outline = pycode.skeleton_where_python(F.col("content"), F.col("ext"))
-    return _named(spark, sf).select(*KEY, outline.alias("content"))
+    return _named(spark, sf, with_text=True).select(*KEY, outline.alias("content"))
 
 
 @register
@@ -288,7 +287,7 @@ def symbols(spark, sf):
 # -- trees ------------------------------------------------------------------
 
 def _in_tree(spark: SparkSession, sf: str, options=OPTIONS) -> DataFrame:
-    return filtering.scan(inputs.files(spark, sf), options).where("in_tree")
+    return filtering.scan(inputs.files(spark, sf, options.wants_symbols), options).where("in_tree")
 
 
 @register
@@ -337,7 +336,7 @@ def _byte_encoder():
 
 @register
 def tokens_bpe(spark, sf):
-    docs = inputs.table(spark, sf, "documents")
+    docs = inputs.texts(spark, sf, "doc_id", "text")
     return docs.select("doc_id", tokens.bpe_tokens(F.col("text"), _byte_encoder).alias("n_tokens"))
 
 
@@ -542,8 +541,7 @@ def target_counts(spark, sf):
 
 @register
 def run_summary(spark, sf):
-    whole = job.Job(job.process(inputs.files(spark, sf), OPTIONS), OPTIONS)
-    return whole.summary().select(
+    return _written(spark, sf).summary().select(
         "project", "processed", "skipped", "errors", "token_count", "tree_lines",
         F.array_join("generated", ",").alias("generated"),
     )
@@ -566,12 +564,13 @@ def _blocks(df: DataFrame) -> DataFrame:
 
 
 def _written(spark: SparkSession, sf: str) -> job.Job:
-    return job.Job(job.process(inputs.files(spark, sf), OPTIONS), OPTIONS)
+    """Results on disk, as in a run: transformed once, then read column by column."""
+    return job.Job(stored(job.process(inputs.files(spark, sf), OPTIONS)), OPTIONS)
 
 
 @register
 def entry_block(spark, sf):
-    written = _written(spark, sf).written
+    written = job.Job(job.process(inputs.files(spark, sf), OPTIONS), OPTIONS).written
     return written.select(*KEY, assembly.entry_block(F.col("rel_path"), F.col("content")).alias("block"))
 
 
@@ -609,7 +608,7 @@ def error_report(spark, sf):
 @register
 def context_price(spark, sf):
     """Redact, minify, count and price every document, per project and language."""
-    docs = inputs.table(spark, sf, "documents").select("source", "lang", "text")
+    docs = inputs.texts(spark, sf, "source", "lang", "text")
     clean = text.redact_column(docs, "text").withColumn("text", text.minify(F.col("text"), F.lit(".md")))
     used = clean.groupBy(F.col("source").alias("project"), "lang").agg(
         F.count("*").alias("n_files"), F.sum(tokens.heuristic_tokens(F.col("text"))).alias("n_tokens")
