@@ -11,8 +11,6 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # Rows are whole files, so a read split of 64 MB is already plenty of work.
     "spark.sql.files.maxPartitionBytes": str(64 * 1024 * 1024),
-    # Few rows per Arrow batch: a batch of large files must fit in a worker.
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
 
 

@@ -14,7 +14,8 @@ SF_TINY = "/root/testdata/sf0.001"
 def spark(tmp_path_factory):
     session = local_session(
         4, "tests",
-        **{"spark.sql.shuffle.partitions": "4",
+        # Many tiny jobs: compiling each stage would take longer than running it.
+        **{"spark.sql.shuffle.partitions": "4", "spark.sql.codegen.wholeStage": "false",
            "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared"))},
     )
     yield session

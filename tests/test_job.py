@@ -90,7 +90,7 @@ def test_whole_run(spark, app, tmp_path):
 
 def test_collision_overwrite_and_dry_run(spark, files_of, tmp_path):
     files = files_of({"a.py": "x = 1\n"})
-    options = JobOptions(output_base_dir=str(tmp_path))
+    options = JobOptions(output_base_dir=str(tmp_path), generate_tree=False)
     dry = job.run(files, options, dry_run=True)
     assert dry.ok and dry.outputs == [] and dry.planned == options.planned_outputs()
     assert not os.path.exists(dry.output_path)
@@ -135,7 +135,7 @@ def test_no_errors_no_report(spark, files_of, tmp_path):
 def test_second_run_reuses_results(spark, files_of, tmp_path):
     tree = {"logic.py": "def f():\n    return 1\n", "utils.py": "X = 2\n", "empty.py": ""}
     cache = reuse.ResultCache(spark, str(tmp_path / "cache"))
-    options = JobOptions(output_base_dir=str(tmp_path / "out"))
+    options = JobOptions(output_base_dir=str(tmp_path / "out"), create_individual_files=False, generate_tree=False)
 
     def counts(files, options):
         row = job.run(files, options, overwrite=True, cache=cache).summary.first()
