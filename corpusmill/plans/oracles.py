@@ -52,7 +52,7 @@ named AS (
       || '/d' || (doc_id % 7)
       || CASE WHEN doc_id % 10 IN (7, 8) THEN '/p' || doc_id ELSE '' END AS dir,
     replace(text, chr(10), chr(10) || '# ') AS commented,
-    replace(text, chr(10), chr(10) || '// ') AS slashed
+    replace(text, chr(10), chr(10) || '// # ') AS slashed
   FROM documents),
 files AS (
   SELECT source AS project, dir || '/' || file_name AS rel_path, dir, file_name,
