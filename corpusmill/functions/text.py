@@ -213,6 +213,6 @@ def checksum(content: Column) -> Column:
     return F.sha2(content, 256)
 
 
-def checksum_differs(content: Column, expected: Column) -> Column:
-    """True when a digest was given and does not match, ignoring case."""
-    return F.coalesce(checksum(content) != F.lower(F.nullif(expected, F.lit(""))), F.lit(False))
+def checksum_differs(digest: Column, expected: Column) -> Column:
+    """True when a digest was promised and does not match, ignoring case."""
+    return F.coalesce(F.lower(digest) != F.lower(F.nullif(expected, F.lit(""))), F.lit(False))

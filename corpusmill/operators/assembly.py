@@ -65,12 +65,14 @@ def category_blocks(processed: DataFrame) -> DataFrame:
 
 
 def unified_blocks(
-    projects: DataFrame, processed: DataFrame, tree: DataFrame | None = None
+    projects: DataFrame, processed: DataFrame, tree: DataFrame | None = None,
+    treeless: DataFrame | None = None,
 ) -> DataFrame:
     """All blocks of each project's unified document.
 
     Title, tree (if given), then modules, tests and resources; categories
-    without files are left out.  ``tree`` holds the rendered lines.
+    without files are left out.  ``tree`` holds the rendered lines, ``treeless``
+    names the projects that have none.
     """
     title = projects.select(
         "project", F.lit(TITLE).alias("section"), F.lit("").alias("sort_key"),
@@ -79,7 +81,7 @@ def unified_blocks(
     )
     blocks = title
     if tree is not None:
-        blocks = blocks.unionByName(_tree_blocks(projects, tree))
+        blocks = blocks.unionByName(_tree_blocks(projects, tree, treeless))
     categories = category_blocks(processed)
     tails = categories.where(F.col("ord") == _HEAD).select(
         "project", "section", F.lit(_LAST_KEY).alias("sort_key"),
@@ -88,7 +90,7 @@ def unified_blocks(
     return blocks.unionByName(categories.drop("target")).unionByName(tails)
 
 
-def _tree_blocks(projects: DataFrame, tree: DataFrame) -> DataFrame:
+def _tree_blocks(projects: DataFrame, tree: DataFrame, treeless: DataFrame | None) -> DataFrame:
     section = F.lit(TREE).alias("section")
     head = projects.select(
         "project", section, F.lit("").alias("sort_key"), F.lit(_HEAD).alias("ord"),
@@ -96,7 +98,9 @@ def _tree_blocks(projects: DataFrame, tree: DataFrame) -> DataFrame:
     )
     body = tree.select("project", section, "sort_key", "ord", F.col("line").alias("value"))
     # A project without a single node still has one, empty, line.
-    bare = projects.join(tree.select("project").distinct(), "project", "left_anti").select(
+    if treeless is None:
+        treeless = projects.join(tree.select("project").distinct(), "project", "left_anti")
+    bare = treeless.select(
         "project", section, F.lit("").alias("sort_key"), F.lit(_BODY).alias("ord"),
         F.lit("").alias("value"),
     )

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fv
 from ..functions import names
 from ..options import JobOptions
-from ..scale import small_side
+from ..scale import small_side, spread_lookup
 
 IGNORE_RX = "ignore_rx"
 
@@ -72,10 +72,16 @@ def with_ignore_patterns(files: DataFrame, mode: str = "basename_suffix") -> Dat
     """Give every file its project's ignore pattern (null where there is none).
 
     The rules are written down and measured first: joined by broadcast when
-    small, so that file content stays where it is.
+    small, so that file content stays where it is.  Rules of very many projects
+    are joined by shuffle, with the files of large projects spread out.
     """
-    rules, _ = small_side(ignore_patterns(files, mode))
-    return files.join(rules, "project", "left")
+    rules, small = small_side(ignore_patterns(files, mode))
+    if small:
+        return files.join(rules, "project", "left")
+    sizes = files.groupBy("project").agg(F.count("*").alias("n_files"))
+    return spread_lookup(
+        files, rules.join(sizes, "project"), ["project"], "rel_path", "n_files"
+    )
 
 
 # -- predicates -------------------------------------------------------------

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from ..options import JobOptions
 from ..scale import BROADCAST_LIMIT_BYTES, measured_bytes, stored
 
+KEY = ["project", "rel_path"]
 CACHE_SCHEMA = (
     "fingerprint string, project string, rel_path string, content string, n_tokens bigint, "
     "created_at timestamp, config_hash string"
@@ -31,16 +32,16 @@ def settings_fingerprint(
 
 def file_fingerprint(
     project: Column, rel_path: Column, mtime: Column, length: Column, config_hash: Column,
-    content: Column | None = None,
+    digest: Column | None = None,
 ) -> Column:
     """SHA-256 over a file's identity, state and settings.
 
-    With ``content`` the text's own digest joins in.  Without it a lookup never
-    reads the content column, at the price of trusting time and size.
+    ``digest`` is the SHA-256 of the text.  Without it a lookup never reads the
+    content column, at the price of trusting time and size.
     """
     parts = [project, rel_path, F.coalesce(F.unix_micros(mtime), F.lit(0)), length, config_hash]
-    if content is not None:
-        parts.append(F.sha2(content, 256))
+    if digest is not None:
+        parts.append(digest)
     return F.sha2(F.concat_ws("|", *[p.cast("string") for p in parts]), 256)
 
 
@@ -56,7 +57,7 @@ def with_fingerprint(files: DataFrame, options: JobOptions, digest: str = "conte
             F.col("mtime") if "mtime" in names else F.lit(None).cast("timestamp"),
             F.col("length") if "length" in names else F.octet_length("content"),
             F.lit(options.config_fingerprint()),
-            F.col("content") if digest == "content" else None,
+            F.sha2("content", 256) if digest == "content" else None,
         ),
     )
 
@@ -73,27 +74,44 @@ def newest(cache: DataFrame) -> DataFrame:
     return cache.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")
 
 
-def hits(files: DataFrame, cache: DataFrame) -> DataFrame:
+def hits(keys: DataFrame, cache: DataFrame) -> DataFrame:
     """Files whose result is stored, with that content and token count.
 
     Only the names of the files take part, never their raw text.
     """
-    stored = newest(cache).select("fingerprint", "content", "n_tokens")
-    keys = files.drop("content", "n_tokens")
-    return keys.join(stored, "fingerprint")
+    stored_rows = newest(cache).select("fingerprint", "content", "n_tokens")
+    return keys.drop("content", "n_tokens").join(stored_rows, "fingerprint")
 
 
-def misses(files: DataFrame, cache: DataFrame) -> DataFrame:
+def misses(files: DataFrame, cache: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """Files without a stored result, with all their columns.
 
-    The keys are compared first, without any text.  When few files are missing,
-    their keys are broadcast and the text of the others is never moved.
+    ``keys`` are the files' names and fingerprints; without them ``files`` has
+    to hold the fingerprint.  Keys are compared first, without any text.  When
+    few files are missing, their names are broadcast and no text is moved;
+    names are unique, so the join beyond that bound has no hot key.
     """
+    keys = files if keys is None else keys
     known = cache.select("fingerprint")
-    missing = stored(files.select("fingerprint").join(known, "fingerprint", "left_anti"))
+    missing = stored(
+        keys.select(*KEY, "fingerprint").join(known, "fingerprint", "left_anti").select(*KEY)
+    )
     if measured_bytes(missing) <= BROADCAST_LIMIT_BYTES:
-        return files.join(F.broadcast(missing), "fingerprint", "left_semi")
-    return files.join(known, "fingerprint", "left_anti")
+        missing = F.broadcast(missing)
+    return files.join(missing, KEY, "left_semi")
+
+
+def split(
+    files: DataFrame, cache: DataFrame, options: JobOptions, digest: str = "content"
+) -> tuple[DataFrame, DataFrame]:
+    """``(hits, misses)`` of files without fingerprints.
+
+    Every text is read and hashed once, to store the keys; after that only the
+    texts of missing files are read again.
+    """
+    keys = stored(with_fingerprint(files, options, digest).drop("content"))
+    fresh = with_fingerprint(misses(files, cache, keys), options, digest)
+    return hits(keys, cache), fresh
 
 
 def upsert(cache: DataFrame, fresh: DataFrame) -> DataFrame:

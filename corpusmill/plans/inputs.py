@@ -126,15 +126,21 @@ def earlier_results(spark: SparkSession, sf_dir: str, options: JobOptions = OPTI
 
     Those of quality 0 have changed since, so their fingerprints are outdated.
     """
-    state = files(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id")
+    # Hash first, so that the join moves digests instead of texts.
+    hashed = files(spark, sf_dir).withColumn("digest", F.sha2("content", 256)).drop("content")
+    state = hashed.join(table(spark, sf_dir, "labels"), "doc_id")
     then = F.when(F.col("quality") == 1, F.col("mtime")).otherwise(
         F.timestamp_micros(F.unix_micros("mtime") - 1_000_000)
     )
-    return reuse.with_fingerprint(state.withColumn("mtime", then), options).select(
-        "fingerprint", "project", "rel_path",
+    return state.select(
+        reuse.file_fingerprint(
+            F.col("project"), F.col("rel_path"), then, F.col("length"),
+            F.lit(options.config_fingerprint()), F.col("digest"),
+        ).alias("fingerprint"),
+        "project", "rel_path",
         F.concat(F.lit("stored "), F.col("doc_id").cast("string")).alias("content"),
         (F.col("n_chars") + F.col("toxic")).alias("n_tokens"),
-        F.col("mtime").alias("created_at"),
+        then.alias("created_at"),
     )
 
 

@@ -47,15 +47,18 @@ def process(
 
     taken = (F.col("status") == "process") & (F.col("target") != "skip")
     readable = F.col("error").isNull()
-    work = reuse.with_fingerprint(scanned.where(taken & readable), options, digest)
+    work = scanned.where(taken & readable)
 
-    fresh = work if cache is None else reuse.misses(work, cache)
+    if cache is None:
+        found, fresh = None, reuse.with_fingerprint(work, options, digest)
+    else:
+        found, fresh = reuse.split(work, cache, options, digest)
     fresh = transform_column(fresh, options).withColumn(
         "n_tokens", model_tokens(F.col("content"), options.target_model, vocabulary_dir)
     )
     done = _result(fresh, "ok", cached=False)
-    if cache is not None:
-        done = done.unionByName(_result(reuse.hits(work, cache), "ok", cached=True))
+    if found is not None:
+        done = done.unionByName(_result(found, "ok", cached=True))
 
     left_out = scanned.where(~(taken & readable)).select(
         "project", "rel_path",
@@ -116,9 +119,10 @@ class Job:
 
     @property
     def unified(self) -> DataFrame:
-        return assembly.unified_blocks(
-            self.projects, self.written, self.tree if self.options.generate_tree else None
-        )
+        if not self.options.generate_tree:
+            return assembly.unified_blocks(self.projects, self.written)
+        bare = self.results.groupBy("project").agg(F.bool_or("in_tree").alias("drawn")).where("not drawn")
+        return assembly.unified_blocks(self.projects, self.written, self.tree, bare.select("project"))
 
     @property
     def counters(self) -> DataFrame:

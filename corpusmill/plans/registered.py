@@ -263,10 +263,10 @@ def checksum(spark, sf):
     docs = inputs.table(spark, sf, "documents")
     labels = inputs.table(spark, sf, "labels").select("doc_id", "quality")
     # Documents judged good carry their own digest, the others a wrong one.
-    claimed = F.when(F.col("quality") == 1, F.upper(F.sha2("text", 256))).when(F.col("quality") == 0, F.sha2("lang", 256))
-    return docs.join(labels, "doc_id", "left").select(
-        "doc_id", text.checksum(F.col("text")).alias("sha256"),
-        text.checksum_differs(F.col("text"), claimed).alias("differs"),
+    sums = docs.select("doc_id", text.checksum(F.col("text")).alias("sha256"), F.sha2("lang", 256).alias("wrong"))
+    claimed = F.when(F.col("quality") == 1, F.upper("sha256")).when(F.col("quality") == 0, F.col("wrong"))
+    return sums.join(labels, "doc_id", "left").select(
+        "doc_id", "sha256", text.checksum_differs(F.col("sha256"), claimed).alias("differs")
     )
 
 
@@ -394,11 +394,10 @@ def cost_cached(spark, sf):
     """Stored counts of labelled documents win over current counts."""
     docs = inputs.table(spark, sf, "documents")
     labels = inputs.table(spark, sf, "labels")
-    rows = docs.join(labels, "doc_id", "left").select(
-        "doc_id",
-        costing.effective_tokens(
-            tokens.heuristic_tokens(F.col("text")), (F.col("quality") * 1000 - F.col("toxic")).cast("bigint")
-        ).alias("n_tokens"),
+    counted = docs.select("doc_id", tokens.heuristic_tokens(F.col("text")).alias("current"))
+    stored_count = (F.col("quality") * 1000 - F.col("toxic")).cast("bigint")
+    rows = counted.join(labels, "doc_id", "left").select(
+        "doc_id", costing.effective_tokens(F.col("current"), stored_count).alias("n_tokens")
     )
     return rows.withColumn("cost_usd", costing.cost(F.col("n_tokens"), F.lit(0.0025)))
 

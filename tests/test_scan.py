@@ -90,3 +90,12 @@ def test_stacks(files_of):
     assert got == [
         ("Makefile", "C / C++"), ("a.yaml", "Mobile (Swift/Dart)"), ("a.yaml", "Python Data"), ("a.yaml", "Shell / Ops"),
     ]
+
+
+def test_many_ignore_files_are_joined_by_shuffle(files_of, monkeypatch):
+    files = files_of({(f"p{i}", path): f"f{i}.py\n" for i in range(6) for path in (".gitignore", "f1.py", "f2.py", "g.py")})
+    expected = sorted(tuple(r) for r in filtering.with_ignore_patterns(files).collect())
+    monkeypatch.setattr(filtering, "small_side", lambda df: (df, False))
+    monkeypatch.setattr(filtering.spread_lookup, "__defaults__", (1,))
+    assert sorted(tuple(r) for r in filtering.with_ignore_patterns(files).collect()) == expected
+    assert len(expected) == 24

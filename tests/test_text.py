@@ -150,7 +150,7 @@ def test_checksums(spark):
     df = spark.createDataFrame(
         [("abc", digest.upper()), ("abc", "00"), ("abc", ""), ("abc", None)], "c string, e string"
     )
-    rows = df.select(T.checksum(F.col("c")), T.checksum_differs(F.col("c"), F.col("e"))).collect()
+    rows = df.select(T.checksum(F.col("c")), T.checksum_differs(T.checksum(F.col("c")), F.col("e"))).collect()
     assert [tuple(r) for r in rows] == [(digest, False), (digest, True), (digest, False), (digest, False)]
 
 
