@@ -1,12 +1,13 @@
 """Reuse of earlier results: fingerprints, lookups and the stored table.
 
 A file's fingerprint covers its path, time, size, content and the settings, so
-a stored result is valid exactly when its fingerprint is met again.  The table
-is partitioned by the settings' fingerprint: a lookup reads one partition.
+a stored result is valid exactly when its fingerprint is met again.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,10 +16,6 @@ from ..options import JobOptions
 from ..scale import BROADCAST_LIMIT_BYTES, measured_bytes, stored
 
 KEY = ["project", "rel_path"]
-CACHE_SCHEMA = (
-    "fingerprint string, project string, rel_path string, content string, n_tokens bigint, "
-    "created_at timestamp, config_hash string"
-)
 
 
 def settings_fingerprint(
@@ -127,67 +124,89 @@ def with_token_column(cache: DataFrame) -> DataFrame:
 
 
 class ResultCache:
-    """Stored results on shared storage, one version directory per rewrite.
+    """Stored results on shared storage, one bucketed table per setting.
+
+    Rows are bucketed by fingerprint: a lookup shuffles the keys of the files
+    and leaves the stored text where it is.  Results of a run are *appended*;
+    they are misses, so their fingerprints are new and unchanged rows are not
+    written again.  :meth:`compact` rewrites a table into a fresh version.
 
-    Results of a run are *appended*: they are misses, so their fingerprints are
-    new, and unchanged rows are not written again.  :meth:`compact` rewrites
-    the table into a fresh version after appends that overlapped.
+    ``buckets`` is fixed for a cache; about one per gigabyte of stored text.
     """
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
+    COLUMNS = (
+        "fingerprint string, project string, rel_path string, content string, n_tokens bigint, "
+        "created_at timestamp"
+    )
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 1024) -> None:
         self.spark = spark
         self.path = path.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path_class = jvm.org.apache.hadoop.fs.Path
+        self.buckets = buckets
+        self._path_class = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         root = self._path_class(self.path)
         self._fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        # External tables need an absolute place.
+        self.path = self._fs.makeQualified(root).toString()
 
-    def _versions(self) -> list[int]:
-        """Versions whose write finished, oldest first."""
-        root = self._path_class(self.path)
-        if not self._fs.exists(root):
+    def _children(self, folder: str) -> list[str]:
+        path = self._path_class(folder)
+        if not self._fs.exists(path):
             return []
-        found = []
-        for status in self._fs.listStatus(root):
-            name = status.getPath().getName()
-            done = self._path_class(status.getPath(), "_SUCCESS")
-            if name.startswith("v") and name[1:].isdigit() and self._fs.exists(done):
-                found.append(int(name[1:]))
-        return sorted(found)
-
-    def _dir(self, version: int) -> str:
-        return f"{self.path}/v{version}"
-
-    def read(self, options: JobOptions | None = None) -> DataFrame | None:
-        """Stored rows (of one setting, if given); None when there are none."""
-        versions = self._versions()
+        return [status.getPath().getName() for status in self._fs.listStatus(path)]
+
+    def _versions(self, config_hash: str) -> list[int]:
+        """Versions whose write finished, oldest first."""
+        folder = f"{self.path}/{config_hash}"
+        return sorted(
+            int(name[1:]) for name in self._children(folder)
+            if name[:1] == "v" and name[1:].isdigit()
+            and self._fs.exists(self._path_class(f"{folder}/{name}/_SUCCESS"))
+        )
+
+    def _table(self, config_hash: str, version: int) -> str:
+        """Name of the external table over one version, declared if need be."""
+        place = f"{self.path}/{config_hash}/v{version}"
+        name = f"corpusmill_results_{hashlib.md5(place.encode()).hexdigest()}"
+        self.spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {name} ({self.COLUMNS}) USING parquet "
+            f"CLUSTERED BY (fingerprint) SORTED BY (fingerprint) INTO {self.buckets} BUCKETS "
+            f"LOCATION '{place}'"
+        )
+        self.spark.catalog.refreshTable(name)
+        return name
+
+    def read(self, options: JobOptions) -> DataFrame | None:
+        """Stored rows of one setting; None when there are none."""
+        config_hash = options.config_fingerprint()
+        versions = self._versions(config_hash)
         if not versions:
             return None
-        rows = self.spark.read.schema(CACHE_SCHEMA).parquet(self._dir(versions[-1]))
-        if options is not None:
-            rows = rows.where(F.col("config_hash") == options.config_fingerprint())
+        rows = self.spark.table(self._table(config_hash, versions[-1]))
         return None if rows.select("fingerprint").isEmpty() else with_token_column(rows)
 
-    def _write(self, rows: DataFrame, version: int, mode: str) -> None:
-        rows.write.mode(mode).partitionBy("config_hash").parquet(self._dir(version))
+    def _write(self, rows: DataFrame, config_hash: str, version: int) -> None:
+        name = self._table(config_hash, version)
+        columns = [c.split()[0] for c in self.COLUMNS.split(", ")]
+        # Dealt out like the buckets, so that each task writes one file.
+        rows.select(*columns).repartition(self.buckets, "fingerprint").write.insertInto(name)
 
-    def append(self, rows: DataFrame) -> None:
-        versions = self._versions() or [1]
-        self._write(rows, versions[-1], "append")
+    def append(self, rows: DataFrame, options: JobOptions) -> None:
+        config_hash = options.config_fingerprint()
+        versions = self._versions(config_hash) or [1]
+        self._write(rows, config_hash, versions[-1])
 
-    def compact(self) -> None:
+    def compact(self, options: JobOptions) -> None:
         """Write the newest row per fingerprint to a new version and use that."""
-        versions = self._versions()
+        config_hash = options.config_fingerprint()
+        versions = self._versions(config_hash)
         if versions:
-            rows = self.spark.read.schema(CACHE_SCHEMA).parquet(self._dir(versions[-1]))
-            self._write(newest(rows), versions[-1] + 1, "overwrite")
+            rows = self.spark.table(self._table(config_hash, versions[-1]))
+            self._write(newest(rows), config_hash, versions[-1] + 1)
 
     def purge(self) -> None:
-        """Forget everything: an empty version takes over, older ones go."""
-        versions = self._versions()
-        if not versions:
-            return
-        empty = self.spark.createDataFrame([], CACHE_SCHEMA)
-        self._write(empty, versions[-1] + 1, "overwrite")
-        for version in versions:
-            self._fs.delete(self._path_class(self._dir(version)), True)
+        """Forget the results of all settings."""
+        for config_hash in self._children(self.path):
+            for version in self._versions(config_hash):
+                self.spark.sql(f"DROP TABLE IF EXISTS {self._table(config_hash, version)}")
+            self._fs.delete(self._path_class(f"{self.path}/{config_hash}"), True)

@@ -183,9 +183,8 @@ def run(
             fresh = job.results.where("status = 'ok' and not cached").select(
                 "fingerprint", "project", "rel_path", "content", "n_tokens",
                 F.current_timestamp().alias("created_at"),
-                F.lit(options.config_fingerprint()).alias("config_hash"),
             )
-            cache.append(fresh)
+            cache.append(fresh, options)
     return Report(
         True, out, existing=existing, outputs=outputs,
         planned=planned if dry_run else [], summary=job.summary(dry_run), job=job,

@@ -134,7 +134,7 @@ def test_no_errors_no_report(spark, files_of, tmp_path):
 
 def test_second_run_reuses_results(spark, files_of, tmp_path):
     tree = {"logic.py": "def f():\n    return 1\n", "utils.py": "X = 2\n", "empty.py": ""}
-    cache = reuse.ResultCache(spark, str(tmp_path / "cache"))
+    cache = reuse.ResultCache(spark, str(tmp_path / "cache"), buckets=4)
     options = JobOptions(output_base_dir=str(tmp_path / "out"), create_individual_files=False, generate_tree=False)
 
     def counts(files, options):

@@ -66,25 +66,55 @@ def test_newest_is_trimmed_before_the_shuffle(spark):
 
 def test_table_life_cycle(spark, tmp_path):
     options = JobOptions()
-    cache = reuse.ResultCache(spark, str(tmp_path / "cache"))
-    assert cache.read() is None
-    rows = lambda *r: spark.createDataFrame(list(r), CACHE).withColumn("config_hash", F.lit(options.config_fingerprint()))
-    cache.append(rows(stored_row("k1", "one"), stored_row("k2", "two")))
-    cache.append(rows(stored_row("k1", "one again", day=1)))
+    cache = reuse.ResultCache(spark, str(tmp_path / "cache"), buckets=4)
+    rows = lambda *r: spark.createDataFrame(list(r), CACHE)
+    assert cache.read(options) is None
+    cache.append(rows(stored_row("k1", "one"), stored_row("k2", "two")), options)
+    cache.append(rows(stored_row("k1", "one again", day=1)), options)
     assert cache.read(options).count() == 3
     assert cache.read(options.with_(minify_output=True)) is None
-    cache.compact()
-    assert {r.fingerprint: r.content for r in cache.read(options).collect()} == {"k1": "one again", "k2": "two"}
+    cache.compact(options)
+    expected = {"k1": "one again", "k2": "two"}
+    assert {r.fingerprint: r.content for r in cache.read(options).collect()} == expected
+    # Another session finds the same rows.
+    other = reuse.ResultCache(spark.newSession(), str(tmp_path / "cache"), buckets=4)
+    assert {r.fingerprint: r.content for r in other.read(options).collect()} == expected
     cache.purge()
-    assert cache.read() is None
-    cache.append(rows(stored_row("k3")))
+    assert cache.read(options) is None
+    cache.append(rows(stored_row("k3")), options)
     assert cache.read(options).count() == 1
 
 
-def test_tables_without_token_counts(spark, tmp_path):
+def test_unfinished_versions_are_ignored(spark, tmp_path):
     options = JobOptions()
-    old = spark.createDataFrame([stored_row("k1")], CACHE).drop("n_tokens").withColumn("config_hash", F.lit(options.config_fingerprint()))
-    cache = reuse.ResultCache(spark, str(tmp_path / "cache"))
-    cache.append(old)
-    assert cache.read(options).first().n_tokens == 0
+    cache = reuse.ResultCache(spark, str(tmp_path / "cache"), buckets=2)
+    cache.append(spark.createDataFrame([stored_row("k1")], CACHE), options)
+    (tmp_path / "cache" / options.config_fingerprint() / "v2").mkdir()
+    assert cache.read(options).count() == 1
+
+
+def test_lookup_leaves_stored_text_in_place(spark, tmp_path):
+    options = JobOptions()
+    cache = reuse.ResultCache(spark, str(tmp_path / "cache"), buckets=4)
+    cache.append(spark.createDataFrame([stored_row(f"k{i}") for i in range(40)], CACHE), options)
+    keys = spark.createDataFrame([(f"k{i}", "p", f"{i}.py") for i in range(20)], "fingerprint string, project string, rel_path string")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = reuse.hits(keys, cache.read(options))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert found.count() == 20
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    shuffles = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(shuffles) == 1 and "Bucketed: true" in plan
+    scan = next(i for i, line in enumerate(plan.splitlines()) if "Bucketed: true" in line)
+    shuffle = next(i for i, line in enumerate(plan.splitlines()) if "Exchange hashpartitioning" in line)
+    assert "Scan ExistingRDD" in "".join(plan.splitlines()[shuffle:scan])
+
+
+def test_rows_without_token_counts(spark):
+    old = spark.createDataFrame([stored_row("k1")], CACHE).drop("n_tokens")
     assert reuse.with_token_column(old).first().n_tokens == 0
+    new = spark.createDataFrame([stored_row("k2", tokens=None), stored_row("k3", tokens=3)], CACHE)
+    assert sorted(r.n_tokens for r in reuse.with_token_column(old.unionByName(new, allowMissingColumns=True)).collect()) == [0, 0, 3]
