@@ -187,21 +187,23 @@ def scan(files: DataFrame, options: JobOptions) -> DataFrame:
 
 # -- stacks -----------------------------------------------------------------
 
-def stack_table(spark: SparkSession) -> DataFrame:
-    """The technology presets as rows ``(stack, suffix)``: a fixed, small table."""
-    rows = [(stack, s) for stack, suffixes in fv.STACK_PRESETS.items() for s in suffixes]
-    return spark.createDataFrame(rows, "stack string, suffix string")
+def stacks_of(suffix: Column) -> Column:
+    """Names of the technology presets that list an extension or file name."""
+    listed: dict[str, list[str]] = {}
+    for stack, suffixes in fv.STACK_PRESETS.items():
+        for item in suffixes:
+            listed.setdefault(item, []).append(stack)
+    pairs = [(F.lit(item), F.array(*[F.lit(s) for s in names_])) for item, names_ in listed.items()]
+    return F.try_element_at(F.create_map(*[part for pair in pairs for part in pair]), suffix)
 
 
 def match_stacks(files: DataFrame) -> DataFrame:
-    """One row per file and stack that lists its extension or its whole name."""
-    presets = F.broadcast(stack_table(files.sparkSession))
-    # A suffix entry starts with a dot; names never equal an extension, since
-    # a name that is all suffix (".env") has no extension.
-    keys = F.array_distinct(F.array("ext", "file_name"))
-    return (
-        files.withColumn("suffix", F.explode(keys))
-        .where(F.col("suffix") != "")
-        .join(presets, "suffix")
-        .drop("suffix")
+    """One row per file and stack that lists its extension or its whole name.
+
+    The presets are a fixed, small map: no join is needed.
+    """
+    found = F.array_union(
+        F.coalesce(stacks_of(F.col("ext")), F.array().cast("array<string>")),
+        F.coalesce(stacks_of(F.col("file_name")), F.array().cast("array<string>")),
     )
+    return files.withColumn("stack", F.explode(found))

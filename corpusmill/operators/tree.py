@@ -4,8 +4,9 @@ A tree is never built as a nested object.  Rows carry ``sort_key``, the path
 with its slashes turned into the lowest character, so sorting by
 ``(project, sort_key, ord)`` gives pre-order with siblings by code point.
 
-Work is done per directory wherever possible, and file rows meet their
-directory in one join that splits directories with very many files.
+Work is done per directory wherever possible.  File rows meet their directory
+in one join: by broadcast if the table of directories measures small, else by
+shuffle, with directories of very many files split.
 """
 
 from __future__ import annotations
@@ -16,7 +17,9 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fv
 from ..functions import names, pycode
 from ..options import JobOptions
-from ..scale import HOT_KEY_ROWS, spread_lookup, stored
+from ..scale import (
+    BROADCAST_LIMIT_BYTES, HOT_KEY_ROWS, measured_bytes, small_side, spread_lookup, stored,
+)
 
 _KEY = ["project", "dir"]
 
@@ -47,13 +50,12 @@ def _file_stats(files: DataFrame) -> DataFrame:
     )
 
 
-def _folders(files: DataFrame) -> DataFrame:
+def _folders(stats: DataFrame) -> DataFrame:
     """Every directory, the root included, with its last entry and their number.
 
-    ``(project, dir, last_child, n_children)``.  Only the first aggregation
-    touches file rows; the rest works on one row per directory.
+    ``(project, dir, last_child, n_children)``, from one row per directory that
+    holds files.
     """
-    stats = stored(_file_stats(files))
     inner = (
         stats.where(F.col("dir") != "")
         .select("project", F.explode(_ancestors(F.col("dir"))).alias("path"))
@@ -63,7 +65,7 @@ def _folders(files: DataFrame) -> DataFrame:
         F.max(names.base_name(F.col("path"))).alias("last_child"),
         F.count("*").alias("n_children"),
     )
-    return stored(
+    return (
         stats.unionByName(sub)
         .groupBy(*_KEY)
         .agg(F.max("last_child").alias("last_child"), F.sum("n_children").alias("n_children"))
@@ -86,24 +88,34 @@ def tree_nodes(files: DataFrame) -> DataFrame:
     return dirs.unionByName(leaves).select("project", "path", _depth(path).alias("depth"), "kind")
 
 
-def _with_prefixes(folders: DataFrame, hot_rows: int) -> DataFrame:
-    """Add to every directory its own line and what stands before its entries."""
+def _with_prefixes(folders: DataFrame, hot_rows: int | None) -> DataFrame:
+    """Add to every directory its own line and what stands before its entries.
+
+    Without ``hot_rows`` the directories are few: plain joins, nothing stored.
+    """
+    few = hot_rows is None
+
+    def lookup(left, right, keys, spread_by, weight):
+        if few:
+            return left.join(right.drop(weight), keys, "left")
+        return spread_lookup(left, right, keys, spread_by, weight, hot_rows)
+
     dirs = folders.where(F.col("dir") != "").select("project", F.col("dir").alias("path"))
     steps = dirs.select(
         "project", F.col("path").alias("node"), F.explode(_ancestors(F.col("path"))).alias("path")
     )
     # A directory near the root is an ancestor of very many others.
     below = steps.groupBy("project", "path").agg(F.count("*").alias("n_below"))
-    flagged = stored(
-        spread_lookup(
-            below.withColumn("dir", names.directory(F.col("path"))),
-            folders, _KEY, "path", "n_children", hot_rows,
-        ).select(
-            "project", "path", "n_below",
-            (names.base_name(F.col("path")) == F.col("last_child")).alias("is_last"),
-        )
+    flagged = lookup(
+        below.withColumn("dir", names.directory(F.col("path"))),
+        folders, _KEY, "path", "n_children",
+    ).select(
+        "project", "path", "n_below",
+        (names.base_name(F.col("path")) == F.col("last_child")).alias("is_last"),
+    )
+    bars = lookup(
+        steps, flagged if few else stored(flagged), ["project", "path"], "node", "n_below"
     )
-    bars = spread_lookup(steps, flagged, ["project", "path"], "node", "n_below", hot_rows)
     part = F.struct(_depth(F.col("path")).alias("depth"), F.col("is_last"))
     indent = lambda p: F.when(p["is_last"], fv.INDENT_CLOSED).otherwise(fv.INDENT_OPEN)
     prefixes = (
@@ -122,32 +134,43 @@ def _with_prefixes(folders: DataFrame, hot_rows: int) -> DataFrame:
             F.array_join(F.transform("levels", indent), "").alias("prefix"),
         )
     )
-    return stored(folders.join(prefixes, _KEY, "left"))
+    return folders.join(prefixes, _KEY, "left")
 
 
 def _branch(is_last: Column) -> Column:
     return F.when(is_last, fv.BRANCH_LAST).otherwise(fv.BRANCH_MIDDLE)
 
 
-def tree_lines(files: DataFrame, hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
+def tree_lines(
+    files: DataFrame, hot_rows: int = HOT_KEY_ROWS, limit: int = BROADCAST_LIMIT_BYTES
+) -> DataFrame:
     """Rendered lines ``(project, sort_key, ord, path, line)``, unsorted.
 
     ``files`` holds the admitted files, with an optional ``symbols`` array that
-    adds one line per symbol below its file (``ord`` 1, 2, ...).
+    adds one line per symbol below its file (``ord`` 1, 2, ...).  Only the first
+    aggregation and the last join touch file rows.
     """
     with_symbols = "symbols" in files.columns
-    folders = _with_prefixes(_folders(files), hot_rows)
+    stats = stored(_file_stats(files))
+    if measured_bytes(stats) <= limit:
+        folders = _with_prefixes(_folders(stats), None)
+    else:
+        folders = _with_prefixes(stored(_folders(stats)), hot_rows)
+    folders, small = small_side(folders, limit)
     dir_lines = folders.where(F.col("dir") != "").select(
         "project", F.col("dir").alias("path"), F.lit(0).alias("ord"), F.col("dir_line").alias("line")
     )
-    entries = spread_lookup(
-        files.select(
-            "project", "rel_path",
-            names.directory(F.col("rel_path")).alias("dir"),
-            *(["symbols"] if with_symbols else []),
-        ),
-        folders.drop("dir_line"), _KEY, "rel_path", "n_children", hot_rows,
+    leaves = files.select(
+        "project", "rel_path",
+        names.directory(F.col("rel_path")).alias("dir"),
+        *(["symbols"] if with_symbols else []),
     )
+    if small:
+        entries = leaves.join(F.broadcast(folders.drop("dir_line", "n_children")), _KEY, "left")
+    else:
+        entries = spread_lookup(
+            leaves, folders.drop("dir_line"), _KEY, "rel_path", "n_children", hot_rows
+        )
     name = names.base_name(F.col("rel_path"))
     before = F.coalesce("prefix", F.lit(""))
     is_last = name == F.col("last_child")

@@ -55,11 +55,11 @@ def random_projects(seed):
     return projects
 
 
-@pytest.mark.parametrize("hot_rows", [1, 7, 1_000_000])
-def test_lines_match_recursive_renderer(files_of, hot_rows):
+@pytest.mark.parametrize("hot_rows, limit", [(1_000_000, 1 << 26), (1, 0), (7, 0), (1_000_000, 0)])
+def test_lines_match_recursive_renderer(files_of, hot_rows, limit):
     projects = random_projects(3)
     files = files_of({(p, path): "" for p, paths in projects.items() for path in paths})
-    got = drawn(tree.tree_lines(files, hot_rows))
+    got = drawn(tree.tree_lines(files, hot_rows, limit))
     assert got == {p: render(paths) for p, paths in projects.items()}
 
 
