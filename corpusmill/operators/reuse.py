@@ -7,13 +7,14 @@ a stored result is valid exactly when its fingerprint is met again.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..options import JobOptions
-from ..scale import BROADCAST_LIMIT_BYTES, measured_bytes, stored
+from ..scale import small_side, stored
 
 KEY = ["project", "rel_path"]
 
@@ -80,35 +81,38 @@ def hits(keys: DataFrame, cache: DataFrame) -> DataFrame:
     return keys.drop("content", "n_tokens").join(stored_rows, "fingerprint")
 
 
-def misses(files: DataFrame, cache: DataFrame, keys: DataFrame | None = None) -> DataFrame:
-    """Files without a stored result, with all their columns.
+def _missing(keys: DataFrame, cache: DataFrame) -> DataFrame:
+    """Names of files without a stored result, marked for broadcast if few.
 
-    ``keys`` are the files' names and fingerprints; without them ``files`` has
-    to hold the fingerprint.  Keys are compared first, without any text.  When
-    few files are missing, their names are broadcast and no text is moved;
-    names are unique, so the join beyond that bound has no hot key.
+    Compared by key alone, without any text.  Names are unique, so a join on
+    them has no hot key beyond that bound.
     """
-    keys = files if keys is None else keys
     known = cache.select("fingerprint")
-    missing = stored(
-        keys.select(*KEY, "fingerprint").join(known, "fingerprint", "left_anti").select(*KEY)
-    )
-    if measured_bytes(missing) <= BROADCAST_LIMIT_BYTES:
-        missing = F.broadcast(missing)
-    return files.join(missing, KEY, "left_semi")
+    names = keys.select(*KEY, "fingerprint").join(known, "fingerprint", "left_anti").select(*KEY)
+    return small_side(names.distinct())[0]
+
+
+def misses(files: DataFrame, cache: DataFrame) -> DataFrame:
+    """Files (with fingerprints) without a stored result, with all columns.
+
+    When few are missing, the text of the others is never moved.
+    """
+    return files.join(_missing(files, cache), KEY, "left_semi")
 
 
 def split(
-    files: DataFrame, cache: DataFrame, options: JobOptions, digest: str = "content"
+    files: DataFrame, cache: DataFrame, finish: Callable[[DataFrame], DataFrame]
 ) -> tuple[DataFrame, DataFrame]:
-    """``(hits, misses)`` of files without fingerprints.
+    """``(hits, rest)`` of files with a ``taken`` flag.
 
-    Every text is read and hashed once, to store the keys; after that only the
-    texts of missing files are read again.
+    ``finish`` adds fingerprints (and whatever a hit needs from its raw text).
+    It runs over all files once, to store the keys, and then over the rest:
+    taken files without a stored result, and files that are not taken.
     """
-    keys = stored(with_fingerprint(files, options, digest).drop("content"))
-    fresh = with_fingerprint(misses(files, cache, keys), options, digest)
-    return hits(keys, cache), fresh
+    keys = stored(finish(files).where("taken").drop("content"))
+    missing = _missing(keys, cache).withColumn("_missing", F.lit(True))
+    rest = files.join(missing, KEY, "left").where("not taken or _missing").drop("_missing")
+    return hits(keys, cache), finish(rest)
 
 
 def upsert(cache: DataFrame, fresh: DataFrame) -> DataFrame:

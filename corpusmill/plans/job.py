@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
+from ..functions.pycode import SYMBOL_TYPE
 from ..functions.text import transform_column
 from ..functions.tokens import model_tokens
 from ..operators import assembly, counters, filtering, reuse, tree
@@ -17,12 +18,6 @@ from ..options import JobOptions
 from ..scale import shared_dir
 from . import publish
 
-RESULT_COLUMNS = [
-    "project", "rel_path", "status", "target", "in_tree", "symbols", "cached",
-    "content", "n_tokens", "fingerprint", "error",
-]
-
-
 def process(
     files: DataFrame,
     options: JobOptions,
@@ -39,47 +34,43 @@ def process(
     if "error" not in files.columns:
         files = files.withColumn("error", F.lit(None).cast("string"))
     scanned = filtering.scan(files, options)
-    scanned = tree.with_symbols(scanned, options)
-    if "symbols" not in scanned.columns:
-        scanned = scanned.withColumn(
-            "symbols", F.lit(None).cast("array<struct<ord:int,kind:string,parent:string,name:string>>")
-        )
+    # Files that are not taken keep their row and lose their text, so that one
+    # pass over the corpus yields everything.
+    taken = (F.col("status") == "process") & (F.col("target") != "skip") & F.col("error").isNull()
+    marked = scanned.withColumn("taken", taken)
 
-    taken = (F.col("status") == "process") & (F.col("target") != "skip")
-    readable = F.col("error").isNull()
-    work = scanned.where(taken & readable)
+    def finish(df: DataFrame) -> DataFrame:
+        df = tree.with_symbols(df, options)
+        text = F.coalesce("content", F.lit(""))
+        df = df.withColumn("content", F.when(F.col("taken"), text))
+        return reuse.with_fingerprint(df, options, digest)
 
     if cache is None:
-        found, fresh = None, reuse.with_fingerprint(work, options, digest)
+        found, rest = None, finish(marked)
     else:
-        found, fresh = reuse.split(work, cache, options, digest)
-    fresh = transform_column(fresh, options).withColumn(
+        found, rest = reuse.split(marked, cache, finish)
+    fresh = transform_column(rest, options).withColumn(
         "n_tokens", model_tokens(F.col("content"), options.target_model, vocabulary_dir)
     )
-    done = _result(fresh, "ok", cached=False)
-    if found is not None:
-        done = done.unionByName(_result(found, "ok", cached=True))
+    done = _result(fresh, cached=False)
+    return done if found is None else done.unionByName(_result(found, cached=True))
 
-    left_out = scanned.where(~(taken & readable)).select(
-        "project", "rel_path",
-        F.when(F.col("status") == "skipped", "skipped")
+
+def _result(df: DataFrame, cached: bool) -> DataFrame:
+    if "symbols" not in df.columns:
+        df = df.withColumn("symbols", F.lit(None).cast(SYMBOL_TYPE))
+    fate = (
+        F.when(F.col("taken"), "ok")
+        .when(F.col("status") == "skipped", "skipped")
         .when(F.col("target") == "skip", "rejected")
-        .otherwise("failed").alias("status"),
-        "target", "in_tree", "symbols", F.lit(False).alias("cached"),
-        F.lit(None).cast("string").alias("content"),
-        F.lit(None).cast("bigint").alias("n_tokens"),
-        F.lit(None).cast("string").alias("fingerprint"),
-        F.when(F.col("status") == "skipped", F.lit(None))
-        .when(F.col("target") == "skip", fv.REJECTED_MESSAGE)
-        .otherwise(F.col("error")).alias("error"),
+        .otherwise("failed")
     )
-    return done.unionByName(left_out)
-
-
-def _result(df: DataFrame, status: str, cached: bool) -> DataFrame:
-    return (
-        df.withColumn("status", F.lit(status)).withColumn("cached", F.lit(cached))
-        .select(*RESULT_COLUMNS)
+    reason = F.when(fate == "rejected", fv.REJECTED_MESSAGE).when(fate == "failed", F.col("error"))
+    only_taken = lambda name: F.when(F.col("taken"), F.col(name)).alias(name)
+    return df.select(
+        "project", "rel_path", fate.alias("status"), "target", "in_tree", "symbols",
+        F.lit(cached).alias("cached"), "content", only_taken("n_tokens"),
+        only_taken("fingerprint"), reason.alias("error"),
     )
 
 

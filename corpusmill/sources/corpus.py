@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +52,8 @@ def from_binary(binary: DataFrame, root: str, project: str | None = None) -> Dat
 
     Below ``root`` the first folder names the project, unless one is given.
     """
+    if "://" not in root:
+        root = os.path.abspath(root)
     inside = F.regexp_replace("path", r"\A[a-z0-9+.-]+:/*(?=/)", "")
     local = "/" + root.split("://", 1)[-1].strip("/") + "/"
     below = F.call_function(

@@ -80,7 +80,9 @@ def read_directory(
 ) -> DataFrame:
     """Files table of one project directory.
 
-    A file that cannot be read keeps its row, with the reason in ``error``.
+    Each file is read once, into a table in the shared folder: later steps see
+    one state of the directory and read only the columns they need.  A file
+    that cannot be read keeps its row, with the reason in ``error``.
     """
     root = os.path.abspath(root)
     listed = list_tree(spark, root, options.exclude_patterns)
@@ -106,10 +108,10 @@ def read_directory(
 
     found = listed.repartition(int(tasks)).mapInPandas(read, _READ)
     name = project or os.path.basename(root.rstrip("/"))
-    return found.select(
+    return stored(found.select(
         F.lit(name).alias("project"), "rel_path", read_text(F.col("raw")).alias("content"),
         "mtime", "length", "error",
-    )
+    ))
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:

@@ -44,7 +44,7 @@ def test_hits_and_misses(spark):
 
 
 def test_misses_beyond_the_broadcast_bound(spark, monkeypatch):
-    monkeypatch.setattr(reuse, "BROADCAST_LIMIT_BYTES", 0)
+    monkeypatch.setattr(reuse, "small_side", lambda df: (df, False))
     files = spark.createDataFrame([("k1", "p", "a", "x"), ("k2", "p", "b", "y")], "fingerprint string, project string, rel_path string, content string")
     cache = spark.createDataFrame([stored_row("k1")], CACHE)
     assert [(r.fingerprint, r.content) for r in reuse.misses(files, cache).collect()] == [("k2", "y")]
