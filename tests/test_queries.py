@@ -5,8 +5,8 @@ import pytest
 import __spark_entry__ as contract
 from check import compare
 from conftest import SF_TINY
-
-QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
+from corpusmill.plans.oracles import ORACLES
+from corpusmill.plans.registered import QUERIES
 
 # Only these may hand rows to Python: they parse Python code or run an encoder.
 PYTHON = {"skeleton", "symbols", "tree_symbols", "tokens_bpe", "tokens_fallback"}
@@ -20,6 +20,7 @@ NAMES_ONLY = {
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(contract.queries()) and set(ORACLES) <= set(contract.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
