@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, mixing, quality_rules
+from . import fingerprints, mixing, packing, quality_rules, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op4_best_fit_packing(spark, sf_dir):
+    return packing.pack_documents(_documents(spark, sf_dir))
+
+
+def op5_token_counts(spark, sf_dir):
+    return token_counts.token_counts(_documents(spark, sf_dir))
+
+
 def op8_quality_rules(spark, sf_dir):
     return quality_rules.quality(_documents(spark, sf_dir))
 
@@ -28,6 +36,9 @@ def op10_fair_mix(spark, sf_dir):
     return mixing.fair_mix(_documents(spark, sf_dir)).drop("finish", "n_copies")
 
 
-QUERIES = {f.__name__: f for f in (op8_quality_rules, op9_simhash, op10_fair_mix)}
+QUERIES = {
+    f.__name__: f
+    for f in (op4_best_fit_packing, op5_token_counts, op8_quality_rules, op9_simhash, op10_fair_mix)
+}
 
 ORACLES: dict[str, str] = {}
