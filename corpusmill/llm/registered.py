@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, mixing, packing, quality_rules, token_counts
+from . import fingerprints, mixing, near_dedup, packing, quality_rules, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_minhash_dedup(spark, sf_dir):
+    return near_dedup.near_duplicates(_documents(spark, sf_dir), size=2)
+
+
 def op4_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(_documents(spark, sf_dir))
 
@@ -38,7 +42,7 @@ def op10_fair_mix(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (op4_best_fit_packing, op5_token_counts, op8_quality_rules, op9_simhash, op10_fair_mix)
+    for f in (op2_minhash_dedup, op4_best_fit_packing, op5_token_counts, op8_quality_rules, op9_simhash, op10_fair_mix)
 }
 
 ORACLES: dict[str, str] = {}
