@@ -5,17 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, mixing, near_dedup, packing, quality_rules, token_counts
+from . import fingerprints, language_id, line_dedup, mixing, near_dedup, packing, quality_rules, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_hyperdimensional_language(spark, sf_dir):
+    return language_id.identify(_documents(spark, sf_dir))
+
+
 def op2_minhash_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(_documents(spark, sf_dir), size=2)
 
 
+def op3_line_alignment(spark, sf_dir):
+    return line_dedup.drop_repeated_lines(_documents(spark, sf_dir))
+
+
 def op4_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(_documents(spark, sf_dir))
 
@@ -42,7 +50,10 @@ def op10_fair_mix(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_minhash_dedup, op4_best_fit_packing, op5_token_counts, op8_quality_rules, op9_simhash, op10_fair_mix)
+    for f in (
+        op1_hyperdimensional_language, op2_minhash_dedup, op3_line_alignment, op4_best_fit_packing, op5_token_counts,
+        op8_quality_rules, op9_simhash, op10_fair_mix,
+    )
 }
 
 ORACLES: dict[str, str] = {}
