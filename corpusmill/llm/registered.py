@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language_id, language_model, line_dedup, mixing, near_dedup, packing, quality_rules, token_counts
+from . import fingerprints, language_id, language_model, line_dedup, mixing, near_dedup, packing, quality_rules, secret_scan, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op6_context_tree(spark, sf_dir):
     return language_model.score(_documents(spark, sf_dir))
 
 
+def op7_secret_crf(spark, sf_dir):
+    return secret_scan.find_secrets(_documents(spark, sf_dir))
+
+
 def op8_quality_rules(spark, sf_dir):
     return quality_rules.quality(_documents(spark, sf_dir))
 
@@ -56,7 +60,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_hyperdimensional_language, op2_minhash_dedup, op3_line_alignment, op4_best_fit_packing, op5_token_counts,
-        op6_context_tree, op8_quality_rules, op9_simhash, op10_fair_mix,
+        op6_context_tree, op7_secret_crf, op8_quality_rules, op9_simhash, op10_fair_mix,
     )
 }
 
