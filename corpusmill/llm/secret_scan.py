@@ -38,6 +38,10 @@ WINDOW = 24
 RANGE = 1.5  # transition weights lie between -RANGE and RANGE
 OUT, BEGIN, INSIDE = 0, 1, 2
 
+#: (feature, value) set in copies of training windows: between ordinary words, and
+#: then without a telling word as well.
+PLAIN = (((4, 7), (6, 7)), ((4, 7), (5, 0), (6, 7)))
+
 STRONG = (b"password", b"passwd", b"pwd", b"passphrase", b"secret", b"token", b"apikey", b"api_key", b"credential")
 WEAK = (b"key", b"auth", b"bearer", b"authorization", b"private", b"access", b"login", b"signature", b"client_secret")
 
@@ -282,13 +286,22 @@ def _windows(texts: Texts, listed: list[str], keywords: _Keywords):
                 centres.append(int(own[0]))
         for c in centres[:9]:
             lo, hi = max(0, c - WINDOW), min(b - a, c + WINDOW)
-            yield codes[a + lo : a + hi], tag[lo:hi]
+            window, own = codes[a + lo : a + hi], tag[lo:hi]
+            yield window, own
+            if own.any():
+                # Patterns know secrets by what stands beside them; the field is to
+                # know them by their looks too, so it also sees these copies.
+                for plain in PLAIN:
+                    masked = window.copy()
+                    for k, value in plain:
+                        masked[own > 0, k] = value
+                    yield masked, own
 
 
 def learn(docs: DataFrame, text_col: str = "text", most_rows: int = TRAINING_ROWS) -> Field | None:
     """A field from a sample of about ``most_rows`` texts; None if it shows no secret.
 
-    Windows come to the driver: nine per text at most, of 48 tokens and 9 bytes
+    Windows come to the driver: 27 per text at most, of 48 tokens and 9 bytes
     per token, which bounds them by the sample.
     """
     total = docs.count()
