@@ -8,8 +8,9 @@ the similarity.  Bands of such places are bucket keys.
 
 Equal sets are one class from the start.  In a bucket, members are compared
 with a few centres only.  After a round, a bucket whose members still lie in
-different components gets new centres, and those that have served leave it, so
-in the end each pair of a bucket either was compared or lies in one component.
+different components gets new centres (each time ``GROWTH`` times as many), and
+those that have served leave it, so in the end each pair of a bucket either was
+compared or lies in one component, after a logarithmic number of rounds.
 Links count only when the full sets confirm them.
 """
 
@@ -27,6 +28,7 @@ from .texts import Texts, bounds, by_piece, list_array, mixed, shingles
 BANDS = 40
 ROWS = 6
 CENTRES = 4
+GROWTH = 8
 PERCENT = 80
 
 _U = np.uint64
@@ -147,6 +149,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, size:
 
 def _confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of ``edges(a, b)`` whose sets are similar enough."""
+    # Only the sets of these edges move.
+    ids = edges.select(F.col("a").alias("rep")).unionByName(edges.select(F.col("b").alias("rep"))).distinct()
+    sets = sets.join(small_side(ids)[0], "rep", "left_semi")
     left = sets.select(F.col("rep").alias("a"), F.col("elements").alias("x"))
     right = sets.select(F.col("rep").alias("b"), F.col("elements").alias("y"))
     shared = F.size(F.array_intersect("x", "y"))
@@ -174,9 +179,11 @@ def near_duplicates(
     rows_ = stored(_signed(docs, id_col, text_col, size, bands, rows, percent))
     named = rows_.where(f"`{id_col}` is not null and n_shingles > 0")
     classes = stored(
-        named.groupBy("name_a", "name_b").agg(F.min(id_col).alias("rep"), F.any_value("bands").alias("bands"))
+        named.groupBy("name_a", "name_b").agg(
+            F.min(id_col).alias("rep"), F.any_value("bands").alias("bands"), F.max("n_shingles").alias("n")
+        )
     )
-    placed = classes.select("rep", F.explode("bands").alias("key"))
+    placed = classes.select("rep", "n", F.explode("bands").alias("key"))
     shared = placed.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most")
     members = stored(placed.join(shared.select("key", "least"), "key"))
 
@@ -187,11 +194,11 @@ def near_duplicates(
     sets = stored(_sets(docs, members.select("rep").distinct(), id_col, text_col, size).dropDuplicates(["rep"]))
     links = stored(_confirmed(edges, sets, percent))
     tested, found = stored(edges), components(links)
-    live = members.select("key", "rep")
+    live = members.select("key", "rep", "n")
     while True:
         # Buckets whose members lie in different components get new centres.
         current = live.join(found, live["rep"] == found["node"], "left").select(
-            "key", "rep", F.coalesce("component", "rep").alias("component")
+            "key", "rep", "n", F.coalesce("component", "rep").alias("component")
         )
         split = current.groupBy("key").agg(
             F.min("component").alias("low"), F.max("component").alias("high")
@@ -201,14 +208,17 @@ def near_duplicates(
             break
         order = Window.partitionBy("key").orderBy("rep")
         served = current.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= centres)
-        served = stored(served.select("key", F.col("rep").alias("a"), F.col("component").alias("of")))
+        served = stored(served.select("key", F.col("rep").alias("a"), F.col("component").alias("of"), F.col("n").alias("m")))
+        centres *= GROWTH
+        # Sets whose sizes differ too much cannot be similar.
+        sized = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
         fresh = (
-            current.join(served, "key").where("rep != a and component != of")
+            current.join(served, "key").where(F.col("rep") != F.col("a")).where("component != of").where(sized)
             .select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
         )
         known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         fresh = stored(fresh.join(known, ["a", "b"], "left_anti"))
-        live = current.select("key", "rep").join(
+        live = current.select("key", "rep", "n").join(
             served.select("key", F.col("a").alias("rep")), ["key", "rep"], "left_anti"
         )
         if not fresh.isEmpty():
