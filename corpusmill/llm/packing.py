@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scale import stored
-from .texts import Texts, pieces
+from .texts import Lookup, Texts, pieces
 
 CAPACITY = 1024
 END_ID = 2
@@ -28,6 +28,7 @@ TOKENIZER = "byte_bpe_50k.json"
 GROUP_ITEMS = 100_000
 ROUNDS = 3
 CACHED_WORDS = 500_000
+PIECE_BYTES = 1 << 20
 
 
 # -- token ids --------------------------------------------------------------
@@ -49,7 +50,29 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = np.zeros(0x110000, np.uint8)
-        self.cache: dict[int, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """Start the cache of pre-tokens afresh: keys to numbers, numbers to ids."""
+        self.known = Lookup(np.zeros(0, np.uint64), np.zeros(0, np.int32), CACHED_WORDS)
+        self.first, self.size = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.ids = np.zeros(0, np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
+
+    def _learn(self, texts: Texts, h: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
+        """Encode pre-tokens that are not known yet."""
+        keys, first = np.unique(h, return_index=True)
+        raw = texts.data.tobytes()
+        sizes, ids = [], []
+        for a in range(0, len(keys), 4096):
+            words = [raw[begin[i] : end[i]].decode() for i in first[a : a + 4096]]
+            for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False):
+                sizes.append(len(e.ids))
+                ids.extend(e.ids)
+        sizes = np.array(sizes, np.int32)
+        self.known.add(keys, np.arange(len(self.size), len(self.size) + len(keys), dtype=np.int32))
+        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(sizes, dtype=np.int32) - sizes])
+        self.size = np.concatenate([self.size, sizes])
+        self.ids = np.concatenate([self.ids, np.array(ids, self.ids.dtype)])
 
     def _classify(self, codes: np.ndarray) -> None:
         split = self.tokenizer.pre_tokenizer.pre_tokenize_str
@@ -112,24 +135,16 @@ class Encoder:
         begin, owner = self.starts(texts)
         end = np.append(begin[1:], len(texts.data))
         h = texts.hashes(begin, end)
-        unique, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        keys = unique.tolist()
-        if len(self.cache) + len(keys) > CACHED_WORDS:
-            self.cache = {}
-        cache = self.cache
-        missing = [i for i, k in enumerate(keys) if k not in cache]
-        if missing:
-            raw = texts.data.tobytes()
-            words = [raw[begin[first[i]] : end[first[i]]].decode() for i in missing]
-            for i, e in zip(missing, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
-                cache[keys[i]] = np.array(e.ids, np.uint32).tobytes()
-        parts = [cache[k] for k in keys]
-        size = np.array([len(p) for p in parts], np.int64) // 4
-        flat = np.frombuffer(b"".join(parts), np.uint32)
-        at = np.cumsum(size) - size
-        lens = size[inverse]
+        number, hit = self.known.find(h)
+        if not hit.all():
+            if self.known.size + int((~hit).sum()) > CACHED_WORDS:
+                self._forget()
+                hit[:] = False
+            self._learn(texts, h[~hit], begin[~hit], end[~hit])
+            number, _ = self.known.find(h)
+        lens = self.size[number].astype(np.int64)
         stop = np.cumsum(lens)
-        ids = flat[np.repeat(at[inverse] - (stop - lens), lens) + np.arange(int(stop[-1]))]
+        ids = self.ids[np.repeat(self.first[number] - (stop - lens), lens) + np.arange(int(stop[-1]))].astype(np.uint32)
         counts = np.bincount(owner, weights=lens, minlength=n).astype(np.int64)
         # Names of special tokens inside a text are that token to the library.
         raw = None
@@ -178,7 +193,7 @@ def token_pieces(
         encoder = _encoder(public_tokenizers.path(tokenizer))
         uid = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for part in pieces(batch, text_col):
+            for part in pieces(batch, text_col, PIECE_BYTES):
                 ids, counts = encoder.encode(part.column(1))
                 stops = np.cumsum(counts)
                 row, number, start, length, crc = [], [], [], [], []

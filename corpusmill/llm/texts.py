@@ -182,13 +182,22 @@ def list_array(values: np.ndarray, starts: np.ndarray) -> pa.ListArray:
 
 
 class Lookup:
-    """A fixed map from 64-bit keys to numbers, for whole arrays at a time."""
+    """A map from 64-bit keys to numbers, for whole arrays at a time.
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
-        self.bits = max(4, int(2 * len(keys)).bit_length())
+    ``room`` is how many keys it can take; the given ones must be distinct.
+    """
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, room: int = 0) -> None:
+        self.bits = max(4, int(2 * max(room, len(keys))).bit_length())
         self.keys = np.zeros(1 << self.bits, np.uint64)
         self.used = np.zeros(1 << self.bits, bool)
         self.values = np.zeros(1 << self.bits, values.dtype)
+        self.size = 0
+        self.add(keys, values)
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Take in new keys, none of which is known yet."""
+        self.size += len(keys)
         left, at = np.arange(len(keys)), self._home(keys)
         while len(left):
             free = ~self.used[at]
