@@ -195,12 +195,13 @@ def learn(labelled: DataFrame, text_col: str = "text", label_col: str = "lang",
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text",
-            dimensions: int = DIMENSIONS, n: int = N) -> DataFrame:
-    """Id, ``lang_pred`` and ``score`` (the cosine, 0 to 1) of every row.
+            dimensions: int = DIMENSIONS, n: int = N, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Id, ``lang_pred`` and ``score`` (the cosine, 0 to 1) of every row, and its ``carry`` columns.
 
     Null and empty texts and texts without letters are ``und`` with score 0, as
     are all when no language was learned.  Ties go to the first language by
-    name.  Repeated rows each get their row; other columns are left out.
+    name.  Repeated rows each get their row; columns that are not
+    carried are left out.
     """
     names, prototypes = model
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -209,7 +210,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
 
     def run(batches):
         profiler = Profiler(dimensions, n)
-        work = by_piece(lambda batch: scored(profiler, batch), text_col)
+        work = by_piece(lambda batch: scored(profiler, batch), "_scored_text")
         yield from work(batches)
 
     def scored(profiler: Profiler, batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -221,11 +222,15 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
         else:
             best, score = np.zeros(len(batch), np.int64), np.zeros(len(batch))
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), listed.take(pa.array(best)), pa.array(score.astype(np.float64))],
-            names=[id_col, "lang_pred", "score"],
+            [batch.column(0), listed.take(pa.array(best)), pa.array(score.astype(np.float64)), *batch.columns[2:]],
+            names=[id_col, "lang_pred", "score", *carry],
         )
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, lang_pred string, score double")
+    # The text itself may be carried too, so its working copy has a name of its own.
+    part = docs.select(id_col, F.col(f"`{text_col}`").alias("_scored_text"), *carry)
+    schema = [f"`{id_col}` {id_type}", "lang_pred string", "score double"]
+    schema += [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry]
+    return part.mapInArrow(run, ", ".join(schema))
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang",

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from . import fingerprints, language_id, language_model, line_dedup, mixing, near_dedup, packing, quality_rules, secret_scan, token_counts
 
 
@@ -63,5 +65,6 @@ QUERIES = {
         op6_context_tree, op7_secret_crf, op8_quality_rules, op9_simhash, op10_fair_mix,
     )
 }
+QUERIES["pipeline"] = corpus_pipeline.run
 
 ORACLES: dict[str, str] = {}
