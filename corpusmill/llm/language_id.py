@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .texts import Texts, bounds, by_piece, mixed
+from .texts import Texts, bounds, by_piece, mixed, pieces
 
 DIMENSIONS = 1024
 N = 3
@@ -169,10 +169,7 @@ def learn(labelled: DataFrame, text_col: str = "text", label_col: str = "lang",
     def partial(batches):
         profiler, sums = Profiler(dimensions, n), {}
         for batch in batches:
-            texts = Texts(batch.column(1))
-            step = 512
-            for a in range(0, len(texts), step):
-                part = batch.slice(a, step)
+            for part in pieces(batch, text_col):
                 vectors, _ = profiler.bundles(Texts(part.column(1)))
                 vectors = _unit(vectors)
                 for label in set(names := part.column(0).to_pylist()):
@@ -191,7 +188,7 @@ def learn(labelled: DataFrame, text_col: str = "text", label_col: str = "lang",
         F.sort_array(F.collect_list(F.struct("place", "x"))).alias("v")
     ).orderBy("label").collect()
     names = [r["label"] for r in whole]
-    return names, _unit(np.array([[x["x"] for x in r["v"]] for r in whole]).reshape(len(names), -1))
+    return names, _unit(np.array([[x["x"] for x in r["v"]] for r in whole]).reshape(len(names), dimensions))
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text",
