@@ -161,15 +161,6 @@ class Encoder:
         return ids, counts
 
 
-_LOADED: dict[str, Encoder] = {}
-
-
-def _encoder(path: str) -> Encoder:
-    if path not in _LOADED:
-        _LOADED[path] = Encoder(path)
-    return _LOADED[path]
-
-
 def cut_points(n: int, capacity: int = CAPACITY) -> list[int]:
     """Starts of the pieces of ``n`` tokens: whole ones, after a shorter first."""
     short = n % capacity
@@ -190,7 +181,8 @@ def token_pieces(
     def run(batches):
         from pyspark import TaskContext
 
-        encoder = _encoder(public_tokenizers.path(tokenizer))
+        # One per task, as idle workers would keep its memory.
+        encoder = Encoder(public_tokenizers.path(tokenizer))
         uid = TaskContext.get().partitionId() << 33
         for batch in batches:
             for part in pieces(batch, text_col, PIECE_BYTES):
