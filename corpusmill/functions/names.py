@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,14 +31,28 @@ def extension(name: Column) -> Column:
 
 # -- pattern lists ----------------------------------------------------------
 
-def one_pattern(patterns: Iterable[str]) -> str | None:
-    """Join patterns into one alternation, so each name is searched once."""
-    parts = [f"(?:{p})" for p in patterns]
-    return "|".join(parts) if parts else None
+# Groups that are counted or named, backreferences, quoting and inline flags mean
+# something else (or break) inside a longer pattern.
+_STANDS_ALONE = re.compile(r"\\[1-9kQ]|\(\?(?:<[A-Za-z]|P|[a-zA-Z-]*[a-zA-Z])")
 
 
-def valid_patterns(spark: SparkSession, patterns: Iterable[str]) -> list[str]:
-    """The patterns Spark's regex engine accepts; malformed ones are dropped.
+def joined_patterns(patterns: Iterable[str]) -> list[str]:
+    """The patterns to search one after the other: plain ones as one alternation."""
+    patterns = list(patterns)
+    alone = [p for p in patterns if _STANDS_ALONE.search(p)]
+    plain = [f"(?:{p})" for p in patterns if not _STANDS_ALONE.search(p)]
+    return (["|".join(plain)] if plain else []) + alone
+
+
+def java_pattern(text: str) -> str:
+    """Named groups and their backreferences as Java spells them."""
+    return re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", text.replace("(?P<", "(?<"))
+
+
+def valid_patterns(
+    spark: SparkSession, patterns: Iterable[str], dropped: list[str] | None = None
+) -> list[str]:
+    """The patterns Spark's regex engine accepts; others go to ``dropped``.
 
     Patterns are Java regular expressions, so the JVM is the judge.
     """
@@ -43,26 +60,30 @@ def valid_patterns(spark: SparkSession, patterns: Iterable[str]) -> list[str]:
     kept = []
     for text in patterns:
         try:
-            pattern.compile(text)
-        except Exception:
+            pattern.compile(java_pattern(text))
+        except (Py4JJavaError, IllegalArgumentException):
+            if dropped is not None:
+                dropped.append(text)
             continue
-        kept.append(text)
+        kept.append(java_pattern(text))
     return kept
 
 
 def hits_any(name: Column, patterns: Iterable[str]) -> Column:
     """True when any pattern is found somewhere in the name."""
-    rx = one_pattern(patterns)
-    return F.lit(False) if rx is None else name.rlike(rx)
+    hit = F.lit(False)
+    for rx in joined_patterns(patterns):
+        hit = hit | name.rlike(rx)
+    return hit
 
 
 def has_excluded_dir(path: Column, patterns: Iterable[str]) -> Column:
     """True when a directory on the way to the file hits an exclude pattern."""
-    rx = one_pattern(patterns)
-    if rx is None:
+    patterns = list(patterns)
+    if not patterns:
         return F.lit(False)
     folders = directory(path)
-    return (folders != "") & F.exists(F.split(folders, "/"), lambda d: d.rlike(rx))
+    return (folders != "") & F.exists(F.split(folders, "/"), lambda d: hits_any(d, patterns))
 
 
 # -- classes ----------------------------------------------------------------

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fv
 
 
+HEURISTIC = "heuristic"
+
+
 def heuristic_tokens(text: Column) -> Column:
     """Characters over four, rounded up; null and empty text count zero."""
     return tokens_from_chars(F.length(text))
@@ -32,59 +35,78 @@ def encoding_name(model_id: Column) -> Column:
     return F.when(legacy, fv.LEGACY_ENCODING).otherwise(fv.MODERN_ENCODING)
 
 
+class MissingVocabulary(Exception):
+    """No usable vocabulary: the whole job counts with the heuristic."""
+
+
 def local_encoder(name: str, vocabulary_dir: str):
-    """Load a published vocabulary from files that were placed beforehand.
+    """An encoder from files that were placed in ``vocabulary_dir`` beforehand.
 
-    ``vocabulary_dir`` must exist on every worker (a shared mount, or files
-    shipped with ``SparkContext.addFile``).  Nothing is ever downloaded.
+    ``<name>.tiktoken`` holds the ranks and ``<name>.pattern`` the splitting
+    pattern.  The folder must exist on every worker (a shared mount, or files
+    shipped with ``SparkContext.addFile``).  Files are only read.
     """
-    import hashlib
+    import base64
     import os
 
     import tiktoken
-    from tiktoken_ext import openai_public
 
-    base = "https://openaipublic.blob.core.windows.net/encodings/"
-    stored = hashlib.sha1(f"{base}{name}.tiktoken".encode()).hexdigest()
-    if not os.path.exists(os.path.join(vocabulary_dir, stored)):
-        raise FileNotFoundError(f"no vocabulary for {name} in {vocabulary_dir}")
-    os.environ["TIKTOKEN_CACHE_DIR"] = vocabulary_dir
-    return tiktoken.Encoding(**openai_public.ENCODING_CONSTRUCTORS[name]())
+    try:
+        with open(os.path.join(vocabulary_dir, f"{name}.pattern"), encoding="utf-8") as stream:
+            pattern = stream.read().rstrip("\n")
+        with open(os.path.join(vocabulary_dir, f"{name}.tiktoken"), "rb") as stream:
+            pairs = [line.split() for line in stream if line.strip()]
+    except OSError as problem:
+        raise MissingVocabulary(str(problem)) from problem
+    ranks = {base64.b64decode(token): int(rank) for token, rank in pairs}
+    return tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
+def usable(encoder: Callable[[], object]) -> bool:
+    """Whether the encoder can be built; asked once per job, on the driver."""
+    try:
+        encoder()
+    except Exception:
+        return False
+    return True
 
 
 def bpe_tokens(text: Column, encoder: Callable[[], object]) -> Column:
-    """Tokens by a byte-pair encoder, by the heuristic where that fails.
+    """Tokens by a byte-pair encoder, or all of them by the heuristic.
 
     ``encoder`` builds an object with ``encode(text, disallowed_special=())``.
-    It is called once per Python task; if it raises, the task counts with the
-    heuristic instead of failing.
+    The choice is made here, for the whole job: without a usable encoder the
+    plan has no Python stage, and with one a task that cannot build it fails.
+    Null texts count zero.
     """
+    if not usable(encoder):
+        return heuristic_tokens(text)
 
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        try:
-            encode = encoder().encode
-        except Exception:
-            encode = None
+        encode = encoder().encode
         for batch in batches:
-            yield pd.Series([_safe_count(encode, t) for t in batch], dtype="Int64")
+            yield pd.Series([0 if t is None else len(encode(t, disallowed_special=())) for t in batch], dtype="int64")
 
-    counted = F.pandas_udf(count, "bigint")
-    return F.coalesce(counted(text), heuristic_tokens(text))
+    return F.pandas_udf(count, "bigint")(text)
 
 
-def model_tokens(text: Column, model_id: str, vocabulary_dir: str | None) -> Column:
-    """Tokens of ``text`` for one model; heuristic without a vocabulary."""
-    if not vocabulary_dir:
-        return heuristic_tokens(text)
+def _model_encoder(model_id: str, vocabulary_dir: str) -> tuple[str, Callable[[], object]]:
     legacy = any(mark in model_id.lower() for mark in fv.LEGACY_MODEL_MARKS)
     name = fv.LEGACY_ENCODING if legacy else fv.MODERN_ENCODING
-    return bpe_tokens(text, partial(local_encoder, name, vocabulary_dir))
+    return name, partial(local_encoder, name, vocabulary_dir)
 
 
-def _safe_count(encode, text):
-    if text is None or encode is None:
-        return None
-    try:
-        return len(encode(text, disallowed_special=()))
-    except Exception:
-        return None
+def token_method(model_id: str, vocabulary_dir: str | None) -> str:
+    """How a job counts: the name of a vocabulary, or ``heuristic``."""
+    if vocabulary_dir:
+        name, encoder = _model_encoder(model_id, vocabulary_dir)
+        if usable(encoder):
+            return name
+    return HEURISTIC
+
+
+def model_tokens(text: Column, model_id: str, vocabulary_dir: str | None) -> Column:
+    """Tokens of ``text`` for one model, by the method :func:`token_method` names."""
+    if token_method(model_id, vocabulary_dir) == HEURISTIC:
+        return heuristic_tokens(text)
+    return bpe_tokens(text, _model_encoder(model_id, vocabulary_dir)[1])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,8 +43,10 @@ def first_available(
             models = read(path)
             if not models.isEmpty():
                 return models
-        except Exception:
-            continue
+        except AnalysisException as problem:
+            # Only a tier that is not there is passed over; a broken one shows.
+            if problem.getCondition() != "PATH_NOT_FOUND":
+                raise
     return spark.createDataFrame([], MODEL_SCHEMA)
 
 

@@ -153,11 +153,13 @@ def tree_admits(files: DataFrame, options: JobOptions) -> Column:
     return rule
 
 
-def checked_options(spark: SparkSession, options: JobOptions) -> JobOptions:
-    """The options without patterns the regex engine cannot compile."""
+def checked_options(
+    spark: SparkSession, options: JobOptions, dropped: list[str] | None = None
+) -> JobOptions:
+    """The options without patterns the regex engine cannot compile (listed in ``dropped``)."""
     return options.with_(
-        include_patterns=tuple(names.valid_patterns(spark, options.include_patterns)),
-        exclude_patterns=tuple(names.valid_patterns(spark, options.exclude_patterns)),
+        include_patterns=tuple(names.valid_patterns(spark, options.include_patterns, dropped)),
+        exclude_patterns=tuple(names.valid_patterns(spark, options.exclude_patterns, dropped)),
     )
 
 

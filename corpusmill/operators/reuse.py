@@ -7,12 +7,14 @@ a stored result is valid exactly when its fingerprint is met again.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.tokens import HEURISTIC
 from ..options import JobOptions
 from ..scale import small_side, stored
 
@@ -60,35 +62,60 @@ def with_fingerprint(files: DataFrame, options: JobOptions, digest: str = "conte
     )
 
 
-def newest(cache: DataFrame) -> DataFrame:
-    """The last written row per fingerprint.
+def _order() -> Column:
+    return F.struct("created_at", "n_tokens")
+
+
+def _best(cache: DataFrame) -> DataFrame:
+    """Per fingerprint, what its last written row is known by; stored.
 
-    Spark trims each task's rows to the first rank before the shuffle, so many
-    copies of one row stay cheap.
+    Ranks keys alone: the text column is not read.  ``copies`` tells how many
+    rows share that rank.
     """
-    order = Window.partitionBy("fingerprint").orderBy(
-        F.col("created_at").desc_nulls_last(), F.col("n_tokens").desc_nulls_last(), "content"
-    )
-    return cache.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")
+    ranks = cache.groupBy("fingerprint", _order().alias("_order")).agg(F.count("*").alias("copies"))
+    best = ranks.groupBy("fingerprint").agg(F.max(F.struct("_order", "copies")).alias("_best"))
+    return stored(best.select(F.col("fingerprint").alias("_wanted"), "_best._order", "_best.copies"))
+
+
+def _fetched(cache: DataFrame, best: DataFrame) -> DataFrame:
+    """The rows that ``best`` names.
+
+    The keys are hashed and the rows streamed past them, so no text is sorted,
+    nor moved where the table is bucketed.  Only rows that share a rank are
+    ordered by their text, as nothing else tells them apart.
+    """
+    # None ranks above the best; said this way, the join's key stays that of the buckets.
+    same = (F.col("fingerprint") == F.col("_wanted")) & (_order() >= F.col("_order"))
+    found = cache.join(best.hint("shuffle_hash"), same)
+    if best.where("copies > 1").isEmpty():
+        return found.select(*cache.columns)
+    place = F.row_number().over(Window.partitionBy("fingerprint").orderBy("content"))
+    tied = found.where("copies > 1").withColumn("_place", place).where("_place = 1")
+    return found.where("copies = 1").select(*cache.columns).unionByName(tied.select(*cache.columns))
+
+
+def newest(cache: DataFrame) -> DataFrame:
+    """The last written row per fingerprint.  Runs a job over the keys."""
+    return _fetched(cache, _best(cache))
 
 
 def hits(keys: DataFrame, cache: DataFrame) -> DataFrame:
     """Files whose result is stored, with that content and token count.
 
-    Only the names of the files take part, never their raw text.
+    Only the keys of the files take part, never their raw text, and of the
+    stored rows only those asked for are ranked.  Runs a job over the keys.
     """
-    stored_rows = newest(cache).select("fingerprint", "content", "n_tokens")
-    return keys.drop("content", "n_tokens").join(stored_rows, "fingerprint")
+    asked = cache.join(keys.select("fingerprint"), "fingerprint", "left_semi")
+    stored_rows = _fetched(cache, _best(asked)).select("fingerprint", "content", "n_tokens")
+    return keys.drop("content", "n_tokens").hint("shuffle_hash").join(stored_rows, "fingerprint")
 
 
 def _missing(keys: DataFrame, cache: DataFrame) -> DataFrame:
-    """Names of files without a stored result, marked for broadcast if few.
+    """Fingerprints of files without a stored result, marked for broadcast if few.
 
-    Compared by key alone, without any text.  Names are unique, so a join on
-    them has no hot key beyond that bound.
+    Compared by key alone, without any text.
     """
-    known = cache.select("fingerprint")
-    names = keys.select(*KEY, "fingerprint").join(known, "fingerprint", "left_anti").select(*KEY)
+    names = keys.select("fingerprint").join(cache.select("fingerprint"), "fingerprint", "left_anti")
     return small_side(names.distinct())[0]
 
 
@@ -97,7 +124,7 @@ def misses(files: DataFrame, cache: DataFrame) -> DataFrame:
 
     When few are missing, the text of the others is never moved.
     """
-    return files.join(_missing(files, cache), KEY, "left_semi")
+    return files.join(_missing(files, cache), "fingerprint", "left_semi")
 
 
 def split(
@@ -106,13 +133,15 @@ def split(
     """``(hits, rest)`` of files with a ``taken`` flag.
 
     ``finish`` adds fingerprints (and whatever a hit needs from its raw text).
-    It runs over all files once, to store the keys, and then over the rest:
-    taken files without a stored result, and files that are not taken.
+    The keys are stored first, so jobs run while the plan is being built; the
+    rest is taken files without a stored result, told by fingerprint, and files
+    that are not taken.
     """
-    keys = stored(finish(files).where("taken").drop("content"))
+    finished = finish(files)
+    keys = stored(finished.where("taken").drop("content"))
     missing = _missing(keys, cache).withColumn("_missing", F.lit(True))
-    rest = files.join(missing, KEY, "left").where("not taken or _missing").drop("_missing")
-    return hits(keys, cache), finish(rest)
+    rest = finished.join(missing, "fingerprint", "left").where("not taken or _missing").drop("_missing")
+    return hits(keys, cache), rest
 
 
 def upsert(cache: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -180,9 +209,14 @@ class ResultCache:
         self.spark.catalog.refreshTable(name)
         return name
 
-    def read(self, options: JobOptions) -> DataFrame | None:
-        """Stored rows of one setting; None when there are none."""
-        config_hash = options.config_fingerprint()
+    @staticmethod
+    def _key(options: JobOptions, method: str) -> str:
+        """Settings and counting method: counts of one method never serve another."""
+        return hashlib.md5(f"{options.config_fingerprint()}|{method}".encode()).hexdigest()
+
+    def read(self, options: JobOptions, method: str = HEURISTIC) -> DataFrame | None:
+        """Stored rows of one setting and counting method; None when there are none."""
+        config_hash = self._key(options, method)
         versions = self._versions(config_hash)
         if not versions:
             return None
@@ -195,22 +229,26 @@ class ResultCache:
         # Dealt out like the buckets, so that each task writes one file.
         rows.select(*columns).repartition(self.buckets, "fingerprint").write.insertInto(name)
 
-    def append(self, rows: DataFrame, options: JobOptions) -> None:
-        config_hash = options.config_fingerprint()
+    def append(self, rows: DataFrame, options: JobOptions, method: str = HEURISTIC) -> None:
+        config_hash = self._key(options, method)
         versions = self._versions(config_hash) or [1]
         self._write(rows, config_hash, versions[-1])
 
-    def compact(self, options: JobOptions) -> None:
+    def compact(self, options: JobOptions, method: str = HEURISTIC) -> None:
         """Write the newest row per fingerprint to a new version and use that."""
-        config_hash = options.config_fingerprint()
+        config_hash = self._key(options, method)
         versions = self._versions(config_hash)
         if versions:
             rows = self.spark.table(self._table(config_hash, versions[-1]))
             self._write(newest(rows), config_hash, versions[-1] + 1)
 
     def purge(self) -> None:
-        """Forget the results of all settings."""
+        """Forget the results of all settings; what this class did not write stays."""
         for config_hash in self._children(self.path):
-            for version in self._versions(config_hash):
+            if not re.fullmatch("[0-9a-f]{32}", config_hash):
+                continue
+            versions = self._versions(config_hash)
+            for version in versions:
                 self.spark.sql(f"DROP TABLE IF EXISTS {self._table(config_hash, version)}")
-            self._fs.delete(self._path_class(f"{self.path}/{config_hash}"), True)
+            if versions:
+                self._fs.delete(self._path_class(f"{self.path}/{config_hash}"), True)

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from ..operators import catalogue, reuse
 from ..options import JobOptions
-from ..sources.corpus import balanced
 
 USER, HOME = "dev", "/home/dev"
 OPTIONS = JobOptions(extensions=(".py", ".ts", ".js", ".java"), user_name=USER, home_dir=HOME)
@@ -59,8 +58,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """Documents for work on their text, dealt out evenly when there are few."""
-    return balanced(table(spark, sf_dir, "documents").select(*columns))
+    """Documents for work on their text."""
+    return table(spark, sf_dir, "documents").select(*columns)
 
 
 def edge_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,6 +207,6 @@ def conversation_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     return turns.select(
         F.concat(F.lit("conversation "), F.col("conv_id").cast("string")).alias("project"),
-        F.concat(F.lpad(F.col("turn").cast("string"), 6, "0"), F.lit("_"), "role", F.lit(".md")).alias("rel_path"),
+        F.concat(F.lpad(F.col("turn").cast("string"), 19, "0"), F.lit("_"), "role", F.lit(".md")).alias("rel_path"),
         F.lit("resource").alias("target"), F.col("text").alias("content"),
     )

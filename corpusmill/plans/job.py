@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fv
 from ..functions.pycode import SYMBOL_TYPE
 from ..functions.text import transform_column
-from ..functions.tokens import model_tokens
+from ..functions.tokens import model_tokens, token_method
 from ..operators import assembly, counters, filtering, reuse, tree
 from ..options import JobOptions
 from ..scale import shared_dir
@@ -135,6 +135,7 @@ class Report:
     existing: list[str] = field(default_factory=list)
     outputs: list[str] = field(default_factory=list)
     planned: list[str] = field(default_factory=list)
+    dropped_patterns: list[str] = field(default_factory=list)
     summary: DataFrame | None = None
     job: Job | None = None
 
@@ -159,10 +160,14 @@ def run(
     out = options.output_path()
     planned = options.planned_outputs()
     existing = publish.existing_outputs(spark, out, planned)
+    dropped: list[str] = []
+    options = filtering.checked_options(spark, options, dropped)
     if existing and not overwrite and not dry_run:
-        return Report(False, out, "output files exist and overwrite is off", existing, planned=planned)
+        return Report(False, out, "output files exist and overwrite is off", existing, planned=planned,
+                      dropped_patterns=dropped)
 
-    stored = cache.read(options) if cache is not None else None
+    method = token_method(options.target_model, vocabulary_dir)
+    stored = cache.read(options, method) if cache is not None else None
     staging = f"{shared_dir(spark).rstrip('/')}/results-{uuid.uuid4().hex}"
     process(files, options, stored, vocabulary_dir, digest).write.parquet(staging)
     job = Job(spark.read.parquet(staging), options)
@@ -175,10 +180,10 @@ def run(
                 "fingerprint", "project", "rel_path", "content", "n_tokens",
                 F.current_timestamp().alias("created_at"),
             )
-            cache.append(fresh, options)
+            cache.append(fresh, options, method)
     return Report(
         True, out, existing=existing, outputs=outputs,
-        planned=planned if dry_run else [], summary=job.summary(dry_run), job=job,
+        planned=planned if dry_run else [], dropped_patterns=dropped, summary=job.summary(dry_run), job=job,
     )
 
 

@@ -523,7 +523,7 @@ FROM counted JOIN sized USING (project) LEFT JOIN trees USING (project)"""
 _TURNS = _CATEGORIES.format(rule=_RULE, written="turns", all="turns")
 ORACLES["conversation_context"] = f"""
 WITH turns AS (
-  SELECT 'conversation ' || conv_id AS project, lpad(CAST(turn AS VARCHAR), 6, '0') || '_' || role || '.md' AS rel_path,
+  SELECT 'conversation ' || conv_id AS project, lpad(CAST(turn AS VARCHAR), 19, '0') || '_' || role || '.md' AS rel_path,
     'resource' AS target, text AS content FROM conversations), {_TURNS}
 SELECT * FROM titles UNION ALL SELECT * FROM heads UNION ALL SELECT * FROM entries UNION ALL SELECT * FROM tails"""
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import names, pycode, text, tokens
 from ..operators import assembly, catalogue, costing, counters, filtering, reuse, tree
 from ..scale import shared_dir, stored
-from ..sources.corpus import balanced, from_table
+from ..sources.corpus import from_table
 from ..streaming import ingest
 from . import inputs, job
 
@@ -53,9 +53,7 @@ def decode_text(spark, sf):
 def incremental_ingest(spark, sf):
     """The documents as a stream of files, each taken exactly once."""
     docs = inputs.table(spark, sf, "documents")
-    stream = balanced(
-        spark.readStream.schema(docs.schema).parquet(f"{sf}/documents.parque[t]"), size_of=docs
-    )
+    stream = spark.readStream.schema(docs.schema).parquet(f"{sf}/documents.parque[t]")
     rows = from_table(
         stream.withColumn("path", F.concat(F.col("doc_id").cast("string"), F.lit(".py"))),
         "source", "path", "text",

@@ -9,28 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import read_text
 
-SMALL_INPUT_BYTES = 1024 * 1024 * 1024
 BINARY_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
-def balanced(df: DataFrame, size_of: DataFrame | None = None) -> DataFrame:
-    """Deal a small input out to all cores before costly work on its text.
-
-    Parquet is read by row group, so a small table in one row group would be
-    transformed by one task.  Larger inputs come in enough row groups and are
-    left alone: what is shuffled here never exceeds ``SMALL_INPUT_BYTES``.
-    ``size_of`` is measured instead of ``df`` where that is a stream.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
-        spark.conf.get("spark.sql.files.maxPartitionBytes")
-    )
-    plan = (size_of or df)._jdf.queryExecution().optimizedPlan()
-    size = int(str(plan.stats().sizeInBytes()))
-    return df.repartition(cores) if size < min(cores * split, SMALL_INPUT_BYTES) else df
-
-
 def from_table(
     table: DataFrame, project: str = "project", rel_path: str = "rel_path",
     content: str = "content", **optional: str,

@@ -2,7 +2,7 @@
 
 Folders are listed level by level: each level is a distributed job over the
 folders found by the one before, so neither the driver nor a single task ever
-walks the whole tree.  Files are then dealt out by size and read in parallel.
+walks the whole tree.  Files are then dealt out and read in parallel.
 The root must be mounted at the same path on every executor.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -22,30 +23,34 @@ from ..scale import stored
 
 READ_TASK_BYTES = 128 * 1024 * 1024
 _BATCH_BYTES = 32 * 1024 * 1024
-_ENTRY = "rel_path string, is_dir boolean, mtime timestamp, length bigint"
+_ENTRY = "rel_path string, is_dir boolean, mtime timestamp, length bigint, error string"
+_CHUNK = 10_000
 _READ = "rel_path string, raw binary, mtime timestamp, length bigint, error string"
 
 
-def _entries(root: str, folder: str) -> list[tuple]:
-    """Folders and files directly in one folder; unreadable folders are empty."""
-    found = []
+def _entries(root: str, folder: str) -> Iterator[tuple]:
+    """Folders and files directly in one folder, one by one.
+
+    A folder that cannot be listed is one entry with the reason; the root must
+    be there.
+    """
     try:
         with os.scandir(os.path.join(root, folder)) as listing:
             for item in listing:
                 path = f"{folder}/{item.name}" if folder else item.name
                 if item.is_dir():
                     if not item.is_symlink():
-                        found.append((path, True, None, 0))
+                        yield path, True, None, 0, None
                     continue
                 try:
                     state = item.stat()
-                    when = pd.Timestamp(state.st_mtime_ns // 1000, unit="us")
-                    found.append((path, False, when, state.st_size))
+                    yield path, False, pd.Timestamp(state.st_mtime_ns // 1000, unit="us"), state.st_size, None
                 except OSError:
-                    found.append((path, False, None, 0))
-    except OSError:
-        pass
-    return found
+                    yield path, False, None, 0, None
+    except OSError as problem:
+        if not folder:
+            raise
+        yield folder, False, None, 0, str(problem)
 
 
 def list_tree(spark: SparkSession, root: str, exclude_patterns: tuple[str, ...]) -> DataFrame:
@@ -53,12 +58,15 @@ def list_tree(spark: SparkSession, root: str, exclude_patterns: tuple[str, ...])
     patterns = names.valid_patterns(spark, exclude_patterns)
 
     def one_level(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["rel_path", "is_dir", "mtime", "length"]
+        columns = ["rel_path", "is_dir", "mtime", "length", "error"]
         for batch in batches:
             for folder in batch["rel_path"]:
-                yield pd.DataFrame(_entries(root, folder), columns=columns).astype(
-                    {"mtime": "datetime64[us]", "is_dir": "bool", "length": "int64"}
-                )
+                entries = _entries(root, folder)
+                # A flat folder may hold any number of names.
+                while chunk := list(islice(entries, _CHUNK)):
+                    yield pd.DataFrame(chunk, columns=columns).astype(
+                        {"mtime": "datetime64[us]", "is_dir": "bool", "length": "int64", "error": "object"}
+                    )
 
     level = spark.createDataFrame([("",)], "rel_path string")
     files: DataFrame | None = None
@@ -82,19 +90,24 @@ def read_directory(
 
     Each file is read once, into a table in the shared folder: later steps see
     one state of the directory and read only the columns they need.  A file
-    that cannot be read keeps its row, with the reason in ``error``.
+    that cannot be read keeps its row, with the reason in ``error``, and so does
+    a folder that cannot be listed.  A root that does not exist is an error.
     """
     root = os.path.abspath(root)
+    if not os.path.isdir(root):
+        raise FileNotFoundError(f"no such directory: {root}")
     listed = list_tree(spark, root, options.exclude_patterns)
     total = listed.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
-    tasks = max(1, min(100_000, total // READ_TASK_BYTES + 1), spark.sparkContext.defaultParallelism)
+    tasks = max(1, total // READ_TASK_BYTES + 1, spark.sparkContext.defaultParallelism)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows, size = [], 0
             for row in batch.itertuples(index=False):
-                raw, error = None, None
+                raw, error = None, row.error
                 try:
+                    if error is not None:
+                        raise OSError(error)
                     with open(os.path.join(root, row.rel_path), "rb") as stream:
                         raw = stream.read()
                 except OSError as problem:

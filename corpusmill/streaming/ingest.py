@@ -17,18 +17,30 @@ from ..options import JobOptions
 from ..sources.corpus import BINARY_SCHEMA, from_binary
 
 
-def stream_directory(spark: SparkSession, root: str, project: str | None = None) -> DataFrame:
-    """Files that appear below ``root``, as a streaming files table."""
+def stream_directory(
+    spark: SparkSession, root: str, project: str | None = None, bytes_per_batch: int = 64 << 30
+) -> DataFrame:
+    """Files that appear below ``root``, as a streaming files table.
+
+    A backlog is taken in batches of about ``bytes_per_batch``.  The source takes
+    a path once: a file that changes later is not taken again.
+    """
     binary = (
         spark.readStream.format("binaryFile").schema(BINARY_SCHEMA)
-        .option("recursiveFileLookup", "true").load(root)
+        .option("recursiveFileLookup", "true").option("maxBytesPerTrigger", bytes_per_batch).load(root)
     )
     return from_binary(binary, root, project)
 
 
 def transform_stream(files: DataFrame, options: JobOptions) -> DataFrame:
-    """Scan and transform a streaming (or batch) files table, row by row."""
-    options = filtering.checked_options(files.sparkSession, options).with_(respect_gitignore=False)
+    """Scan and transform a streaming (or batch) files table, row by row.
+
+    Ignore files are files of the stream themselves and may come after those
+    they rule, so options that ask for them are refused.
+    """
+    if options.respect_gitignore:
+        raise ValueError("a stream cannot honour ignore files: set respect_gitignore=False")
+    options = filtering.checked_options(files.sparkSession, options)
     taken = filtering.scan(files, options).where("status = 'process' and target <> 'skip'")
     return transform_column(taken, options).withColumn(
         "n_tokens", heuristic_tokens(F.col("content"))

@@ -73,3 +73,16 @@ def test_default_noise(spark, files_of):
 
     kept = df.where(~filtering.excluded(df, JobOptions().exclude_patterns)).select("rel_path").collect()
     assert {r.rel_path for r in kept} == {"main.py", "_private.py", "__main__.py"}
+
+
+def test_patterns_do_not_disturb_each_other(spark):
+    names_ = ["book.py", "bk.py", "aXbX.py", "secret.py", "plain.py"]
+    df = spark.createDataFrame([(n,) for n in names_], "n string")
+    hit = lambda *patterns: {
+        r.n for r in df.where(N.hits_any(F.col("n"), N.valid_patterns(spark, patterns))).collect()
+    }
+    assert hit("(zzz)", r"(o)\1") == {"book.py"}
+    assert hit("(?P<x>secret)", r"(?P<x>o)(?P=x)") == {"secret.py", "book.py"}
+    assert hit("(?i)AXBX", "(?x) book # comment") == {"aXbX.py", "book.py"}
+    dropped = []
+    assert N.valid_patterns(spark, ["ok", "(", "(?P<a_b>x)"], dropped) == ["ok"] and dropped == ["(", "(?P<a_b>x)"]

@@ -2,6 +2,8 @@ import pytest
 
 from corpusmill.operators import filtering
 from corpusmill.options import JobOptions
+from corpusmill.sources import directory
+from corpusmill.sources.directory import read_directory
 
 PROJECT = {
     "src/main.py": "", "src/utils.py": "", "src/exclude_me.tmp": "", "tests/test_main.py": "",
@@ -99,3 +101,18 @@ def test_many_ignore_files_are_joined_by_shuffle(files_of, monkeypatch):
     monkeypatch.setattr(filtering.spread_lookup, "__defaults__", (1,))
     assert sorted(tuple(r) for r in filtering.with_ignore_patterns(files).collect()) == expected
     assert len(expected) == 24
+
+
+def test_missing_root_is_an_error(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        read_directory(spark, str(tmp_path / "nowhere"), JobOptions())
+
+
+def test_flat_folder_and_unreadable_folder(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("corpusmill.sources.directory._CHUNK", 7)
+    for i in range(50):
+        (tmp_path / f"f{i}.py").write_text("x")
+    rows = list(directory._entries(str(tmp_path), "gone"))
+    assert len(rows) == 1 and rows[0][:2] == ("gone", False) and "gone" in rows[0][4]
+    found = read_directory(spark, str(tmp_path), JobOptions()).collect()
+    assert len(found) == 50 and all(r.error is None and r.content == "x" for r in found)

@@ -157,3 +157,16 @@ def test_checksums(spark):
 def test_long_blank_runs_stay_linear(spark):
     text = "x" + " " * 400_000 + "y\n" + "\t" * 400_000
     assert apply(spark, lambda t: T.minify(t, F.lit(".md")), text) == ["x" + " " * 400_000 + "y\n\n"]
+
+
+def test_long_email_like_runs_stay_linear(spark):
+    run = "ab-9_Zk.+%" * 100_000
+    text = f"{run} x@y.co {run}@nowhere {run}"
+    assert apply(spark, T.redact_emails, text) == [text.replace("x@y.co", "[[REDACTED_SENSITIVE]]")]
+
+
+def test_email_edges(spark):
+    mark = "[[REDACTED_SENSITIVE]]"
+    given = ["a@b.co-x@y.com", "éabc@x.com", "éa.bc@x.com", ".a@x.com", "..@x.com", "é.@x.com", "a@b", "x a@b.c d@e.fg"]
+    wanted = [mark + mark, "éabc@x.com", "éa" + mark, "." + mark, "..@x.com", "é" + mark, "a@b", "x a@b.c " + mark]
+    assert apply(spark, T.redact_emails, *given) == wanted
