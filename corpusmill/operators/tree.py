@@ -208,12 +208,17 @@ def with_symbols(files: DataFrame, options: JobOptions, source: str = "content")
     text = F.col(source)
     if "in_tree" in files.columns:
         text = F.when(F.col("in_tree"), text)
-    return files.withColumn(
-        "symbols",
-        pycode.symbols(
-            text, options.show_functions, options.show_classes, options.show_methods
-        ),
-    )
+    found = pycode.symbols(text, options.show_functions, options.show_classes, options.show_methods)
+    if "error" in files.columns:
+        # A file that could not be read has one line that says so.
+        name = names.base_name(F.col("rel_path"))
+        reason = F.concat(F.lit("Could not read '"), name, F.lit("': "), F.col("error"))
+        unread = F.array(F.struct(
+            F.lit(0).alias("ord"), F.lit("error").alias("kind"), F.lit(None).cast("string").alias("parent"),
+            reason.alias("name"),
+        )).cast(pycode.SYMBOL_TYPE)
+        found = F.when(F.col("error").isNotNull(), unread).otherwise(found)
+    return files.withColumn("symbols", found)
 
 
 def symbol_rows(files: DataFrame, source: str = "content") -> DataFrame:

@@ -164,6 +164,10 @@ ORACLES["filter_exclude"] = f"""
 WITH {_FILES} SELECT project, rel_path FROM files
 WHERE NOT starts_with(file_name, 'README') AND NOT ends_with(file_name, '.spec.ts')"""
 
+ORACLES["filter_grouped"] = f"""
+WITH {_FILES} SELECT project, rel_path FROM files WHERE NOT contains(file_name, 'README')
+  AND NOT regexp_matches(file_name, '(00|11|22|33|44|55|66|77|88|99)\\.')"""
+
 ORACLES["filter_include"] = f"""
 WITH {_FILES} SELECT project, rel_path FROM files
 WHERE starts_with(file_name, 'mod_') OR contains(file_name, 'Test') OR ends_with(file_name, '.js')"""

@@ -93,6 +93,13 @@ def filter_exclude(spark, sf):
     return _named(spark, sf).where(~hit).select(*KEY)
 
 
+@register
+def filter_grouped(spark, sf):
+    """A pattern with a group before one that refers back to its own group."""
+    patterns = names.valid_patterns(spark, [r"(READ)ME", r"(?P<digit>\d)(?P=digit)\.", "("])
+    return _named(spark, sf).where(~names.hits_any(F.col("file_name"), patterns)).select(*KEY)
+
+
 @register
 def filter_include(spark, sf):
     hit = names.hits_any(F.col("file_name"), [r"^mod_", "Test", r"\.js$"])

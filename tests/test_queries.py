@@ -12,7 +12,7 @@ from corpusmill.plans.registered import QUERIES
 PYTHON = {"skeleton", "symbols", "tree_symbols", "tokens_bpe"}
 # These look at names alone and may not read the text of a document.
 NAMES_ONLY = {
-    "dir_prune", "filter_exclude", "filter_include", "filter_default_noise", "filter_extension", "stack_match",
+    "dir_prune", "filter_exclude", "filter_grouped", "filter_include", "filter_default_noise", "filter_extension", "stack_match",
     "tree_mode", "scan_status", "split_ext", "classify_test", "classify_resource", "route_target", "tree_nodes",
     "tree_line_counts", "gitignore_rules", "error_report",
 }

@@ -106,3 +106,12 @@ def test_nodes(files_of):
     assert sorted((r.path, r.depth, r.kind) for r in rows) == [
         ("a.py", 1, "file"), ("src", 1, "dir"), ("src/x", 2, "dir"), ("src/x/main.py", 3, "file"),
     ]
+
+
+def test_unreadable_file_has_one_error_symbol(spark):
+    files = spark.createDataFrame(
+        [("p", "src/a.py", None, "Permission denied"), ("p", "b.py", "def f(): pass", None)],
+        "project string, rel_path string, content string, error string",
+    )
+    found = {r.rel_path: [(s.kind, s.name) for s in r.symbols] for r in tree.with_symbols(files, JobOptions(show_functions=True)).collect()}
+    assert found == {"src/a.py": [("error", "Could not read 'a.py': Permission denied")], "b.py": [("function", "f")]}
