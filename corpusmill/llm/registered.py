@@ -68,3 +68,32 @@ QUERIES = {
 QUERIES["pipeline"] = corpus_pipeline.run
 
 ORACLES: dict[str, str] = {}
+
+ORACLES["op10_fair_mix"] = rf"""
+WITH sized AS (
+  SELECT doc_id, coalesce(len(regexp_extract_all(text, '{mixing.WORD}')), 0) AS size, coalesce('0' || source, '1') AS src,
+    md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key, coalesce(CAST(doc_id AS VARCHAR), '') AS tie
+  FROM documents),
+sources AS (
+  SELECT src, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY src) - 1 AS place FROM sized GROUP BY src),
+weighed AS (
+  SELECT *, CAST([3, 1, 2][place % 3 + 1] AS DOUBLE) AS weight, CAST(2 * source_size AS DOUBLE) AS cap,
+    CAST(sum(source_size) OVER () AS DOUBLE) * 1.5 AS budget FROM sources),
+filled AS (
+  SELECT *, sum(cap) OVER up + cap / weight * (sum(weight) OVER () - sum(weight) OVER up) <= budget AS dry FROM weighed
+  WINDOW up AS (ORDER BY cap / weight, place ROWS UNBOUNDED PRECEDING)),
+targets AS (
+  SELECT *, CASE WHEN dry THEN cap ELSE
+    (budget - coalesce(sum(CASE WHEN dry THEN cap END) OVER (), 0)) / sum(CASE WHEN NOT dry THEN weight END) OVER () * weight
+    END AS target FROM filled),
+queued AS (
+  SELECT *, sum(size) OVER (PARTITION BY src ORDER BY key, tie ROWS UNBOUNDED PRECEDING) AS sent
+  FROM sized JOIN targets USING (src)),
+copies AS (
+  SELECT doc_id, size, place, budget, (sent + epoch * source_size) / weight AS finish
+  FROM (SELECT *, unnest([0, 1]) AS epoch FROM queued WHERE size > 0)),
+sent AS (
+  SELECT doc_id, size, budget, sum(size) OVER (ORDER BY finish, place ROWS UNBOUNDED PRECEDING) AS used FROM copies),
+taken AS (SELECT doc_id, CAST(sum(size) AS BIGINT) AS taken FROM sent WHERE used <= budget GROUP BY 1)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, coalesce(taken, 0) AS taken
+FROM queued LEFT JOIN taken USING (doc_id)"""

@@ -570,6 +570,12 @@ def test_mix_query(spark):
     assert all(r.target == pytest.approx(wanted[r.doc_id][2]) and r.taken <= 2 * r.size for r in found)
 
 
+def test_mix_query_has_sql(spark):
+    from check import compare
+
+    assert compare(registered.QUERIES["op10_fair_mix"](spark, TINY), TINY, registered.ORACLES["op10_fair_mix"]) == []
+
+
 def test_mix_cut_is_narrowed(spark, monkeypatch):
     monkeypatch.setattr(mixing, "_FEW", 3)
     monkeypatch.setattr(mixing, "_CELLS", 4)
