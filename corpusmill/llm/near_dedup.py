@@ -7,7 +7,7 @@ bin that a hash of (bin, attempt) points to, the first that is not empty
 the similarity.  Bands of such places are bucket keys.
 
 Equal sets are one class from the start.  In a bucket, members are compared
-with a few centres only.  After a round, a bucket whose members still lie in
+with a few centres only: those that share most buckets with others.  After a round, a bucket whose members still lie in
 different components gets new centres (each time ``GROWTH`` times as many), and
 those that have served leave it, so in the end each pair of a bucket either was
 compared or lies in one component, after a logarithmic number of rounds.
@@ -184,21 +184,26 @@ def near_duplicates(
         )
     )
     placed = classes.select("rep", "n", F.explode("bands").alias("key"))
-    shared = placed.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most")
-    members = stored(placed.join(shared.select("key", "least"), "key"))
+    sizes = placed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    members = stored(placed.join(sizes, "key"))
+    # The text that others were made from meets more of them than they meet each
+    # other, so members with most company are centres first.
+    company = members.groupBy("rep").agg(F.sum("size").alias("company"))
+    members = stored(members.drop("size").join(company, "rep"))
+    first = members.groupBy("key").agg(F.max_by("rep", F.struct("company", -F.col("rep"))).alias("centre"))
 
     # First, each member meets the centre that it shares most buckets with.
-    votes = members.where("rep != least").groupBy("rep", "least").agg(F.count("*").alias("n"))
-    edges = votes.groupBy("rep").agg(F.max_by("least", F.struct("n", -F.col("least"))).alias("least"))
-    edges = edges.select(F.col("least").alias("a"), F.col("rep").alias("b"))
+    votes = members.join(first, "key").where("rep != centre").groupBy("rep", "centre").agg(F.count("*").alias("n"))
+    edges = votes.groupBy("rep").agg(F.max_by("centre", F.struct("n", -F.col("centre"))).alias("centre"))
+    edges = edges.select(F.col("centre").alias("a"), F.col("rep").alias("b"))
     sets = stored(_sets(docs, members.select("rep").distinct(), id_col, text_col, size).dropDuplicates(["rep"]))
     links = stored(_confirmed(edges, sets, percent))
     tested, found = stored(edges), components(links)
-    live = members.select("key", "rep", "n")
+    live = members.select("key", "rep", "n", "company")
     while True:
         # Buckets whose members lie in different components get new centres.
         current = live.join(found, live["rep"] == found["node"], "left").select(
-            "key", "rep", "n", F.coalesce("component", "rep").alias("component")
+            "key", "rep", "n", "company", F.coalesce("component", "rep").alias("component")
         )
         split = current.groupBy("key").agg(
             F.min("component").alias("low"), F.max("component").alias("high")
@@ -206,7 +211,7 @@ def near_duplicates(
         current = stored(current.join(split, "key", "left_semi"))
         if current.isEmpty():
             break
-        order = Window.partitionBy("key").orderBy("rep")
+        order = Window.partitionBy("key").orderBy(F.desc("company"), "rep")
         served = current.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= centres)
         served = stored(served.select("key", F.col("rep").alias("a"), F.col("component").alias("of"), F.col("n").alias("m")))
         centres *= GROWTH
@@ -218,7 +223,7 @@ def near_duplicates(
         )
         known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         fresh = stored(fresh.join(known, ["a", "b"], "left_anti"))
-        live = current.select("key", "rep", "n").join(
+        live = current.select("key", "rep", "n", "company").join(
             served.select("key", F.col("a").alias("rep")), ["key", "rep"], "left_anti"
         )
         if not fresh.isEmpty():
