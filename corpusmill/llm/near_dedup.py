@@ -7,10 +7,10 @@ bin that a hash of (bin, attempt) points to, the first that is not empty
 the similarity.  Bands of such places are bucket keys.
 
 Equal sets are one class from the start.  In a bucket, members are compared
-with a few centres only: those that share most buckets with others.  After a round, a bucket whose members still lie in
-different components gets new centres (each time ``GROWTH`` times as many), and
-those that have served leave it, so in the end each pair of a bucket either was
-compared or lies in one component, after a logarithmic number of rounds.
+with a few centres only: those that share most buckets with others.  Documents
+of buckets that still span several components are joined exactly, by prefix
+filtering, so no pair of a bucket is lost and none is listed in vain.
+
 Links count only when the full sets confirm them.
 """
 
@@ -28,7 +28,6 @@ from .texts import Texts, bounds, by_piece, list_array, mixed, shingles
 BANDS = 40
 ROWS = 6
 CENTRES = 4
-GROWTH = 8
 PERCENT = 80
 
 _U = np.uint64
@@ -160,6 +159,41 @@ def _confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.where(100 * shared >= percent * union).select("a", "b")
 
 
+def _split(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Members of the buckets that span several components, with these; stored."""
+    placed = members.join(found, members["rep"] == found["node"], "left").select(
+        "key", "rep", "n", "company", F.coalesce("component", "rep").alias("component")
+    )
+    spread = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    return stored(placed.join(spread.where("low < high").select("key"), "key", "left_semi"))
+
+
+def _prefix_pairs(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs of ``docs(rep, n, component)`` that may be similar, of different components.
+
+    Prefix filtering: with shingles in one order, rarest first, similar sets
+    share one among the first few of each; fewer suffice for the smaller set.
+    Where their first common shingle stands also bounds what they can share.
+    A passage that very many documents hold comes late in this order.
+    """
+    parts = sets.join(docs, "rep").select("rep", "n", "component", F.explode("elements").alias("h"))
+    common = parts.groupBy("h").agg(F.count("*").alias("df"))
+    place = F.row_number().over(Window.partitionBy("rep").orderBy("df", "h"))
+    up = lambda x, by: F.floor((x + by - 1) / by)
+    n = F.col("n")
+    ranked = parts.join(common, "h").withColumn("pos", place).where("df > 1")
+    prefix = stored(ranked.where(F.col("pos") <= n - up(percent * n, 100) + 1))
+    small = prefix.where(F.col("pos") <= n - up(2 * percent * n, 100 + percent) + 1)
+    left = small.select("h", *[F.col(c).alias(f"{c}_a") for c in ("rep", "n", "component", "pos")])
+    right = prefix.select("h", *[F.col(c).alias(f"{c}_b") for c in ("rep", "n", "component", "pos")])
+    need = up(percent * (F.col("n_a") + F.col("n_b")), 100 + percent)
+    most = 1 + F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
+    ordered = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("rep_a") < F.col("rep_b")))
+    fits = ordered & (F.col("component_a") != F.col("component_b"))
+    fits = fits & (100 * F.col("n_a") >= percent * F.col("n_b")) & (most >= need)
+    return left.join(right, "h").where(fits).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = PERCENT,
     bands: int = BANDS, rows: int = ROWS, centres: int = CENTRES,
@@ -199,22 +233,12 @@ def near_duplicates(
     sets = stored(_sets(docs, members.select("rep").distinct(), id_col, text_col, size).dropDuplicates(["rep"]))
     links = stored(_confirmed(edges, sets, percent))
     tested, found = stored(edges), components(links)
-    live = members.select("key", "rep", "n", "company")
-    while True:
-        # Buckets whose members lie in different components get new centres.
-        current = live.join(found, live["rep"] == found["node"], "left").select(
-            "key", "rep", "n", "company", F.coalesce("component", "rep").alias("component")
-        )
-        split = current.groupBy("key").agg(
-            F.min("component").alias("low"), F.max("component").alias("high")
-        ).where("low < high").select("key")
-        current = stored(current.join(split, "key", "left_semi"))
-        if current.isEmpty():
-            break
+    current = _split(members, found)
+    if not current.isEmpty():
+        # Then, what is still apart in a bucket meets some more centres.
         order = Window.partitionBy("key").orderBy(F.desc("company"), "rep")
         served = current.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= centres)
-        served = stored(served.select("key", F.col("rep").alias("a"), F.col("component").alias("of"), F.col("n").alias("m")))
-        centres *= GROWTH
+        served = served.select("key", F.col("rep").alias("a"), F.col("component").alias("of"), F.col("n").alias("m"))
         # Sets whose sizes differ too much cannot be similar.
         sized = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
         fresh = (
@@ -222,16 +246,17 @@ def near_duplicates(
             .select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
         )
         known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        fresh = stored(fresh.join(known, ["a", "b"], "left_anti"))
-        live = current.select("key", "rep", "n", "company").join(
-            served.select("key", F.col("a").alias("rep")), ["key", "rep"], "left_anti"
-        )
-        if not fresh.isEmpty():
-            more = stored(_confirmed(fresh, sets, percent))
-            tested = tested.unionByName(fresh)
-            if not more.isEmpty():
-                links = links.unionByName(more)
-                found = components(links)
+        more = stored(_confirmed(stored(fresh.join(known, ["a", "b"], "left_anti")), sets, percent))
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            found = components(links)
+        current = _split(members, found)
+    if not current.isEmpty():
+        # Last, an exact join among the documents of crowded buckets.
+        rest = current.select("rep", "n", "component").distinct()
+        more = stored(_confirmed(stored(_prefix_pairs(rest, sets, percent)), sets, percent))
+        if not more.isEmpty():
+            found = components(links.unionByName(more))
     # Members of a class follow the class's least id.
     of_class = classes.join(found, classes["rep"] == found["node"], "left").select(
         "name_a", "name_b", F.coalesce("component", "rep").alias("component")
