@@ -1,11 +1,16 @@
 """Line dedup by pairwise alignment.
 
-Documents overlap where they share lines.  A line that few documents hold is
-rare; each later holder is paired with the line's earliest one, so a line makes
-a star, not all pairs.  Every pair is aligned by patience diff (unique common
-lines in increasing order, then the gaps between them).  A line that more than
-``RARE`` documents hold makes no pairs: aligning its holders with the earliest
-would yield that line, so it counts as aligned in all holders but that one.
+Documents overlap where they share lines.  Each later holder of a line is paired
+with the line's earliest one, so a line makes a star, not all pairs.  Every pair
+is aligned by patience diff: unique common lines in increasing order, then the
+gaps between them, and a longest common subsequence of gaps without such lines.
+
+One alignment has one order, and a star one earlier document.  So blocks of
+enough words that any earlier document holds line by line count as aligned too,
+however often and in whatever order the two hold them: each line of such a block
+lies in a least window of enough words that starts or ends at a line, and equal
+windows have equal hashes.  A line that alone has enough words is such a window,
+so beyond ``RARE`` holders it needs no pairs; shorter lines always make them.
 
 Neighbouring aligned lines of a document form a block, and blocks of enough
 words are deleted from the later document.
@@ -21,10 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scale import small_side, stored
-from .texts import Texts, bounds, by_piece, list_array
+from .texts import Texts, bounds, by_piece, list_array, mixed
 
 RARE = 1000
 MIN_WORDS = 5
+#: Bits of the rows that a common subsequence keeps; larger gaps are halved first.
+ROW_BITS = 1 << 28
+#: What a key of a document stands for.
+SHORT, LONG, SEVERAL = 0, 1, 2
 
 
 def _anchors(a: list, b: list, alo: int, ahi: int, blo: int, bhi: int) -> list[tuple[int, int]]:
@@ -56,6 +65,58 @@ def _anchors(a: list, b: list, alo: int, ahi: int, blo: int, bhi: int) -> list[t
     return chain[::-1]
 
 
+def _rows(a: list, b: list):
+    """For each prefix of ``a``, a number whose zero bits are the places of ``b`` that lengthen the common subsequence."""
+    where: dict[int, int] = {}
+    for j, h in enumerate(b):
+        where[h] = where.get(h, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    row = full
+    yield row
+    for h in a:
+        hit = row & where[h]
+        row = (row + hit | row - hit) & full
+        yield row
+
+
+def _lengths(a: list, b: list) -> np.ndarray:
+    """Length of the longest common subsequence of ``a`` and each prefix of ``b``."""
+    for row in _rows(a, b):
+        pass
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")
+    return np.append(0, np.cumsum(bits[: len(b)] == 0))
+
+
+def _subsequence(a: list, b: list) -> list[int]:
+    """Positions of ``b`` in a longest common subsequence with ``a``."""
+    out: list[int] = []
+    work = [(a, b, list(range(len(b))))]
+    while work:
+        a, b, at = work.pop()
+        common = set(a) & set(b)
+        a = [h for h in a if h in common]
+        kept = [j for j, h in enumerate(b) if h in common]
+        b, at = [b[j] for j in kept], [at[j] for j in kept]
+        if not common:
+            continue
+        if len(a) > 1 and len(a) * len(b) > ROW_BITS:
+            half = len(a) // 2
+            cut = int((_lengths(a[:half], b) + _lengths(a[half:][::-1], b[::-1])[::-1]).argmax())
+            work += [(a[:half], b[:cut], at[:cut]), (a[half:], b[cut:], at[cut:])]
+            continue
+        rows = list(_rows(a, b))
+        i, j = len(a), len(b)
+        while i and j:
+            if a[i - 1] == b[j - 1]:
+                i, j = i - 1, j - 1
+                out.append(at[j])
+            elif rows[i] >> (j - 1) & 1:
+                j -= 1
+            else:
+                i -= 1
+    return out
+
+
 def align(a: list, b: list) -> list[int]:
     """Positions of ``b`` that a patience diff aligns with ``a``, in order."""
     out: list[int] = []
@@ -77,6 +138,8 @@ def align(a: list, b: list) -> list[int]:
             for i, j in ends:
                 work.append((start[0], i, start[1], j))
                 start = (i, j)  # the anchor itself is the next part's common head
+        else:
+            out += [blo + j for j in _subsequence(a[alo:ahi], b[blo:bhi])]
     return sorted(out)
 
 
@@ -93,6 +156,60 @@ def blocks(places: list[int], words: list[int], least: int) -> list[int]:
     return out
 
 
+def windows(hashes: np.ndarray, words: np.ndarray, edge: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+    """Keys, first lines and ends of the least runs of ``least`` words that start or end at a line.
+
+    Document ``i`` has lines ``edge[i]`` to ``edge[i + 1]``, all with words.  The
+    key of a single line is its hash.
+    """
+    sums = np.append(0, np.cumsum(words, dtype=np.int64))
+    n = len(words)
+    doc = np.searchsorted(edge, np.arange(n), side="right") - 1
+    stop = np.searchsorted(sums, sums[:-1] + max(least, 1))
+    start = np.searchsorted(sums, sums[1:] - max(least, 1), side="right") - 1
+    ahead, behind = stop <= edge[doc + 1], start >= edge[doc]
+    starts = np.concatenate([np.flatnonzero(ahead), start[behind]])
+    stops = np.concatenate([stop[ahead], np.flatnonzero(behind) + 1])
+    keys, size = hashes[starts].astype(np.uint64), stops - starts
+    for k in range(1, int(size.max(initial=1))):
+        on = np.flatnonzero(size > k)
+        with np.errstate(over="ignore"):
+            keys[on] = mixed(keys[on] * np.uint64(3) + hashes[starts[on] + k].astype(np.uint64) + np.uint64(k))
+    return keys.view(np.int64), starts, stops
+
+
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and words of all lines of a batch, and where each document's begin."""
+    hashes = batch.column("hashes")
+    edge = np.append(0, np.cumsum(hashes.value_lengths().to_numpy(zero_copy_only=False))).astype(np.int64)
+    return hashes.flatten().to_numpy(), batch.column("words").flatten().to_numpy(), edge
+
+
+def _keys(lines: DataFrame, least: int) -> DataFrame:
+    """``(doc, h, kind)``: each document's distinct lines, and windows of several lines."""
+
+    def run(batches):
+        for batch in batches:
+            hashes, words, edge = _flat(batch)
+            found, starts, stops = windows(hashes, words, edge, least)
+            several = stops - starts > 1
+            at = np.concatenate([np.arange(len(hashes)), starts[several]])
+            h = np.concatenate([hashes, found[several]])
+            kind = np.concatenate([np.where(words >= least, LONG, SHORT), np.full(int(several.sum()), SEVERAL)])
+            doc = np.searchsorted(edge, at, side="right") - 1
+            order = np.lexsort((kind, h, doc))
+            doc, h, kind = doc[order], h[order], kind[order]
+            new = np.ones(len(doc), bool)
+            new[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1]) | (kind[1:] != kind[:-1])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc").take(pa.array(doc[new])), pa.array(h[new]), pa.array(kind[new].astype(np.int8))],
+                names=["doc", "h", "kind"],
+            )
+
+    kind = lines.schema["doc"].dataType.simpleString()
+    return lines.select("doc", "hashes", "words").mapInArrow(run, f"doc {kind}, h bigint, kind tinyint")
+
+
 def _line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``doc`` (key, earliest first) with its worded lines: hashes, words, line numbers."""
 
@@ -134,10 +251,11 @@ def deletions(
 ) -> DataFrame:
     """``(doc, drop, n_dropped)``: for documents that lose lines, a flag per line."""
     lines = stored(_line_table(docs, id_col, text_col).dropDuplicates(["doc"]))
-    placed = lines.select("doc", F.explode(F.array_distinct("hashes")).alias("h"))
-    held = placed.groupBy("h").agg(F.min("doc").alias("first"), F.count("*").alias("holders")).where("holders > 1")
-    later = stored(placed.join(held, "h").where("doc != first"))
-    pairs = later.where(F.col("holders") <= rare).select("doc", "first").distinct()
+    placed = _keys(lines, min_words)
+    held = placed.groupBy("h", "kind").agg(F.min("doc").alias("first"), F.count("*").alias("holders")).where("holders > 1")
+    later = stored(placed.join(held, ["h", "kind"]).where("doc != first"))
+    paired = (F.col("kind") == SHORT) | ((F.col("kind") == LONG) & (F.col("holders") <= rare))
+    pairs = later.where(paired).select("doc", "first").distinct()
     own = lines.select("doc", F.col("hashes").alias("b"))
     earlier = lines.select(F.col("doc").alias("first"), F.col("hashes").alias("a"))
 
@@ -152,17 +270,21 @@ def deletions(
     kind = lines.schema["doc"].dataType.simpleString()
     matched = pairs.join(earlier, "first").join(own, "doc").select("doc", "a", "b").mapInArrow(
         aligned, f"doc {kind}, places array<int>"
-    ).select("doc", F.explode("places").alias("place"))
-    frequent = later.where(F.col("holders") > rare).select("doc", "h")
-    spots = lines.select("doc", F.posexplode("hashes").alias("place", "h"))
-    common = spots.join(frequent, ["doc", "h"]).select("doc", "place")
-    places = matched.unionByName(common).groupBy("doc").agg(F.sort_array(F.collect_set("place")).alias("places"))
+    ).select("doc", F.explode("places").alias("place")).groupBy("doc").agg(F.collect_set("place").alias("places"))
+    exact = later.where(F.col("kind") != SHORT).groupBy("doc").agg(F.collect_set("h").alias("keys"))
 
     def flagged(batches):
         for batch in batches:
             docs_, drop, n = [], [], []
-            for i, row in enumerate(batch.select(["places", "words", "numbers", "n_lines"]).to_pylist()):
-                gone = blocks(row["places"], row["words"], min_words)
+            for i, row in enumerate(batch.select(["places", "keys", "hashes", "words", "numbers", "n_lines"]).to_pylist()):
+                hit = np.zeros(len(row["words"]) + 1, np.int64)
+                hit[row["places"] or []] = 1
+                found, starts, stops = windows(np.array(row["hashes"], np.int64), np.array(row["words"]), np.array([0, len(row["words"])]), min_words)
+                known = np.isin(found, np.array(row["keys"] or [], np.int64))
+                span = np.zeros(len(hit), np.int64)
+                np.add.at(span, starts[known], 1)
+                np.add.at(span, stops[known], -1)
+                gone = blocks(np.flatnonzero(hit + np.cumsum(span)).tolist(), row["words"], min_words)
                 if gone:
                     flags = np.zeros(row["n_lines"], bool)
                     flags[np.array(row["numbers"])[gone]] = True
@@ -177,7 +299,7 @@ def deletions(
                 names=["doc", "drop", "n_dropped"],
             )
 
-    return places.join(lines.drop("hashes"), "doc").mapInArrow(
+    return matched.join(exact, "doc", "full").join(lines, "doc").mapInArrow(
         flagged, f"doc {kind}, drop array<boolean>, n_dropped bigint"
     )
 

@@ -235,6 +235,61 @@ def test_frequent_lines_are_found_without_pairs(spark, rare):
     assert {r.doc_id: r.n_lines_dropped for r in found} == {i: int(i > 0) for i in range(6)}
 
 
+def test_alignment_of_repeated_lines():
+    assert line_dedup.align([1, 2, 3, 9, 1, 2, 3], [7, 1, 2, 3, 8]) == [1, 2, 3]
+    assert line_dedup.align([7, 1, 2, 3, 8], [1, 2, 3, 9, 1, 2, 3]) in ([0, 1, 2], [4, 5, 6])
+
+
+@pytest.mark.parametrize("row_bits", [1, 1 << 28])
+def test_gaps_without_unique_lines(monkeypatch, row_bits):
+    monkeypatch.setattr(line_dedup, "ROW_BITS", row_bits)
+    r = random.Random(3)
+    for _ in range(300):
+        a, b = ([r.randrange(5) for _ in range(r.randrange(14))] for _ in range(2))
+        longest = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                longest[i + 1][j + 1] = longest[i][j] + 1 if x == y else max(longest[i][j + 1], longest[i + 1][j])
+        places = sorted(line_dedup._subsequence(a, b))
+        it = iter(a)
+        assert len(set(places)) == longest[-1][-1] and all(any(x == b[p] for x in it) for p in places)
+
+
+@pytest.mark.parametrize("rare", [1, 2, 1000])
+def test_repeated_and_crossed_passages(spark, rare):
+    p, q = ([prose(60 + 10 * s + k, 2 + k) for k in range(4)] for s in range(2))
+    own = [prose(100 + k, 9) for k in range(9)]
+    docs = [
+        (1, [*p, own[0], *p]), (2, [own[1], *p, own[2]]), (3, [own[3], *p, own[4], *q, own[5]]),
+        (4, [*q, own[6], *p]), (5, [own[7], *q, *p, own[8], *q, *p]),
+    ]
+    found = {r.doc_id: r.text for r in line_dedup.drop_repeated_lines(
+        spark.createDataFrame([(i, "\n".join(x)) for i, x in docs], "doc_id bigint, text string"), rare=rare).collect()}
+    assert found[1] == "\n".join(docs[0][1]) and found[2] == "\n".join([own[1], own[2]])
+    assert found[3] == "\n".join([own[3], own[4], *q, own[5]])
+    assert found[4] == own[6] and found[5] == "\n".join([own[7], own[8]])
+
+
+@pytest.mark.parametrize("rare", [1, 3, 1000])
+def test_every_block_of_an_earlier_document_goes(spark, rare):
+    r = random.Random(4)
+    pool = [" ".join(f"{chr(97 + k)}{j}" for j in range(1 + k % 6)) for k in range(14)]
+    docs = [[r.choice(pool) for _ in range(r.randrange(1, 13))] + [f"only {i}"] for i in range(60)]
+    for i, b in enumerate(docs):
+        b.insert(r.randrange(len(b)), f"line of {i} alone")
+    found = line_dedup.deletions(
+        spark.createDataFrame([(i, "\n".join(b)) for i, b in enumerate(docs)], "doc_id bigint, text string"), rare=rare).collect()
+    dropped = {row.doc.id: {k for k, gone in enumerate(row.drop) if gone} for row in found}
+    for i, b in enumerate(docs):
+        gone = dropped.get(i, set())
+        assert all(any(b[k] in a for a in docs[:i]) for k in gone)
+        for lo in range(len(b)):
+            for hi in range(lo + 1, len(b) + 1):
+                held = any(a[k : k + hi - lo] == b[lo:hi] for a in docs[:i] for k in range(len(a)))
+                if held and sum(len(x.split()) for x in b[lo:hi]) >= 5:
+                    assert set(range(lo, hi)) <= gone
+
+
 # -- 4: packing -------------------------------------------------------------
 
 def test_packing_query(spark, tiny):
