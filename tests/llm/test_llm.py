@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -549,6 +550,24 @@ def test_compression_bands(spark):
     assert found[1].kept and found[2].kept and not found[3].kept and not found[3].base_failed
 
 
+def plain_text():
+    """The longest document in ASCII that repeats little."""
+    texts = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"]).column(0).to_pylist()
+    return max((t for t in texts if t and t.isascii() and len(t) < 4 * len(zlib.compress(t.encode()))), key=len)
+
+
+@pytest.mark.parametrize("n_bytes", [200, 300, 399, 400, 500, 700, 999, 1_000, 1_154, 2_519, 3_989, 5_000, 20_000])
+def test_production_bands(n_bytes):
+    r = random.Random(n_bytes)
+    base64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    noise = [" ".join("".join(r.choice(base64) for _ in range(w)) for _ in range(n_bytes // w + 1))[:n_bytes] for w in (7, 12)]
+    press = quality_rules.zstandard.ZstdCompressor(level=quality_rules.LEVEL)
+    verdict = lambda text: all(quality_rules.within(n, x) for n, x in quality_rules.ratios(text.encode(), press))
+    assert not any(map(verdict, noise))
+    assert not verdict(("the same words again. " * n_bytes)[:n_bytes])
+    assert verdict(plain_text()[:n_bytes])
+
+
 # -- 9: fingerprints --------------------------------------------------------
 
 def test_simhash_query(spark, tiny):
