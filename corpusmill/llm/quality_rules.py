@@ -17,6 +17,8 @@ from .texts import IS_FIRST, IS_SPACE, Texts, by_piece, shingles
 
 LEVEL = 3
 CHUNK_BYTES = 4096
+#: What is left after the last full chunk is a chunk of its own from this length.
+REST_BYTES = 1_000
 
 #: (bytes from, least ratio, greatest ratio); a row holds up to the next one.
 #: From 150 bytes the least ratio lies between what was measured for words of random
@@ -55,8 +57,15 @@ def within(n_bytes: int, ratio: float, bands=BANDS) -> bool:
 
 
 def ratios(text: bytes, press: zstandard.ZstdCompressor, chunk: int = CHUNK_BYTES) -> list[tuple[int, float]]:
-    """Length and ratio of the whole text, then of each full chunk."""
+    """Length and ratio of the whole text, then of its chunks if it holds a full one.
+
+    They cover the text: a rest of ``REST_BYTES`` or more is judged by itself, a
+    shorter one within the last ``chunk`` bytes.
+    """
     parts = [text, *(text[i : i + chunk] for i in range(0, len(text) - chunk + 1, chunk))]
+    rest = len(text) % chunk if len(text) > chunk else 0
+    if rest:
+        parts.append(text[-rest:] if rest >= REST_BYTES else text[-chunk:])
     return [(len(p), len(p) / len(press.compress(p))) for p in parts if p]
 
 

@@ -568,6 +568,17 @@ def test_production_bands(n_bytes):
     assert verdict(plain_text()[:n_bytes])
 
 
+def test_the_rest_after_the_last_chunk_is_judged():
+    press = quality_rules.zstandard.ZstdCompressor(level=quality_rules.LEVEL)
+    text = plain_text()
+    odd = (text[:4100] + " " + "This one sentence is here again and again. " * 49).encode()
+    assert [n for n, _ in quality_rules.ratios(odd, press)] == [len(odd), 4096, len(odd) - 4096]
+    assert quality_rules.within(*quality_rules.ratios(odd, press)[0])
+    assert not all(quality_rules.within(*p) for p in quality_rules.ratios(odd, press))
+    assert [n for n, _ in quality_rules.ratios(text[:4500].encode(), press)] == [4500, 4096, 4096]
+    assert [len(quality_rules.ratios(b"x" * n, press)) for n in (4095, 4096, 4097, 8192)] == [1, 2, 3, 3]
+
+
 # -- 9: fingerprints --------------------------------------------------------
 
 def test_simhash_query(spark, tiny):
