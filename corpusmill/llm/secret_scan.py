@@ -1,7 +1,8 @@
 """Secret scan: plain patterns, and a linear-chain conditional random field.
 
-The patterns find what they name.  The field learns from their findings in a
-bounded sample what secrets look like (shape, neighbouring words, the file) and
+The patterns find what they name.  The field learns from their findings in
+bounded samples of the texts with and without any what secrets look like (shape,
+neighbouring words, the file) and
 tags every token of every text as the begin of a secret, inside one, or
 outside; the best tagging is found by Viterbi.  Its spans are added where they
 touch no pattern's span.
@@ -33,8 +34,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "crf")
 
-#: Texts (about) that the field learns from, by a hash of the text.
+#: Distinct texts (about) without and with secrets that the field learns from, by a hash of the text.
 TRAINING_ROWS = 20_000
+SECRET_ROWS = 2_000
+SHARES = 1 << 40
 WINDOW = 24
 #: One of so many texts of the sample also gives a window of its middle.
 ORDINARY = 8
@@ -83,6 +86,11 @@ def secret_parts(text: str) -> list[tuple[int, int]]:
     return sorted(found + [m.span() for r in (ACCESS, HEX) for m in r.finditer(text)])
 
 
+def shows_secret(text: str) -> bool:
+    """Whether :func:`secret_parts` finds any."""
+    return bool(HEX.search(text) or ACCESS.search(text) or any(len(m[2]) >= 6 for m in ASSIGN.finditer(text)))
+
+
 def tokens(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and texts of runs of word characters and of single marks."""
     data = texts.data
@@ -301,30 +309,57 @@ def _windows(texts: Texts, listed: list[str], keywords: _Keywords):
                     yield masked, own
 
 
-def learn(docs: DataFrame, text_col: str = "text", most_rows: int = TRAINING_ROWS) -> Field | None:
-    """A field from a sample of about ``most_rows`` texts; None if it shows no secret.
+def learn(
+    docs: DataFrame, text_col: str = "text", most_rows: int = TRAINING_ROWS, most_secrets: int = SECRET_ROWS
+) -> Field | None:
+    """A field from about ``most_rows`` texts without and ``most_secrets`` with secrets; None if no text shows one.
 
-    Windows come to the driver: 27 per text at most, of 48 tokens and 9 bytes
-    per token, which bounds them by the sample.
+    The patterns run over all rows, and equal texts count once.  Windows come to
+    the driver: 27 per text at most, of 48 tokens and 9 bytes per token, which
+    bounds them by the samples.
     """
-    total = docs.count()
-    if total > most_rows:
-        share = F.pmod(F.xxhash64(F.lit("secrets"), f"`{text_col}`"), F.lit(1 << 20))
-        docs = docs.where(share < int(most_rows / total * (1 << 20)))
+    keyed = docs.where(F.col(f"`{text_col}`").isNotNull()).select(
+        F.xxhash64(F.lit("secrets"), f"`{text_col}`").alias("h"), F.col(f"`{text_col}`").alias("text")
+    )
+
+    def mark(batches):
+        for batch in batches:
+            shown = [shows_secret(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(shown, pa.bool_())], names=["h", "shown"])
+
+    marked = keyed.mapInArrow(mark, "h bigint, shown boolean").distinct().groupBy("shown").count().collect()
+    texts = {r["shown"]: r["count"] for r in marked}
+    if not texts.get(True):
+        return None
+    below = {
+        shown: SHARES if texts.get(shown, 0) <= most else SHARES * most // texts[shown]
+        for shown, most in ((False, most_rows), (True, most_secrets))
+    }
+    share = F.pmod("h", F.lit(SHARES))
 
     def run(batches):
-        keywords = _Keywords()
+        keywords, seen = _Keywords(), set()
         for batch in batches:
-            for piece in pieces(batch, text_col):
-                listed = [t or "" for t in piece.column(0).to_pylist()]
-                found = list(_windows(Texts(piece.column(0)), listed, keywords))
+            for piece in pieces(batch, "text"):
+                at, listed = [], piece.column("text").to_pylist()
+                for i, (h, part) in enumerate(zip(piece.column("h").to_pylist(), piece.column("share").to_pylist())):
+                    if h not in seen and part < below[shows_secret(listed[i])]:
+                        seen.add(h)
+                        at.append(i)
+                chosen = piece.take(pa.array(at, pa.int64()))
+                rows = [
+                    (h, k, c.tobytes(), t.astype(np.uint8).tobytes())
+                    for i, h in enumerate(chosen.column("h").to_pylist())
+                    for k, (c, t) in enumerate(_windows(Texts(chosen.column("text").slice(i, 1)), [listed[at[i]]], keywords))
+                ]
+                kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([c.tobytes() for c, _ in found], pa.binary()),
-                     pa.array([t.astype(np.uint8).tobytes() for _, t in found], pa.binary())],
-                    names=["codes", "tags"],
+                    [pa.array([r[j] for r in rows], kind) for j, kind in enumerate(kinds)], names=["h", "k", "codes", "tags"]
                 )
 
-    found = docs.select(text_col).mapInArrow(run, "codes binary, tags binary").orderBy(F.xxhash64("codes", "tags")).collect()
+    drawn = keyed.withColumn("share", share).where(F.col("share") < max(below.values()))
+    windows = drawn.mapInArrow(run, "h bigint, k int, codes binary, tags binary").distinct()
+    found = windows.select("codes", "tags").orderBy(F.xxhash64("codes", "tags"), "codes", "tags").collect()
     if not any(set(r["tags"]) - {0} for r in found):
         return None
     n, t = len(found), 2 * WINDOW

@@ -522,6 +522,17 @@ def test_field_finds_what_patterns_miss_and_viterbi_is_exact(spark):
         assert tags[own].tolist() == path[::-1]
 
 
+def test_field_learns_from_rare_and_repeated_secrets(spark):
+    key = "password=9f8a7c6d5e4f3a2b1c0d9f8a"
+    rows = [(i, prose(i, 12)) for i in range(300)] + [(300, f"{prose(900, 20)} {key} {prose(901, 20)}")]
+    rows += [(301 + i, rows[0][1]) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    field = secret_scan.learn(docs, most_rows=10, most_secrets=5)
+    again = secret_scan.learn(docs.unionByName(docs.where("doc_id = 300")), most_rows=10, most_secrets=5)
+    assert field is not None and np.array_equal(field.emit, again.emit)
+    assert secret_scan.learn(docs.where("doc_id != 300"), most_rows=10) is None
+
+
 # -- 8: quality -------------------------------------------------------------
 
 def test_quality_counts(spark, tiny):
