@@ -18,8 +18,6 @@ from corpusmill.scale import shared_dir, small_side
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Below this cosine with every language a text is no language's.
 MIN_SCORE = 0.05
-#: A document that keeps less than this share of its words was a copy.
-MIN_LEFT = 0.2
 
 
 def _as_documents(df: DataFrame) -> DataFrame:
@@ -41,11 +39,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the blocks that earlier documents hold.
 
-    A document of which hardly anything is left repeats earlier ones and goes.
+    A document of which no word is left goes.
     """
-    cut = line_dedup.drop_repeated_lines(docs.withColumn("_before", mixing.word_count(F.col("text"))))
-    left = mixing.word_count(F.col("text")) >= MIN_LEFT * F.col("_before")
-    return _as_documents(cut.where((F.col("n_lines_dropped") == 0) | (left & ~F.col("emptied"))))
+    return _as_documents(line_dedup.drop_repeated_lines(docs).where(~F.col("emptied")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

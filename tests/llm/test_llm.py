@@ -685,6 +685,14 @@ def test_mix_cut_is_narrowed(spark, monkeypatch):
 
 # -- the pipeline -----------------------------------------------------------
 
+def test_pipeline_keeps_what_line_dedup_leaves(spark):
+    passage, own = prose(7, 60), prose(8, 14)
+    rows = [(1, passage), (2, f"{passage}\n{own}"), (3, passage), (4, None)]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t or "")) for i, t in rows], SCHEMA)
+    left = {r.doc_id: r.text for r in corpus_pipeline.drop_lines(spark, docs, TINY).collect()}
+    assert left == {1: passage, 2: own, 4: None}
+
+
 def test_pipeline_stages(spark, tmp_path):
     docs = spark.read.parquet(f"{TINY}/documents.parquet")
     rows, copies = {r.doc_id: r for r in docs.collect()}, {}
