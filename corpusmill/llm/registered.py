@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import fingerprints, language_id, language_model, line_dedup, mixing, near_dedup, packing, quality_rules, secret_scan, token_counts
+from . import filter_audit, fingerprints, language_id, language_model, line_dedup, mixing, near_dedup, packing, quality_rules, secret_scan, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,11 +58,15 @@ def op10_fair_mix(spark, sf_dir):
     return mixing.fair_mix(_documents(spark, sf_dir)).drop("finish", "n_copies")
 
 
+def op11_filter_audit(spark, sf_dir):
+    return filter_audit.audit(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_hyperdimensional_language, op2_minhash_dedup, op3_line_alignment, op4_best_fit_packing, op5_token_counts,
-        op6_context_tree, op7_secret_crf, op8_quality_rules, op9_simhash, op10_fair_mix,
+        op6_context_tree, op7_secret_crf, op8_quality_rules, op9_simhash, op10_fair_mix, op11_filter_audit,
     )
 }
 QUERIES["pipeline"] = corpus_pipeline.run
@@ -97,3 +101,43 @@ sent AS (
 taken AS (SELECT doc_id, CAST(sum(size) AS BIGINT) AS taken FROM sent WHERE used <= budget GROUP BY 1)
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, coalesce(taken, 0) AS taken
 FROM queued LEFT JOIN taken USING (doc_id)"""
+
+
+ORACLES["op11_filter_audit"] = rf"""
+WITH marks AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY 1),
+rows_ AS (
+  SELECT d.doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS part, coalesce(good, false) AS good,
+    coalesce(toxic, false) AS toxic, regexp_extract_all(coalesce(text, ''), '{filter_audit.WORD}') AS w,
+    min(d.doc_id) OVER (PARTITION BY coalesce(text, '')) AS low
+  FROM documents d LEFT JOIN marks USING (doc_id)),
+failed AS (
+  SELECT part, good, toxic,
+    (CASE WHEN len(w) < 100 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' ELSE '' END)
+    || (CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 10 * length(t) THEN 'C' ELSE '' END)
+    || (CASE WHEN regexp_matches(t, '{filter_audit.SYMBOLS}') THEN 'D' ELSE '' END)
+    || (CASE WHEN doc_id > low THEN 'E' ELSE '' END) AS fails FROM rows_),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (
+  SELECT filter_order, step, filter_order[step] AS x, filter_order[1:step - 1] AS before
+  FROM (SELECT filter_order, unnest([1, 2, 3, 4, 5]) AS step FROM orders)),
+cells AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS n_good, count(*) FILTER (toxic) AS n_toxic FROM failed GROUP BY 1, 2),
+walked AS (
+  SELECT part, filter_order, step, x, n, n_good, n_toxic, fails, contains(fails, x) AS here,
+    len(list_intersect(string_split(fails, ''), string_split(before, ''))) > 0 AND fails <> '' AND before <> '' AS gone
+  FROM cells, steps),
+counted AS (
+  SELECT part, filter_order, step, x,
+    coalesce(sum(n) FILTER (NOT here AND NOT gone), 0) AS kept, coalesce(sum(n) FILTER (here AND NOT gone), 0) AS removed,
+    coalesce(sum(n) FILTER (here AND gone), 0) AS redundant, coalesce(sum(n) FILTER (fails = x), 0) AS unique_fails,
+    coalesce(sum(n_good) FILTER (here AND NOT gone), 0) AS good_lost,
+    coalesce(sum(n_toxic) FILTER (here AND NOT gone), 0) AS toxic_lost
+  FROM walked GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+  CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+  CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley
+FROM counted"""
