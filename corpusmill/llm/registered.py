@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import filter_audit, fingerprints, language_id, language_model, line_dedup, mixing, near_dedup, packing, quality_rules, secret_scan, token_counts
+from . import (
+    collocations, filter_audit, fingerprints, language_id, language_model, line_dedup, mixing, near_dedup, packing,
+    quality_rules, secret_scan, suffix_dedup, token_counts,
+)
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,11 +65,20 @@ def op11_filter_audit(spark, sf_dir):
     return filter_audit.audit(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op12_suffix_merge(spark, sf_dir):
+    return suffix_dedup.drop_repeated_bytes(_documents(spark, sf_dir))
+
+
+def op13_collocations(spark, sf_dir):
+    return collocations.collocations(_documents(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_hyperdimensional_language, op2_minhash_dedup, op3_line_alignment, op4_best_fit_packing, op5_token_counts,
         op6_context_tree, op7_secret_crf, op8_quality_rules, op9_simhash, op10_fair_mix, op11_filter_audit,
+        op12_suffix_merge, op13_collocations,
     )
 }
 QUERIES["pipeline"] = corpus_pipeline.run
@@ -141,3 +153,53 @@ SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) A
   CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
   CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley
 FROM counted"""
+
+ORACLES["op12_suffix_merge"] = """
+WITH held AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, length(hex(encode(coalesce(text, '')))) // 2 AS n FROM documents),
+strings AS (
+  SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s
+  FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS p FROM held WHERE n >= 50)),
+low AS (SELECT s, min(doc_id) AS low FROM strings GROUP BY s HAVING min(doc_id) < max(doc_id)),
+hits AS (SELECT doc_id, p FROM strings JOIN low USING (s) WHERE doc_id > low),
+marked AS (SELECT doc_id, p, p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) BETWEEN 0 AND 50 AS goes_on FROM hits),
+numbered AS (
+  SELECT doc_id, p, sum(CASE WHEN goes_on THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM marked),
+spans AS (SELECT doc_id, run, min(p) AS a, max(p) + 50 AS b FROM numbered GROUP BY 1, 2),
+between_ AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM spans),
+cut AS (
+  SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last,
+    string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) AS head
+  FROM between_ JOIN held USING (doc_id) GROUP BY 1)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE head || substr(h, 2 * last + 1) END)) AS kept_sha256
+FROM held LEFT JOIN cut USING (doc_id)"""
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+ORACLES["op13_collocations"] = rf"""
+WITH split AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+worded AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM split),
+counted AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f
+  FROM (SELECT lang, w, i, unnest(range(1, 5)) AS k FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM worded WHERE len(w) > 0))
+  WHERE i + k - 1 <= len(w) GROUP BY 1, 2, 3),
+often AS (SELECT * FROM counted WHERE f >= 30),
+total AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counted WHERE k = 1 GROUP BY 1),
+cuts AS (
+  SELECT lang, phrase, f AS a, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS cut FROM often WHERE k > 1),
+halves AS (
+  SELECT c.*, l.f AS l, r.f AS r, CAST(CAST(2000000 AS HUGEINT) * a // (l.f + r.f) AS BIGINT) AS score
+  FROM cuts c JOIN often l ON l.lang = c.lang AND l.phrase = array_to_string(w[1:cut], ' ')
+  JOIN often r ON r.lang = c.lang AND r.phrase = array_to_string(w[cut + 1:], ' ')),
+best AS (SELECT * FROM halves QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+around AS (
+  SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS phrase, max(a) AS longest
+  FROM (SELECT lang, a, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM (
+    SELECT lang, a, w, unnest(range(2, len(w))) AS k FROM best WHERE len(w) > 2)) GROUP BY 1, 2)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank, b.phrase, a, l, r, n, score
+FROM best b JOIN total USING (lang) LEFT JOIN around o ON o.lang = b.lang AND o.phrase = b.phrase
+WHERE o.longest IS NULL OR 100 * o.longest < 80 * a
+QUALIFY rank <= 2000"""
