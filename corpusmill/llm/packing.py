@@ -11,7 +11,9 @@ group costs the whole as well.
 
 from __future__ import annotations
 
+import os
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scale import stored
-from .texts import Lookup, Texts, pieces
+from .texts import Lookup, Texts, pieces, released
 
 CAPACITY = 1024
 END_ID = 2
@@ -28,6 +30,7 @@ TOKENIZER = "byte_bpe_50k.json"
 GROUP_ITEMS = 100_000
 ROUNDS = 3
 CACHED_WORDS = 500_000
+CACHED_IDS = 4_000_000
 PIECE_BYTES = 1 << 20
 
 
@@ -45,6 +48,8 @@ class Encoder:
     SHORT, LONG = "stmd", ("re", "ve", "ll")
 
     def __init__(self, path: str) -> None:
+        # Spark runs as many tasks as there are cores already.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -54,25 +59,31 @@ class Encoder:
 
     def _forget(self) -> None:
         """Start the cache of pre-tokens afresh: keys to numbers, numbers to ids."""
+        if not hasattr(self, "ids"):
+            self.first, self.size = np.zeros(CACHED_WORDS, np.int32), np.zeros(CACHED_WORDS, np.int32)
+            self.ids = np.zeros(CACHED_IDS, np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
         self.known = Lookup(np.zeros(0, np.uint64), np.zeros(0, np.int32), CACHED_WORDS)
-        self.first, self.size = np.zeros(0, np.int32), np.zeros(0, np.int32)
-        self.ids = np.zeros(0, np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
+        self.n_ids = 0
 
-    def _learn(self, texts: Texts, h: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
-        """Encode pre-tokens that are not known yet."""
-        keys, first = np.unique(h, return_index=True)
+    def _learn(self, texts: Texts, keys: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
+        """Encode distinct pre-tokens that are not known yet."""
         raw = texts.data.tobytes()
         sizes, ids = [], []
         for a in range(0, len(keys), 4096):
-            words = [raw[begin[i] : end[i]].decode() for i in first[a : a + 4096]]
+            words = [raw[i:j].decode() for i, j in zip(begin[a : a + 4096].tolist(), end[a : a + 4096].tolist())]
             for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False):
                 sizes.append(len(e.ids))
                 ids.extend(e.ids)
-        sizes = np.array(sizes, np.int32)
-        self.known.add(keys, np.arange(len(self.size), len(self.size) + len(keys), dtype=np.int32))
-        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(sizes, dtype=np.int32) - sizes])
-        self.size = np.concatenate([self.size, sizes])
-        self.ids = np.concatenate([self.ids, np.array(ids, self.ids.dtype)])
+        sizes, a, b = np.array(sizes, np.int32), self.known.size, self.known.size + len(keys)
+        # Room grows only for a single piece with more than is kept otherwise.
+        if b > len(self.size):
+            self.first, self.size = np.resize(self.first, b), np.resize(self.size, b)
+        if self.n_ids + len(ids) > len(self.ids):
+            self.ids = np.resize(self.ids, self.n_ids + len(ids))
+        self.known.add(keys, np.arange(a, b, dtype=np.int32))
+        self.first[a:b], self.size[a:b] = self.n_ids + np.cumsum(sizes, dtype=np.int32) - sizes, sizes
+        self.ids[self.n_ids : self.n_ids + len(ids)] = ids
+        self.n_ids += len(ids)
 
     def _classify(self, codes: np.ndarray) -> None:
         split = self.tokenizer.pre_tokenizer.pre_tokenize_str
@@ -137,10 +148,16 @@ class Encoder:
         h = texts.hashes(begin, end)
         number, hit = self.known.find(h)
         if not hit.all():
-            if self.known.size + int((~hit).sum()) > CACHED_WORDS:
+            keys, first = np.unique(h[~hit], return_index=True)
+            # An id stands for a byte at least.
+            size = int((end - begin)[~hit][first].sum())
+            if self.known.size + len(keys) > CACHED_WORDS or self.n_ids + size > CACHED_IDS:
                 self._forget()
                 hit[:] = False
-            self._learn(texts, h[~hit], begin[~hit], end[~hit])
+                keys, first = np.unique(h, return_index=True)
+                if len(keys) > CACHED_WORDS:
+                    self.known = Lookup(np.zeros(0, np.uint64), np.zeros(0, np.int32), len(keys))
+            self._learn(texts, keys, begin[~hit][first], end[~hit][first])
             number, _ = self.known.find(h)
         lens = self.size[number].astype(np.int64)
         stop = np.cumsum(lens)
@@ -161,6 +178,12 @@ class Encoder:
         return ids, counts
 
 
+@lru_cache(1)
+def encoder(path: str) -> Encoder:
+    """One encoder for each worker process: a new one for each task would not give back the old one's memory."""
+    return Encoder(path)
+
+
 def cut_points(n: int, capacity: int = CAPACITY) -> list[int]:
     """Starts of the pieces of ``n`` tokens: whole ones, after a shorter first."""
     short = n % capacity
@@ -181,12 +204,11 @@ def token_pieces(
     def run(batches):
         from pyspark import TaskContext
 
-        # One per task, as idle workers would keep its memory.
-        encoder = Encoder(public_tokenizers.path(tokenizer))
+        encode = encoder(public_tokenizers.path(tokenizer)).encode
         uid = TaskContext.get().partitionId() << 33
         for batch in batches:
             for part in pieces(batch, text_col, PIECE_BYTES):
-                ids, counts = encoder.encode(part.column(1))
+                ids, counts = encode(part.column(1))
                 stops = np.cumsum(counts)
                 row, number, start, length, crc = [], [], [], [], []
                 for i, (stop, count) in enumerate(zip(stops.tolist(), counts.tolist())):
@@ -209,7 +231,7 @@ def token_pieces(
                 uid += len(row)
 
     schema = f"`{id_col}` {id_type}, piece int, start bigint, length bigint, ids_crc32 bigint, uid bigint"
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(released(run), schema)
 
 
 # -- packing ----------------------------------------------------------------
