@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 from ..functions.tokens import HEURISTIC
 from ..options import JobOptions
 from ..scale import small_side, stored
+from . import sieve
 
 KEY = ["project", "rel_path"]
 
@@ -110,21 +111,41 @@ def hits(keys: DataFrame, cache: DataFrame) -> DataFrame:
     return keys.drop("content", "n_tokens").hint("shuffle_hash").join(stored_rows, "fingerprint")
 
 
-def _missing(keys: DataFrame, cache: DataFrame) -> DataFrame:
-    """Fingerprints of files without a stored result, marked for broadcast if few.
+def _sifted(files: DataFrame, cache: DataFrame) -> DataFrame:
+    """Add ``_maybe``: false where a file certainly has no stored result."""
+    return sieve.with_maybe(files, sieve.build(cache, "fingerprint"), "fingerprint")
+
+
+def _missing(keys: DataFrame, cache: DataFrame) -> tuple[DataFrame, bool]:
+    """Fingerprints without a stored result, and whether they are few enough to broadcast.
 
     Compared by key alone, without any text.
     """
     names = keys.select("fingerprint").join(cache.select("fingerprint"), "fingerprint", "left_anti")
-    return small_side(names.distinct())[0]
+    return small_side(names.distinct())
+
+
+def _left_over(sifted: DataFrame, missing: DataFrame, few: bool) -> DataFrame:
+    """Rows of ``sifted`` without a stored result; ``missing`` names those among the maybes.
+
+    What the filter rules out is passed on where it is.  Only if it lets very
+    many through, the text of these alone is joined by shuffle.
+    """
+    if few:
+        marked = sifted.join(missing.withColumn("_missing", F.lit(True)), "fingerprint", "left")
+        return marked.where("not _maybe or _missing").drop("_maybe", "_missing")
+    sure = sifted.where("not _maybe")
+    return sure.unionByName(sifted.where("_maybe").join(missing, "fingerprint", "left_semi")).drop("_maybe")
 
 
 def misses(files: DataFrame, cache: DataFrame) -> DataFrame:
     """Files (with fingerprints) without a stored result, with all columns.
 
-    When few are missing, the text of the others is never moved.
+    A filter of fixed size, broadcast, tells most of them without a join; the
+    few that it lets through wrongly cost a join by key.
     """
-    return files.join(_missing(files, cache), "fingerprint", "left_semi")
+    sifted = _sifted(files, cache)
+    return _left_over(sifted, *_missing(sifted.where("_maybe"), cache)).select(*files.columns)
 
 
 def split(
@@ -133,15 +154,15 @@ def split(
     """``(hits, rest)`` of files with a ``taken`` flag.
 
     ``finish`` adds fingerprints (and whatever a hit needs from its raw text).
-    The keys are stored first, so jobs run while the plan is being built; the
-    rest is taken files without a stored result, told by fingerprint, and files
-    that are not taken.
+    The keys that may be stored are written first, so jobs run while the plan is
+    being built; the rest is taken files without a stored result, told by
+    fingerprint, and files that are not taken.
     """
     finished = finish(files)
-    keys = stored(finished.where("taken").drop("content"))
-    missing = _missing(keys, cache).withColumn("_missing", F.lit(True))
-    rest = finished.join(missing, "fingerprint", "left").where("not taken or _missing").drop("_missing")
-    return hits(keys, cache), rest
+    sifted = _sifted(finished, cache).withColumn("_maybe", F.col("taken") & F.col("_maybe"))
+    keys = stored(sifted.where("_maybe").drop("content", "_maybe"))
+    rest = _left_over(sifted, *_missing(keys, cache))
+    return hits(keys, cache), rest.select(*finished.columns)
 
 
 def upsert(cache: DataFrame, fresh: DataFrame) -> DataFrame:

@@ -111,6 +111,16 @@ def files(spark: SparkSession, sf_dir: str, with_text: bool = False) -> DataFram
     )
 
 
+def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as they are, as files; copies among them are files of equal text."""
+    docs = texts(spark, sf_dir, "doc_id", "source", "lang", "text")
+    ext = F.when(F.col("doc_id") % 2 == 0, F.lit(".py")).otherwise(F.lit(".md"))
+    path = F.concat("lang", F.lit("/note_"), F.col("doc_id").cast("string"), ext)
+    return docs.select(
+        F.col("source").alias("project"), path.alias("rel_path"), ext.alias("ext"), F.col("text").alias("content")
+    )
+
+
 def ignore_files(files_: DataFrame) -> DataFrame:
     """A root ignore file per project, written from the project's last document."""
     return (

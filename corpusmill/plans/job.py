@@ -13,7 +13,7 @@ from .. import fixed_values as fv
 from ..functions.pycode import SYMBOL_TYPE
 from ..functions.text import transform_column
 from ..functions.tokens import model_tokens, token_method
-from ..operators import assembly, counters, filtering, reuse, tree
+from ..operators import assembly, counters, filtering, reuse, shared_text, tree
 from ..options import JobOptions
 from ..scale import shared_dir
 from . import publish
@@ -24,12 +24,14 @@ def process(
     cache: DataFrame | None = None,
     vocabulary_dir: str | None = None,
     digest: str = "content",
+    share_texts: bool = False,
 ) -> DataFrame:
     """Every scanned file with its fate and, where it is taken, its new text.
 
     ``files`` is ``(project, rel_path, content[, mtime, length, error])`` with
     text content; ``error`` marks files the source could not read.  Files found
-    in ``cache`` take their stored text; only the others are transformed.
+    in ``cache`` take their stored text; only the others are transformed, with
+    ``share_texts`` once for each text that several files have.
     """
     if "error" not in files.columns:
         files = files.withColumn("error", F.lit(None).cast("string"))
@@ -49,9 +51,16 @@ def process(
         found, rest = None, finish(marked)
     else:
         found, rest = reuse.split(marked, cache, finish)
-    fresh = transform_column(rest, options).withColumn(
-        "n_tokens", model_tokens(F.col("content"), options.target_model, vocabulary_dir)
-    )
+
+    def change(df: DataFrame) -> DataFrame:
+        return transform_column(df, options).withColumn(
+            "n_tokens", model_tokens(F.col("content"), options.target_model, vocabulary_dir)
+        )
+
+    if share_texts:
+        fresh = shared_text.transform_once(rest, change, by=("ext",), made=("content", "n_tokens"))
+    else:
+        fresh = change(rest)
     done = _result(fresh, cached=False)
     return done if found is None else done.unionByName(_result(found, cached=True))
 
@@ -149,6 +158,7 @@ def run(
     cache: reuse.ResultCache | None = None,
     vocabulary_dir: str | None = None,
     digest: str = "content",
+    share_texts: bool = False,
 ) -> Report:
     """Process a corpus and write the documents the options ask for.
 
@@ -169,7 +179,7 @@ def run(
     method = token_method(options.target_model, vocabulary_dir)
     stored = cache.read(options, method) if cache is not None else None
     staging = f"{shared_dir(spark).rstrip('/')}/results-{uuid.uuid4().hex}"
-    process(files, options, stored, vocabulary_dir, digest).write.parquet(staging)
+    process(files, options, stored, vocabulary_dir, digest, share_texts).write.parquet(staging)
     job = Job(spark.read.parquet(staging), options)
 
     outputs: list[str] = []

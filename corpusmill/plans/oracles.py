@@ -548,3 +548,19 @@ used AS (
 SELECT project, lang, n_files, n_tokens, target_model, n_tokens / 1000 * coalesce(input_cost_1k, 0) AS cost_usd,
   n_tokens > coalesce(context_window, 4096) AS over_limit
 FROM used LEFT JOIN chosen USING (project) LEFT JOIN models ON base_name = target_model"""
+
+_NOTES = """
+notes AS (
+  SELECT source AS project, CASE WHEN doc_id % 2 = 0 THEN '.py' ELSE '.md' END AS ext,
+    lang || '/note_' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.py' ELSE '.md' END AS rel_path, text AS content
+  FROM documents)"""
+
+ORACLES["shared_copies"] = f"""
+WITH {_NOTES} SELECT project, rel_path,
+  CASE WHEN content IS NULL THEN 1 ELSE count(*) OVER (PARTITION BY content, ext) END AS copies,
+  content IS NULL OR row_number() OVER (PARTITION BY content, ext ORDER BY project, rel_path) = 1 AS is_first
+FROM notes"""
+ORACLES["shared_transform"] = f"""
+WITH {_NOTES}, done AS (
+  SELECT project, rel_path, {_masked(_redacted(_minified('content', 'ext')))} AS content FROM notes)
+SELECT project, rel_path, content, {_tokens('content')} AS n_tokens FROM done"""

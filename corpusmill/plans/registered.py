@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names, pycode, text, tokens
-from ..operators import assembly, catalogue, costing, counters, filtering, reuse, tree
+from ..operators import assembly, catalogue, costing, counters, filtering, reuse, shared_text, tree
 from ..scale import shared_dir, stored
 from ..sources.corpus import from_table
 from ..streaming import ingest
@@ -444,6 +444,22 @@ def cache_misses(spark, sf):
     return reuse.misses(_current(spark, sf), inputs.earlier_results(spark, sf)).select(*KEY, "fingerprint")
 
 
+@register
+def shared_copies(spark, sf):
+    """How many files hold the same text, told at each of them."""
+    found = shared_text.with_copies(inputs.notes(spark, sf))
+    return found.select(*KEY, F.col("_copies").cast("bigint").alias("copies"), F.col("_first").alias("is_first"))
+
+
+@register
+def shared_transform(spark, sf):
+    """The whole chain, once for each text that several files have."""
+    def change(df: DataFrame) -> DataFrame:
+        return text.transform_column(df, CHAIN).withColumn("n_tokens", tokens.heuristic_tokens(F.col("content")))
+
+    return shared_text.transform_once(inputs.notes(spark, sf), change, made=("content", "n_tokens")).drop("ext")
+
+
 def _fresh(spark: SparkSession, sf: str) -> DataFrame:
     """New results of every file, stamped a second after the file's time."""
     return _current(spark, sf).select(

@@ -3,9 +3,10 @@ import hashlib
 import json
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.operators import reuse
+from corpusmill.operators import reuse, sieve
 from corpusmill.options import JobOptions
 
 CACHE = "fingerprint string, project string, rel_path string, content string, n_tokens long, created_at timestamp"
@@ -154,3 +155,60 @@ def test_rows_without_token_counts(spark):
     assert reuse.with_token_column(old).first().n_tokens == 0
     new = spark.createDataFrame([stored_row("k2", tokens=None), stored_row("k3", tokens=3)], CACHE)
     assert sorted(r.n_tokens for r in reuse.with_token_column(old.unionByName(new, allowMissingColumns=True)).collect()) == [0, 0, 3]
+
+
+def test_sieve_knows_its_keys_and_few_others(spark):
+    keys = spark.range(4000).select(F.sha2(F.col("id").cast("string"), 256).alias("fingerprint"))
+    others = spark.range(4000, 8000).select(F.sha2(F.col("id").cast("string"), 256).alias("fingerprint"))
+    nulls = spark.createDataFrame([(None,)], "fingerprint string")
+    known = sieve.build(keys.unionByName(nulls), "fingerprint", blocks=256)
+    assert known.count() <= 256
+    test = lambda rows: sieve.with_maybe(rows, known, "fingerprint", blocks=256).agg(F.count_if("_maybe"), F.count("*")).first()
+    assert tuple(test(keys)) == (4000, 4000) and test(others)[0] < 120 and tuple(test(nulls)) == (0, 1)
+    empty = sieve.build(keys.limit(0), "fingerprint")
+    assert sieve.with_maybe(keys, empty, "fingerprint").where("_maybe").count() == 0
+
+
+@pytest.mark.parametrize("few", [True, False])
+@pytest.mark.parametrize("blocks", [1, 1 << 18])
+def test_split_with_false_positives(spark, monkeypatch, few, blocks):
+    """One block lets nearly everything through; the rows stay right."""
+    build, maybe = sieve.build, sieve.with_maybe
+    monkeypatch.setattr(reuse.sieve, "build", lambda keys, name: build(keys, name, blocks))
+    monkeypatch.setattr(reuse.sieve, "with_maybe", lambda rows, table, name: maybe(rows, table, name, blocks=blocks))
+    if not few:
+        monkeypatch.setattr(reuse, "small_side", lambda df: (df, False))
+    rows = [("p", f"{i}.py", f"t{i}", i % 7 != 0) for i in range(300)] + [("q", "twin.py", "t1", True)]
+    files = spark.createDataFrame(rows, "project string, rel_path string, content string, taken boolean")
+    finish = lambda df: df.withColumn("fingerprint", F.concat(F.lit("k-"), F.col("content")))
+    cache = spark.createDataFrame([stored_row(f"k-t{i}", f"done {i}") for i in range(0, 300, 2)] + [stored_row("k-t1", "done 1")], CACHE)
+    found, rest = reuse.split(files, cache, finish)
+    stored_ids = set(range(0, 300, 2)) | {1}
+    taken = {i for i in range(300) if i % 7}
+    assert sorted(r.content for r in found.collect()) == sorted([f"done {i}" for i in stored_ids & taken] + ["done 1"])
+    assert sorted(r.content for r in rest.collect()) == sorted(f"t{i}" for i in range(300) if i not in taken or i not in stored_ids)
+    assert rest.columns == [*files.columns, "fingerprint"]
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_certain_misses_are_not_moved(spark, monkeypatch, few):
+    """With broadcasts chosen by size off, the text of misses meets no exchange."""
+    if not few:
+        monkeypatch.setattr(reuse, "small_side", lambda df: (df, False))
+    files = spark.createDataFrame([(f"f{i}", "p", f"{i}.py", "text") for i in range(50)], "fingerprint string, project string, rel_path string, content string")
+    cache = spark.createDataFrame([stored_row("f1")], CACHE)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = reuse.misses(files, cache)
+        assert left.count() == 49
+        if few:
+            assert "content" not in moved_columns(left)
+        else:
+            # Only what the filter lets through is joined by shuffle; the other branch has no exchange.
+            plan = left._sc._jvm.PythonSQLUtils.explainString(left._jdf.queryExecution(), "formatted")
+            assert plan.count("Union") >= 1
+            sure = sieve.with_maybe(files, sieve.build(cache, "fingerprint"), "fingerprint").where("not _maybe")
+            assert "content" not in moved_columns(sure) and sure.count() == 49
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
