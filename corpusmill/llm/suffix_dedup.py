@@ -518,8 +518,7 @@ def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spans = repeated_spans(rows.where("id is not null"), **limits).groupBy("id", "tag").agg(
         F.collect_list(F.struct("start", "stop")).alias("spans")
     )
-    held, _ = small_side(spans)
-    found = rows.join(held, ["id", "tag"], "left").select("id", "text", "spans")
+    found = rows.join(spans, ["id", "tag"], "left").select("id", "text", "spans")
 
     def run(batches):
         for batch in batches:
