@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scale import small_side, stored
+from ..scale import small_side, spread_lookup, stored
 from .components import components
 from .texts import Texts, bounds, by_piece, list_array, mixed, shingles
 
@@ -29,6 +29,8 @@ BANDS = 40
 ROWS = 6
 CENTRES = 4
 PERCENT = 80
+#: Edges of one centre that a task confirms; a centre with more is copied.
+HOT_EDGES = 2_000
 
 _U = np.uint64
 
@@ -151,10 +153,12 @@ def _confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     # Only the sets of these edges move.
     ids = edges.select(F.col("a").alias("rep")).unionByName(edges.select(F.col("b").alias("rep"))).distinct()
     sets = sets.join(small_side(ids)[0], "rep", "left_semi")
-    left = sets.select(F.col("rep").alias("a"), F.col("elements").alias("x"))
-    right = sets.select(F.col("rep").alias("b"), F.col("elements").alias("y"))
+    members = sets.select(F.col("rep").alias("b"), F.col("elements").alias("y"))
+    centres = sets.join(edges.groupBy(F.col("a").alias("rep")).agg(F.count("*").alias("edges")), "rep")
+    centres = centres.select(F.col("rep").alias("a"), F.col("elements").alias("x"), "edges")
+    # Members stay where their sets are; a centre of very many goes there in copies.
+    joined = spread_lookup(edges.join(members, "b"), centres, ["a"], "b", "edges", HOT_EDGES)
     shared = F.size(F.array_intersect("x", "y"))
-    joined = edges.join(right, "b").join(left, "a")
     union = F.size("x") + F.size("y") - shared
     return joined.where(100 * shared >= percent * union).select("a", "b")
 
