@@ -17,14 +17,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .texts import Texts, bounds, by_piece, mixed, pieces
+from .texts import Texts, bounds, mixed, pieces, released
 
 DIMENSIONS = 1024
 N = 3
 FOLDS = 5
-#: Most rows (about) that prototypes are learned from.
-TRAINING_ROWS = 40_000
+#: Most rows (about) of each language that its prototype is learned from.
+TRAINING_ROWS = 10_000
+SHARES = 1 << 40
 CACHED_RUNS = 20_000
+#: Work on a piece takes some hundred bytes for each of its own.
+PIECE_BYTES = 1 << 18
 UNKNOWN = "und"
 
 _U = np.uint64
@@ -54,7 +57,8 @@ class Profiler:
         self.dimensions, self.n = dimensions, n
         self.letters = _Letters()
         self.rows: dict[int, int] = {}
-        self.vectors = np.zeros((0, dimensions), np.float32)
+        # Signs take a byte each; room for all that are kept is taken once.
+        self.vectors = np.zeros((CACHED_RUNS, dimensions), np.int8)
 
     def letter(self, symbols: np.ndarray) -> np.ndarray:
         """Sign vectors of symbols, one row each."""
@@ -70,7 +74,7 @@ class Profiler:
         for k in range(self.n):
             symbol = (runs >> _U(21 * (self.n - 1 - k))) & _U(0x1FFFFF)
             out *= np.roll(self.letter(symbol), self.n - 1 - k, axis=1)
-        return out.astype(np.float32)
+        return out
 
     def runs(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """Runs of letters and the texts they are of."""
@@ -105,12 +109,12 @@ class Profiler:
         keys = unique.tolist()
         missing = [k for k in keys if k not in self.rows]
         if len(self.rows) + len(missing) > CACHED_RUNS:
-            self.rows, self.vectors, missing = {}, self.vectors[:0], keys
-        if missing:
-            self.rows.update(zip(missing, range(len(self.rows), len(self.rows) + len(missing))))
-            # Bound in slices: a vector is thousands of numbers.
-            made = [self.bound(np.array(missing[i : i + 4096], np.uint64)) for i in range(0, len(missing), 4096)]
-            self.vectors = np.concatenate([self.vectors, *made])
+            self.rows, missing = {}, keys
+        # Bound in slices: a vector is a thousand numbers.
+        for i in range(0, len(missing), 4096):
+            part, a = missing[i : i + 4096], len(self.rows)
+            self.vectors[a : a + len(part)] = self.bound(np.array(part, np.uint64))
+            self.rows.update(zip(part, range(a, a + len(part))))
         return np.array([self.rows[k] for k in keys], np.int64)
 
     def bundles(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -129,11 +133,13 @@ class Profiler:
                 if b > a:
                     counts = np.bincount(inverse[a:b])
                     own = np.flatnonzero(counts)
-                    out[i] = counts[own].astype(np.float32) @ self.vectors[rows[own]]
+                    for k in range(0, len(own), 2048):
+                        part = own[k : k + 2048]
+                        out[i] += counts[part].astype(np.float32) @ self.vectors[rows[part]].astype(np.float32)
         else:
             # More runs than are kept: bundle them slice by slice.
             for lo in range(0, len(unique), CACHED_RUNS):
-                vectors = self.bound(unique[lo : lo + CACHED_RUNS])
+                vectors = self.bound(unique[lo : lo + CACHED_RUNS]).astype(np.float32)
                 for i in range(n):
                     part = inverse[edge[i] : edge[i + 1]] - lo
                     part = part[(part >= 0) & (part < len(vectors))]
@@ -152,24 +158,33 @@ def fold(id_col: str, folds: int = FOLDS) -> F.Column:
     return F.crc32(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).cast("binary")) % folds
 
 
+def shares(totals: dict[str, int], most_rows: int) -> dict[str, int]:
+    """For labels of more than ``most_rows`` rows: how many of ``SHARES`` hash values are taken."""
+    return {label: max(1, SHARES * most_rows // n) for label, n in totals.items() if n > most_rows}
+
+
 def learn(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", most_rows: int = TRAINING_ROWS,
           dimensions: int = DIMENSIONS, n: int = N) -> tuple[list[str], np.ndarray]:
     """Languages and their unit vectors.
 
-    Learns from about ``most_rows`` rows with a label, chosen by a hash of the
-    text.  Each task sums up its vectors by language, so what is shuffled and
-    collected is one vector per language (and task).
+    Learns from about ``most_rows`` rows of each label, chosen by a hash of the
+    text; a label with fewer is learned from all.  Each task sums up its vectors
+    by language, so what is shuffled and collected is one vector per language
+    (and task), and one count.
     """
     labelled = labelled.where(F.col(f"`{label_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull())
-    total = labelled.count()
-    if total > most_rows:
-        share = F.pmod(F.xxhash64(F.lit("learn"), f"`{text_col}`"), F.lit(1 << 20))
-        labelled = labelled.where(share < int(most_rows / total * (1 << 20)))
+    label = F.col(f"`{label_col}`").cast("string")
+    totals = {r[0]: r[1] for r in labelled.groupBy(label.alias("label")).count().collect()}
+    limits = shares(totals, most_rows)
+    if limits:
+        share = F.pmod(F.xxhash64(F.lit("learn"), f"`{text_col}`"), F.lit(SHARES))
+        bound = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])
+        labelled = labelled.where(share < F.coalesce(F.try_element_at(bound, label), F.lit(SHARES)))
 
     def partial(batches):
         profiler, sums = Profiler(dimensions, n), {}
         for batch in batches:
-            for part in pieces(batch, text_col):
+            for part in pieces(batch, text_col, PIECE_BYTES):
                 vectors, _ = profiler.bundles(Texts(part.column(1)))
                 vectors = _unit(vectors)
                 for label in set(names := part.column(0).to_pylist()):
@@ -182,7 +197,7 @@ def learn(labelled: DataFrame, text_col: str = "text", label_col: str = "lang",
             )
 
     parts = labelled.select(F.col(f"`{label_col}`").cast("string").alias("label"), text_col).mapInArrow(
-        partial, "label string, sums array<double>"
+        released(partial), "label string, sums array<double>"
     ).select("label", F.posexplode("sums").alias("place", "x"))
     whole = parts.groupBy("label", "place").agg(F.sum("x").alias("x")).groupBy("label").agg(
         F.sort_array(F.collect_list(F.struct("place", "x"))).alias("v")
@@ -207,8 +222,9 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
 
     def run(batches):
         profiler = Profiler(dimensions, n)
-        work = by_piece(lambda batch: scored(profiler, batch), "_scored_text")
-        yield from work(batches)
+        for batch in batches:
+            for piece in pieces(batch, "_scored_text", PIECE_BYTES):
+                yield scored(profiler, piece)
 
     def scored(profiler: Profiler, batch: pa.RecordBatch) -> pa.RecordBatch:
         vectors, lettered = profiler.bundles(Texts(batch.column(1)))
@@ -219,15 +235,17 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
         else:
             best, score = np.zeros(len(batch), np.int64), np.zeros(len(batch))
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), listed.take(pa.array(best)), pa.array(score.astype(np.float64)), *batch.columns[2:]],
+            [batch.column(0), listed.take(pa.array(best)), pa.array(score.astype(np.float64)),
+             *[batch.column(1 if c == text_col else sent.index(c)) for c in carry]],
             names=[id_col, "lang_pred", "score", *carry],
         )
 
-    # The text itself may be carried too, so its working copy has a name of its own.
-    part = docs.select(id_col, F.col(f"`{text_col}`").alias("_scored_text"), *carry)
+    # A text that is carried too is sent once, under a name of its own.
+    sent = [id_col, "_scored_text", *[c for c in carry if c != text_col]]
+    part = docs.select(id_col, F.col(f"`{text_col}`").alias("_scored_text"), *sent[2:])
     schema = [f"`{id_col}` {id_type}", "lang_pred string", "score double"]
     schema += [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry]
-    return part.mapInArrow(run, ", ".join(schema))
+    return part.mapInArrow(released(run), ", ".join(schema))
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang",

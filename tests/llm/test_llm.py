@@ -710,3 +710,67 @@ def test_pipeline_stages(spark, tmp_path):
     assert Counter(r.doc_id for r in copies["mixing"]) == Counter({i: w[3] // w[0] for i, w in wanted.items() if w[3]})
     packed = registered.QUERIES["pipeline"](spark, TINY).collect()
     assert Counter(r.doc_id for r in packed if r.piece == 0) == Counter(r.doc_id for r in copies["mixing"])
+
+
+def test_one_encoder_a_worker_with_bounded_tables(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert packing.encoder(path) is packing.encoder(path)
+    monkeypatch.setattr(packing, "CACHED_WORDS", 500)
+    monkeypatch.setattr(packing, "CACHED_IDS", 900)
+    own = packing.Encoder(path)
+    library = Tokenizer.from_file(path)
+    for k in range(30):
+        rows = [prose(k * 10 + i, 60) + f" w{k}x{i} é{k}" for i in range(40)] + [" ".join(f"u{j}" for j in range(k * 50))]
+        ids, counts = own.encode(pa.array(rows))
+        wanted = [library.encode(t, add_special_tokens=False).ids for t in rows]
+        assert ids.tolist() == [x for w in wanted for x in w] and counts.tolist() == [len(w) for w in wanted]
+        # Room is kept for the largest single piece, and does not add up.
+        assert len(own.size) <= 2500 and len(own.ids) <= 12_000
+
+
+def test_language_shares_never_come_to_nothing():
+    found = language_id.shares({"a": 10**11, "b": 10_000, "c": 20, "d": 10**14}, 10_000)
+    assert set(found) == {"a", "d"} and found["a"] == language_id.SHARES // 10**7 and found["d"] >= 1
+
+
+def test_a_rare_language_is_learned(spark):
+    r = random.Random(8)
+    common = [(i, " ".join(r.choice(WORDS) for _ in range(12)), "xx", "a", 1) for i in range(2000)]
+    rare = [(5000 + i, " ".join(r.choice(["qvy", "zwoq", "yjav", "qqzu"]) for _ in range(12)), "yy", "a", 1) for i in range(20)]
+    names, vectors = language_id.learn(spark.createDataFrame(common + rare, SCHEMA), most_rows=50)
+    assert names == ["xx", "yy"] and vectors.shape == (2, language_id.DIMENSIONS)
+    found = language_id.predict(spark.createDataFrame(rare, SCHEMA), (names, vectors)).collect()
+    assert all(f.lang_pred == "yy" for f in found)
+
+
+def test_bundles_and_cosine_are_those_of_plain_sums():
+    texts, profiler = ["Abc abd, é", "", "x1yz"], language_id.Profiler()
+    found, lettered = profiler.bundles(Texts(pa.array(texts)))
+    for i, text in enumerate(texts):
+        plain = np.zeros(language_id.DIMENSIONS)
+        for word in re.findall(r"[^\W\d_]+", text.lower()):
+            for a in range(len(padded := f" {word} ") - 2):
+                vector = np.ones(language_id.DIMENSIONS, np.int64)
+                for k, c in enumerate(padded[a : a + 3]):
+                    letter = profiler.letter(np.array([0 if c == " " else ord(c)], np.uint64))[0]
+                    vector *= np.roll(letter, 2 - k)
+                plain += vector
+        assert found[i].tolist() == plain.tolist() and lettered[i] == bool(re.search("[a-zé]", text.lower()))
+
+
+def test_pipeline_on_awkward_and_empty_tables(spark, tmp_path):
+    for name, rows in (("awkward", AWKWARD), ("empty", [])):
+        spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        assert out.select("sequence_id", "offset").distinct().count() == out.count()
+        assert (out.count() > 0) == bool(rows)
+
+
+@pytest.mark.parametrize("hot", [1, 3, 2_000])
+def test_hot_centre_is_split(spark, monkeypatch, hot):
+    monkeypatch.setattr(near_dedup, "HOT_EDGES", hot)
+    base = prose(77, 120).split()
+    rows = [(i, " ".join(base + [f"tail{i}"] * (i > 0)), "en", "a", 1) for i in range(40)]
+    rows += [(100 + i, prose(300 + i, 60), "en", "a", 1) for i in range(60)]
+    found = near_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA), size=2).collect()
+    assert {r.doc_id: r.component_id for r in found} == {i: 0 if i < 40 else i for i, *_ in rows}
