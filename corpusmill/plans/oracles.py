@@ -564,3 +564,10 @@ ORACLES["shared_transform"] = f"""
 WITH {_NOTES}, done AS (
   SELECT project, rel_path, {_masked(_redacted(_minified('content', 'ext')))} AS content FROM notes)
 SELECT project, rel_path, content, {_tokens('content')} AS n_tokens FROM done"""
+
+ORACLES["changed_states"] = """
+WITH states AS (
+  SELECT source || '/' || lang || '/' || (doc_id % 50) AS path, n_chars * 1000 AS mtime,
+    CAST(strlen(text) AS BIGINT) AS length FROM documents)
+SELECT path, mtime, length FROM states
+QUALIFY row_number() OVER (PARTITION BY path ORDER BY mtime DESC, length DESC) = 1"""

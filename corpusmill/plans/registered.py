@@ -12,7 +12,7 @@ from ..functions import names, pycode, text, tokens
 from ..operators import assembly, catalogue, costing, counters, filtering, reuse, shared_text, tree
 from ..scale import shared_dir, stored
 from ..sources.corpus import from_table
-from ..streaming import ingest
+from ..streaming import changes, ingest
 from . import inputs, job
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +64,22 @@ def incremental_ingest(spark, sf):
     return spark.read.schema(changed.schema).parquet(f"{base}/table")
 
 
+@register
+def changed_states(spark, sf):
+    """Documents as states of few files, met in a stream: the newest of each stays."""
+    docs = inputs.table(spark, sf, "documents")
+    stream = spark.readStream.schema(docs.schema).parquet(f"{sf}/documents.parque[t]")
+    listing = stream.select(
+        F.concat("source", F.lit("/"), "lang", F.lit("/"), (F.col("doc_id") % 50).cast("string")).alias("path"),
+        (F.col("n_chars") * 1000).alias("mtime"), F.octet_length("text").cast("bigint").alias("length"),
+    )
+    base = f"{shared_dir(spark).rstrip('/')}/states-{uuid.uuid4().hex}"
+    ingest.ingest(changes.newer_states(listing), f"{base}/table", f"{base}/offsets").awaitTermination()
+    taken = spark.read.schema("path string, mtime bigint, length bigint, version bigint").parquet(f"{base}/table")
+    newest = taken.groupBy("path").agg(F.max(F.struct("mtime", "length")).alias("state"))
+    return newest.select("path", "state.mtime", "state.length")
+
+
 # -- filters ----------------------------------------------------------------
 
 @register

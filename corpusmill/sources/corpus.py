@@ -28,10 +28,11 @@ def from_table(
     )
 
 
-def from_binary(binary: DataFrame, root: str, project: str | None = None) -> DataFrame:
+def from_binary(binary: DataFrame, root: str, project: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """A files table from a ``binaryFile`` frame (batch or streaming).
 
     Below ``root`` the first folder names the project, unless one is given.
+    ``carry`` names more columns to keep.
     """
     if "://" not in root:
         root = os.path.abspath(root)
@@ -44,7 +45,7 @@ def from_binary(binary: DataFrame, root: str, project: str | None = None) -> Dat
     path = below if project else F.regexp_replace(below, r"\A[^/]*/", "")
     return binary.select(
         name.alias("project"), path.alias("rel_path"), read_text(F.col("content")).alias("content"),
-        F.col("modificationTime").alias("mtime"), "length",
+        F.col("modificationTime").alias("mtime"), "length", *carry,
     )
 
 

@@ -23,7 +23,7 @@ def stream_directory(
     """Files that appear below ``root``, as a streaming files table.
 
     A backlog is taken in batches of about ``bytes_per_batch``.  The source takes
-    a path once: a file that changes later is not taken again.
+    a path once; ``streaming.changes`` takes files again when they change.
     """
     binary = (
         spark.readStream.format("binaryFile").schema(BINARY_SCHEMA)
@@ -32,11 +32,12 @@ def stream_directory(
     return from_binary(binary, root, project)
 
 
-def transform_stream(files: DataFrame, options: JobOptions) -> DataFrame:
+def transform_stream(files: DataFrame, options: JobOptions, carry: tuple[str, ...] = ()) -> DataFrame:
     """Scan and transform a streaming (or batch) files table, row by row.
 
     Ignore files are files of the stream themselves and may come after those
-    they rule, so options that ask for them are refused.
+    they rule, so options that ask for them are refused.  ``carry`` names more
+    columns to keep.
     """
     if options.respect_gitignore:
         raise ValueError("a stream cannot honour ignore files: set respect_gitignore=False")
@@ -44,7 +45,7 @@ def transform_stream(files: DataFrame, options: JobOptions) -> DataFrame:
     taken = filtering.scan(files, options).where("status = 'process' and target <> 'skip'")
     return transform_column(taken, options).withColumn(
         "n_tokens", heuristic_tokens(F.col("content"))
-    ).select("project", "rel_path", "target", "content", "n_tokens")
+    ).select("project", "rel_path", "target", "content", "n_tokens", *carry)
 
 
 def ingest(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
