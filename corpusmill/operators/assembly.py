@@ -8,11 +8,12 @@ thus spread over as many tasks as it needs.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..functions.tokens import tokens_from_chars
+from ..scale import stored
 
 ORDER = ["project", "section", "sort_key", "ord"]
 # Place of each part in the unified document.
@@ -46,22 +47,48 @@ def category_blocks(processed: DataFrame) -> DataFrame:
     ``processed`` holds the written files: ``(project, rel_path, target, content)``.
     Entries are ordered by path.
     """
-    heads = (
-        processed.select("project", "target").distinct()
-        .select(
-            "project", "target", _section(F.col("target")).alias("section"),
-            F.lit("").alias("sort_key"), F.lit(_HEAD).alias("ord"),
-            _heading(F.col("target")).alias("value"),
-        )
-    )
-    block = F.concat(
-        F.lit(fv.ENTRY_RULE + "\n"), F.col("rel_path"), F.lit("\n"), F.col("content")
+    block = F.concat(_entry_top(), F.col("content"))
+    return category_heads(processed).unionByName(_entries(processed, block.alias("value")))
+
+
+def category_heads(processed: DataFrame) -> DataFrame:
+    """One heading for each category that has any file."""
+    return processed.select("project", "target").distinct().select(
+        "project", "target", _section(F.col("target")).alias("section"),
+        F.lit("").alias("sort_key"), F.lit(_HEAD).alias("ord"),
+        _heading(F.col("target")).alias("value"),
     )
-    entries = processed.select(
+
+
+def _entry_top() -> Column:
+    return F.concat(F.lit(fv.ENTRY_RULE + "\n"), F.col("rel_path"), F.lit("\n"))
+
+
+def _entries(processed: DataFrame, *values: Column) -> DataFrame:
+    return processed.select(
         "project", "target", _section(F.col("target")).alias("section"),
-        F.col("rel_path").alias("sort_key"), F.lit(_BODY).alias("ord"), block.alias("value"),
+        F.col("rel_path").alias("sort_key"), F.lit(_BODY).alias("ord"), *values,
+    )
+
+
+def line_feeds(text: Column) -> Column:
+    return (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))).cast("bigint")
+
+
+def block_sizes(blocks: DataFrame) -> DataFrame:
+    """Blocks with their measures instead of their text, final line feed included."""
+    return blocks.withColumns({
+        "n_chars": F.length("value").cast("bigint") + 1, "n_lines": line_feeds(F.col("value")) + 1,
+    }).drop("value")
+
+
+def entry_sizes(processed: DataFrame) -> DataFrame:
+    """Measures of the entries, from ``n_chars`` and ``n_lines`` (line feeds) of each content."""
+    top = _entry_top()
+    return _entries(
+        processed, (F.length(top) + F.col("n_chars") + 1).alias("n_chars"),
+        (line_feeds(top) + F.col("n_lines") + 1).alias("n_lines"),
     )
-    return heads.unionByName(entries)
 
 
 def unified_blocks(
@@ -74,29 +101,62 @@ def unified_blocks(
     without files are left out.  ``tree`` holds the rendered lines, ``treeless``
     names the projects that have none.
     """
-    title = projects.select(
+    blocks = _title(projects)
+    if tree is not None:
+        body = tree.select(
+            "project", F.lit(TREE).alias("section"), "sort_key", "ord", F.col("line").alias("value")
+        )
+        blocks = blocks.unionByName(body).unionByName(_tree_frame(projects, tree, treeless))
+    heads = category_heads(processed)
+    block = F.concat(_entry_top(), F.col("content"))
+    entries = _entries(processed, block.alias("value"))
+    return blocks.unionByName(heads.unionByName(entries).drop("target")).unionByName(_tails(heads))
+
+
+def unified_sizes(
+    projects: DataFrame, processed: DataFrame, tree: DataFrame | None = None,
+    treeless: DataFrame | None = None,
+) -> DataFrame:
+    """The blocks of :func:`unified_blocks` as ``(project, section, sort_key, ord, n_chars, n_lines)``.
+
+    Reads no content: ``processed`` holds ``(project, rel_path, target, n_chars,
+    n_lines)`` of the written files, ``tree`` the sizes of the tree's lines.
+    """
+    heads = category_heads(processed)
+    small = _title(projects).unionByName(heads.drop("target")).unionByName(_tails(heads))
+    sizes = entry_sizes(processed).drop("target")
+    if tree is not None:
+        small = small.unionByName(_tree_frame(projects, tree, treeless))
+        body = tree.select(
+            "project", F.lit(TREE).alias("section"), "sort_key", "ord", "n_chars",
+            F.lit(1).cast("bigint").alias("n_lines"),
+        )
+        sizes = sizes.unionByName(body)
+    return block_sizes(small).unionByName(sizes)
+
+
+def _title(projects: DataFrame) -> DataFrame:
+    return projects.select(
         "project", F.lit(TITLE).alias("section"), F.lit("").alias("sort_key"),
         F.lit(_HEAD).alias("ord"),
         F.concat(F.lit(fv.CONTEXT_TITLE), F.col("project"), F.lit(f"\n{fv.TITLE_RULE}\n")).alias("value"),
     )
-    blocks = title
-    if tree is not None:
-        blocks = blocks.unionByName(_tree_blocks(projects, tree, treeless))
-    categories = category_blocks(processed)
-    tails = categories.where(F.col("ord") == _HEAD).select(
+
+
+def _tails(heads: DataFrame) -> DataFrame:
+    return heads.select(
         "project", "section", F.lit(_LAST_KEY).alias("sort_key"),
         F.lit(_TAIL).alias("ord"), F.lit("\n").alias("value"),
     )
-    return blocks.unionByName(categories.drop("target")).unionByName(tails)
 
 
-def _tree_blocks(projects: DataFrame, tree: DataFrame, treeless: DataFrame | None) -> DataFrame:
+def _tree_frame(projects: DataFrame, tree: DataFrame, treeless: DataFrame | None) -> DataFrame:
+    """What stands around the lines of a tree."""
     section = F.lit(TREE).alias("section")
     head = projects.select(
         "project", section, F.lit("").alias("sort_key"), F.lit(_HEAD).alias("ord"),
         F.lit(f"{fv.TREE_TITLE}\n{fv.TREE_RULE}").alias("value"),
     )
-    body = tree.select("project", section, "sort_key", "ord", F.col("line").alias("value"))
     # A project without a single node still has one, empty, line.
     if treeless is None:
         treeless = projects.join(tree.select("project").distinct(), "project", "left_anti")
@@ -108,7 +168,7 @@ def _tree_blocks(projects: DataFrame, tree: DataFrame, treeless: DataFrame | Non
         "project", section, F.lit(_LAST_KEY).alias("sort_key"), F.lit(_TAIL).alias("ord"),
         F.lit("\n").alias("value"),
     )
-    return head.unionByName(body).unionByName(bare).unionByName(tail)
+    return head.unionByName(bare).unionByName(tail)
 
 
 def error_blocks(errors: DataFrame) -> DataFrame:
@@ -128,10 +188,44 @@ def error_blocks(errors: DataFrame) -> DataFrame:
     return head.unionByName(body)
 
 
-def document_tokens(blocks: DataFrame) -> DataFrame:
-    """Heuristic tokens of each whole document, from the blocks' lengths."""
-    chars = F.sum(F.length("value") + 1)
-    return blocks.groupBy("project").agg(tokens_from_chars(chars).alias("token_count"))
+def document_tokens(sizes: DataFrame) -> DataFrame:
+    """Heuristic tokens of each whole document, from the sizes of its blocks."""
+    return sizes.groupBy("project").agg(tokens_from_chars(F.sum("n_chars")).alias("token_count"))
+
+
+def document_map(sizes: DataFrame) -> DataFrame:
+    """Where each block stands: adds ``start`` (characters before it) and ``first_line`` (from 1).
+
+    A prefix sum in two levels.  Blocks are range-partitioned in document order,
+    totals of the ranges are summed first, and a window runs inside each range;
+    so a project of any size is spread over the ranges it needs.  Blocks of equal
+    keys are ordered by size.  No text is involved.
+    """
+    wide = sizes.select(
+        F.coalesce("project", F.lit("")).alias("project"), *[c for c in sizes.columns if c != "project"]
+    )
+    # Written down, so that the number of a range is the same wherever it is read.
+    ranged = stored(wide.repartitionByRange(*ORDER).withColumn("_range", F.spark_partition_id()))
+    totals = ranged.groupBy("project", "_range").agg(
+        F.sum("n_chars").alias("_chars"), F.sum("n_lines").alias("_lines")
+    )
+    earlier = Window.partitionBy("project").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(
+        "project", "_range",
+        *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in ("_chars", "_lines")],
+    )
+    inside = Window.partitionBy("project", "_range").orderBy(*ORDER[1:], "n_chars", "n_lines").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    within = lambda c: F.coalesce(F.sum(c).over(inside), F.lit(0))
+    return (
+        ranged.withColumns({"_c": within("n_chars"), "_l": within("n_lines")})
+        .join(before, ["project", "_range"])
+        .select(
+            *ORDER, (F.col("_chars") + F.col("_c")).alias("start"), "n_chars",
+            (F.col("_lines") + F.col("_l") + 1).alias("first_line"), "n_lines",
+        )
+    )
 
 
 def ordered(blocks: DataFrame) -> DataFrame:

@@ -198,6 +198,28 @@ def tree_lines(
     )
 
 
+def tree_line_sizes(files: DataFrame) -> DataFrame:
+    """Sizes ``(project, sort_key, ord, n_chars)`` of the lines of each tree, line feed included.
+
+    Every level of a line is drawn in as many characters, so depth and name
+    tell its size; nothing is rendered.
+    """
+    levels = F.col("depth") * len(fv.BRANCH_LAST)
+    own = F.length(names.base_name(F.col("path")))
+    lines = tree_nodes(files).select(
+        "project", _sort_key(F.col("path")).alias("sort_key"), F.lit(0).alias("ord"),
+        (levels + own + 1).cast("bigint").alias("n_chars"),
+    )
+    if "symbols" not in files.columns:
+        return lines
+    labelled = files.select("project", "rel_path", F.inline("symbols")).select(
+        "project", _sort_key(F.col("rel_path")).alias("sort_key"), (F.col("ord") + 1).alias("ord"),
+        (_depth(F.col("rel_path")) * len(fv.INDENT_OPEN) + F.length(pycode.symbol_label(F.col("kind"), F.col("name"))) + 1)
+        .cast("bigint").alias("n_chars"),
+    )
+    return lines.unionByName(labelled)
+
+
 def with_symbols(files: DataFrame, options: JobOptions, source: str = "content") -> DataFrame:
     """Add the ``symbols`` the options ask for; no request, no Python stage.
 

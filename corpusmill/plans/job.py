@@ -76,10 +76,13 @@ def _result(df: DataFrame, cached: bool) -> DataFrame:
     )
     reason = F.when(fate == "rejected", fv.REJECTED_MESSAGE).when(fate == "failed", F.col("error"))
     only_taken = lambda name: F.when(F.col("taken"), F.col(name)).alias(name)
+    # Kept beside the text, so that documents can be measured without reading it.
+    n_chars, n_lines = F.length("content").cast("bigint"), assembly.line_feeds(F.col("content"))
     return df.select(
         "project", "rel_path", fate.alias("status"), "target", "in_tree", "symbols",
         F.lit(cached).alias("cached"), "content", only_taken("n_tokens"),
         only_taken("fingerprint"), reason.alias("error"),
+        F.when(F.col("taken"), n_chars).alias("n_chars"), F.when(F.col("taken"), n_lines).alias("n_lines"),
     )
 
 
@@ -117,19 +120,39 @@ class Job:
     def categories(self) -> DataFrame:
         return assembly.category_blocks(self.written)
 
+    @property
+    def treeless(self) -> DataFrame:
+        drawn = self.results.groupBy("project").agg(F.bool_or("in_tree").alias("drawn"))
+        return drawn.where("not drawn").select("project")
+
     @property
     def unified(self) -> DataFrame:
         if not self.options.generate_tree:
             return assembly.unified_blocks(self.projects, self.written)
-        bare = self.results.groupBy("project").agg(F.bool_or("in_tree").alias("drawn")).where("not drawn")
-        return assembly.unified_blocks(self.projects, self.written, self.tree, bare.select("project"))
+        return assembly.unified_blocks(self.projects, self.written, self.tree, self.treeless)
+
+    @property
+    def sizes(self) -> DataFrame:
+        """Sizes of the unified document's blocks, without reading or drawing them."""
+        written = self.results.where("status = 'ok'").select(
+            "project", "rel_path", "target", "n_chars", "n_lines"
+        )
+        if not self.options.generate_tree:
+            return assembly.unified_sizes(self.projects, written)
+        lines = tree.tree_line_sizes(self.tree_files)
+        return assembly.unified_sizes(self.projects, written, lines, self.treeless)
+
+    @property
+    def map(self) -> DataFrame:
+        """Character offset and line range of every block of the unified document."""
+        return assembly.document_map(self.sizes)
 
     @property
     def counters(self) -> DataFrame:
         return counters.run_counters(self.results)
 
     def summary(self, dry_run: bool = False) -> DataFrame:
-        tokens = assembly.document_tokens(self.unified) if self.options.create_unified_file else None
+        tokens = assembly.document_tokens(self.sizes) if self.options.create_unified_file else None
         lines = tree.tree_line_counts(self.tree_files) if self.options.generate_tree else None
         return counters.run_summary(self.counters, self.options, tokens, lines, dry_run)
 
@@ -164,7 +187,7 @@ def run(
 
     The results are written down once, in the shared folder; every document,
     tree and counter is then derived from that table.  A dry run computes the
-    same summary and writes no documents.
+    same summary; it writes no documents, and its results keep sizes and no text.
     """
     spark = files.sparkSession
     out = options.output_path()
@@ -179,7 +202,8 @@ def run(
     method = token_method(options.target_model, vocabulary_dir)
     stored = cache.read(options, method) if cache is not None else None
     staging = f"{shared_dir(spark).rstrip('/')}/results-{uuid.uuid4().hex}"
-    process(files, options, stored, vocabulary_dir, digest, share_texts).write.parquet(staging)
+    results = process(files, options, stored, vocabulary_dir, digest, share_texts)
+    (results.drop("content") if dry_run else results).write.parquet(staging)
     job = Job(spark.read.parquet(staging), options)
 
     outputs: list[str] = []

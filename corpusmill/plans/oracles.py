@@ -508,6 +508,29 @@ ORACLES["unified_doc"] = f"WITH {_SCANNED}, {_TREE}, {_CATS}, {_TREE_BLOCKS} SEL
 _DOC_TOKENS = "CAST((sum(length(value) + 1) + 3) // 4 AS BIGINT)"
 ORACLES["document_tokens"] = f"""
 WITH {_SCANNED}, {_TREE}, {_CATS}, {_TREE_BLOCKS} SELECT project, {_DOC_TOKENS} AS token_count FROM unified GROUP BY 1"""
+_MAPPED = """
+mapped AS (
+  SELECT project, section, sort_key, ord, length(value) + 1 AS n_chars,
+    length(value) - length(replace(value, chr(10), '')) + 1 AS n_lines FROM {blocks}),
+placed AS (
+  SELECT *, sum(n_chars) OVER w - n_chars AS start, sum(n_lines) OVER w - n_lines + 1 AS first_line FROM mapped
+  WINDOW w AS (PARTITION BY project ORDER BY section, sort_key, ord ROWS UNBOUNDED PRECEDING))"""
+ORACLES["document_map"] = f"""
+WITH {_SCANNED}, {_TREE}, {_CATS}, {_TREE_BLOCKS}, {_MAPPED.format(blocks='unified')}
+SELECT project, section, sort_key, ord, CAST(start AS BIGINT) AS start, CAST(n_chars AS BIGINT) AS n_chars,
+  CAST(first_line AS BIGINT) AS first_line, CAST(n_lines AS BIGINT) AS n_lines FROM placed"""
+ORACLES["symbol_document_map"] = f"""
+WITH {_SCANNED}, {_TREE}, shown AS (SELECT * FROM scanned WHERE in_tree), {_SYMBOLS.format(src='shown')}, {_CATS}, {_TREE_BLOCKS},
+listed AS (
+  SELECT * FROM unified UNION ALL
+  SELECT l.project, 1, replace(l.path, '/', chr(1)), s.ord + 1, l.below || CASE s.kind
+      WHEN 'function' THEN 'Function: ' || s.name || '()' WHEN 'class' THEN 'Class: ' || s.name
+      WHEN 'method' THEN '  Method: ' || s.name || '()' ELSE '[ERROR] ' || s.name END
+  FROM found s JOIN lines l ON l.project = s.project AND l.path = s.rel_path),
+{_MAPPED.format(blocks='listed')}
+SELECT project, section, count(*) AS n_blocks, CAST(min(start) AS BIGINT) AS start,
+  CAST(max(start + n_chars) AS BIGINT) AS stop, CAST(min(first_line) AS BIGINT) AS first_line,
+  CAST(sum(n_lines) AS BIGINT) AS n_lines FROM placed GROUP BY 1, 2"""
 ORACLES["run_summary"] = f"""
 WITH {_SCANNED}, {_TREE}, {_CATS}, {_TREE_BLOCKS},
 counted AS (

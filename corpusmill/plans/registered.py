@@ -622,7 +622,26 @@ def unified_doc(spark, sf):
 
 @register
 def document_tokens(spark, sf):
-    return assembly.document_tokens(_written(spark, sf).unified)
+    return assembly.document_tokens(_written(spark, sf).sizes)
+
+
+@register
+def document_map(spark, sf):
+    """Offset and line range of every block of the unified documents."""
+    return _written(spark, sf).map.withColumns({c: F.col(c).cast("bigint") for c in ("section", "ord")})
+
+
+@register
+def symbol_document_map(spark, sf):
+    """The same for documents whose trees list functions, classes and methods."""
+    options = OPTIONS.with_(show_functions=True, show_classes=True, show_methods=True)
+    whole = job.Job(stored(job.process(inputs.files(spark, sf), options)), options)
+    ends = whole.map.groupBy("project", "section").agg(
+        F.count("*").alias("n_blocks"), F.min("start").alias("start"),
+        F.max(F.col("start") + F.col("n_chars")).alias("stop"),
+        F.min("first_line").alias("first_line"), F.sum("n_lines").alias("n_lines"),
+    )
+    return ends.withColumn("section", F.col("section").cast("bigint"))
 
 
 @register

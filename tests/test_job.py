@@ -4,7 +4,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.operators import reuse
+from corpusmill.operators import assembly, reuse
 from corpusmill.options import JobOptions
 from corpusmill.plans import job
 from corpusmill.sources import corpus, directory
@@ -35,7 +35,7 @@ def app(tmp_path):
 def document(path, project="app"):
     """The part files of one project's document, read in name order."""
     parts = sorted(glob.glob(f"{path}/project={project}/part-*"))
-    return "".join(open(p, encoding="utf-8").read() for p in parts)
+    return "".join(open(p, encoding="utf-8", newline="").read() for p in parts)
 
 
 def entry(path, content):
@@ -184,3 +184,40 @@ def test_projects_without_tree_nodes(spark, files_of, tmp_path):
     report = job.run(files_of({"README.md": "hi"}), JobOptions(output_base_dir=str(tmp_path)))
     text = document(f"{report.output_path}/transcription_full_context")
     assert "PROJECT STRUCTURE:\n" + "-" * 50 + "\n\n\n\nRESOURCES" in text
+
+
+def test_map_tells_places_in_the_written_document(spark, files_of, tmp_path):
+    tree = {("app", p): c for p, c in APP.items()} | {("big", f"d{i % 7}/é{i}.py"): "x\n" * (i % 5) for i in range(300)}
+    tree |= {("bare", "README.md"): "no tree\n", ("big", "d1"): "odd"}
+    options = JobOptions(output_base_dir=str(tmp_path), show_functions=True, show_classes=True, show_methods=True)
+    report = job.run(files_of(tree), options)
+    sizes = report.job.sizes
+    assert "content" not in sizes._jdf.queryExecution().executedPlan().toString()
+    rows = report.job.map.collect()
+    blocks = {(r.project, r.section, r.sort_key, r.ord): r.value + "\n" for r in report.job.unified.collect()}
+    assert len(rows) == len(blocks)
+    for r in rows:
+        text = document(f"{report.output_path}/transcription_full_context", r.project)
+        value = blocks[r.project, r.section, r.sort_key, r.ord]
+        assert text[r.start : r.start + r.n_chars] == value
+        assert (r.first_line, r.n_lines) == (text.count("\n", 0, r.start) + 1, value.count("\n"))
+
+
+def test_map_of_equal_keys_and_nulls(spark):
+    sizes = spark.createDataFrame(
+        [("p", 2, "a.py", 0, 5, 1), ("p", 2, "a.py", 0, 3, 2), ("p", 0, "", -1, 2, 1), (None, 0, "", -1, 4, 1)],
+        "project string, section int, sort_key string, ord int, n_chars long, n_lines long",
+    )
+    rows = sorted((r.project, r.start, r.n_chars, r.first_line) for r in assembly.document_map(sizes).collect())
+    assert rows == [("", 0, 4, 1), ("p", 0, 2, 1), ("p", 2, 3, 2), ("p", 5, 5, 4)]
+    assert assembly.document_map(sizes.limit(0)).collect() == []
+
+
+def test_dry_run_keeps_no_text(spark, files_of, tmp_path):
+    files = files_of(APP)
+    options = JobOptions(output_base_dir=str(tmp_path))
+    dry = job.run(files, options, dry_run=True)
+    assert "content" not in dry.job.results.columns
+    made = job.run(files, options)
+    pick = lambda report: report.summary.drop("dry_run", "will_generate").collect()
+    assert pick(dry) == pick(made)
