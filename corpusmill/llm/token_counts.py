@@ -10,10 +10,11 @@ much the number of tokens changes by it (it may shrink).
 
 States are compiled when a text first needs them, into tables with a fixed
 bound, and the tables are started afresh when full.  Texts are cut into chunks
-that all run at the same time, one table lookup per step for all chunks.  After
-a chunk's first word break its state no longer depends on what came before, so
-a chunk's state map is "run the head, then this constant"; these maps compose
-from left to right, a round for all documents at once.
+that all run at the same time, one table lookup per step for all chunks.  A
+chunk's state map holds its end state and its count for each state that can
+enter it: a guess from the bytes before the chunk, and whatever end state its
+left neighbour's map turns out to have.  Once every end state has its place in
+the right neighbour's map, the maps compose pairwise in a parallel prefix scan.
 """
 
 from __future__ import annotations
@@ -30,6 +31,9 @@ SPACE = "▁"
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
 CHUNK_BYTES = 4096
+GUESS_BYTES = 96
+WIDEN_AFTER = 4
+WIDEN_STATES = 64
 PIECE_BYTES = 8 << 20
 MAX_STATES = 1 << 16
 
@@ -218,40 +222,47 @@ class Transducer:
         chunks = -(-sizes // chunk)
         owner = np.repeat(np.arange(n), chunks)
         number = np.arange(len(owner)) - np.repeat(np.cumsum(chunks) - chunks, chunks)
-        starts = texts.offsets[:-1][owner] + number * chunk
-        ends = np.minimum(starts + chunk, texts.offsets[1:][owner])
-        # After a space that follows an ASCII letter the state is always the same.
-        data = texts.data
-        breaks = np.flatnonzero(data == 32)
-        breaks = breaks[breaks > 0]
-        lower = data[breaks - 1] | 0x20
-        breaks = breaks[(lower >= 97) & (lower <= 122)]
-        place = np.searchsorted(breaks, starts + 1)  # so that the letter is in the chunk too
-        where = breaks[np.minimum(place, max(len(breaks) - 1, 0))] + 1 if len(breaks) else ends
-        known = (place < len(breaks)) & (where <= ends)
-        heads = np.where(known, where, ends)
-        first = number == 0
-        heads[first] = starts[first]
-        known |= first
+        data, first = texts.data, number == 0
+        last = np.append(first[1:], True)[: len(owner)]
+
+        def aligned(at: np.ndarray, stop: np.ndarray) -> np.ndarray:
+            """The next places where a character begins."""
+            for _ in range(3):
+                at = at + ((at < stop) & (data[np.minimum(at, len(data) - 1)] & 0xC0 == 0x80))
+            return at
+
+        stops = texts.offsets[1:][owner]
+        starts = aligned(np.minimum(texts.offsets[:-1][owner] + number * chunk, stops), stops)
+        ends = np.where(last, stops, np.append(starts[1:], 0)[: len(owner)])
         generation = self.generation
-        initial = np.where(first, self.begin, self.word)
-        state, total = self.run(data, heads, ends, initial)
-        done = known.copy()
-        while True:
-            # A round of the scan: heads whose left neighbour's end state is known.
-            ready = np.flatnonzero(~first & np.append(False, done[:-1]) & (heads > starts))
+        # The entry states: what the bytes before a chunk lead to, from a word's begin on.
+        warm = aligned(np.maximum(starts - GUESS_BYTES, texts.offsets[:-1][owner]), starts)
+        enters, _ = self.run(data, warm, starts, np.full(len(owner), self.word))
+        enters = np.where(first, self.begin, enters)
+        maps = _StateMaps(len(owner))
+        new_chunk, new_state = np.arange(len(owner)), enters
+        rounds = 0
+        while len(new_chunk):
+            rounds += 1
+            if rounds % WIDEN_AFTER == 0:
+                # Phases that go round, as in a long run of one character: let
+                # each state that was met enter every chunk of these texts.
+                met = np.unique(new_state)[:WIDEN_STATES]
+                chunks = np.flatnonzero(np.isin(owner, owner[new_chunk]) & ~first)
+                wide = np.repeat(chunks, len(met)), np.tile(met, len(chunks))
+                new_chunk, new_state = maps.missing(
+                    np.concatenate([new_chunk, wide[0]]), np.concatenate([new_state, wide[1]])
+                )
+            end, total = self.run(data, starts[new_chunk], ends[new_chunk], new_state)
             if self.generation != generation:
                 # State numbers changed meanwhile; count these texts one by one.
                 return np.array([self.count_one(bytes(data[a:b])) for a, b in zip(texts.offsets, texts.offsets[1:])])
-            if not len(ready):
-                break
-            end, more = self.run(data, starts[ready], heads[ready], state[ready - 1])
-            total[ready] += more
-            fresh = ~known[ready]
-            state[ready[fresh]] = end[fresh]
-            done[ready] = True
-            starts[ready] = heads[ready]
-        out = np.bincount(owner, weights=total, minlength=n).astype(np.int64)
+            maps.add(new_chunk, new_state, end, total)
+            inner = ~last[new_chunk]
+            new_chunk, new_state = maps.missing(new_chunk[inner] + 1, end[inner])
+        total = maps.compose(first, last, enters)
+        out = np.zeros(n, np.int64)
+        out[owner[first]] = total
         return out + np.where(sizes > 0, self.first_delta, 0)
 
     def count_one(self, text: bytes) -> int:
@@ -265,6 +276,52 @@ class Transducer:
         return total
 
 
+class _StateMaps:
+    """State maps of chunks: rows of ``(chunk, entry state)`` with end state and count."""
+
+    def __init__(self, n_chunks: int) -> None:
+        self.n_chunks = n_chunks
+        self.keys = self.end = self.total = np.zeros(0, np.int64)
+
+    def _find(self, chunk: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of rows, and whether they are there."""
+        key = (chunk << 32) | state
+        at = np.searchsorted(self.keys, key)
+        return at, (at < len(self.keys)) & (np.append(self.keys, -1)[at] == key)
+
+    def add(self, chunk: np.ndarray, state: np.ndarray, end: np.ndarray, total: np.ndarray) -> None:
+        keys = np.concatenate([self.keys, (chunk << 32) | state])
+        order = np.argsort(keys, kind="stable")
+        self.keys = keys[order]
+        self.end = np.concatenate([self.end, end])[order]
+        self.total = np.concatenate([self.total, total])[order]
+
+    def missing(self, chunk: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct pairs that no map holds."""
+        _, there = self._find(chunk, state)
+        key = np.unique((chunk[~there] << 32) | state[~there])
+        return key >> 32, key & 0xFFFFFFFF
+
+    def compose(self, first: np.ndarray, last: np.ndarray, enters: np.ndarray) -> np.ndarray:
+        """Count of every text: its chunks' maps composed, applied to its first state.
+
+        Every step composes each map with the one that follows what it covers, so
+        it covers twice as many chunks; the longest text takes log2(chunks) steps.
+        """
+        n, chunk = len(self.keys), self.keys >> 32
+        follows = np.full(n + 1, n)
+        inner = np.flatnonzero(~last[chunk])
+        follows[inner], there = self._find(chunk[inner] + 1, self.end[inner])
+        if not there.all():
+            raise ValueError("an end state has no place in the next map")
+        total = np.append(self.total, 0)
+        while (follows[:n] < n).any():
+            total += total[follows]
+            follows = follows[follows]
+        starts = np.flatnonzero(first)
+        return total[self._find(starts, enters[starts])[0]]
+
+
 _LOADED: dict[str, Transducer] = {}
 
 

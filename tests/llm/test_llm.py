@@ -369,6 +369,47 @@ def test_transducer_on_random_text(chunk):
     assert counter.count(Texts(pa.array(rows)), chunk).tolist() == [len(x) for x in model.encode(rows)]
 
 
+@pytest.mark.parametrize("unit", ["日本語テキスト", "Zm9vYmFy+/", "=", "ab", "word\n", "\U0001F642", "▁ "])
+def test_state_maps_need_few_rounds_without_word_breaks(unit, monkeypatch):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    counter = token_counts.transducer(path)
+    r = random.Random(5)
+    mixed = "".join(unit[: r.randrange(1, len(unit) + 1)] for _ in range(20_000))
+    rows = [unit * 3_000, "", mixed, mixed[7:9_000], None]
+    spans = []
+    run = counter.run
+    monkeypatch.setattr(counter, "run", lambda data, starts, *rest: spans.append(len(starts)) or run(data, starts, *rest))
+    assert counter.count(Texts(pa.array(rows)), 256).tolist() == [len(model.encode(x or "")) for x in rows]
+    # One round of guesses, one of maps, and a few for states that no guess met.
+    assert len(spans) <= 24 and sum(spans[1:]) <= 24 * spans[0]
+
+
+def test_state_maps_compose_like_a_walk():
+    r = random.Random(8)
+    for _ in range(50):
+        lengths = [r.randrange(1, 40) for _ in range(5)]
+        first = np.concatenate([[True] + [False] * (n - 1) for n in lengths])
+        last = np.append(first[1:], True)
+        step = [{s: (r.randrange(4), r.randrange(-3, 9)) for s in range(4)} for _ in first]
+        maps = token_counts._StateMaps(len(first))
+        for i in r.sample(range(len(first)), len(first)):
+            ends = [step[i][s] for s in range(4)]
+            maps.add(np.full(4, i), np.arange(4), np.array([e for e, _ in ends]), np.array([t for _, t in ends]))
+        enters = np.array([r.randrange(4) for _ in first])
+        want = []
+        for i in np.flatnonzero(first):
+            state, total = int(enters[i]), 0
+            while True:
+                state, more = step[i][state]
+                total += more
+                if last[i]:
+                    break
+                i += 1
+            want.append(total)
+        assert maps.compose(first, last, enters).tolist() == want
+
+
 def test_transducer_with_few_states():
     path = public_tokenizers.path("piece_bpe_32k.model")
     model = sentencepiece.SentencePieceProcessor(model_file=path)
