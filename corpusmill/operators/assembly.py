@@ -47,8 +47,12 @@ def category_blocks(processed: DataFrame) -> DataFrame:
     ``processed`` holds the written files: ``(project, rel_path, target, content)``.
     Entries are ordered by path.
     """
-    block = F.concat(_entry_top(), F.col("content"))
-    return category_heads(processed).unionByName(_entries(processed, block.alias("value")))
+    return category_heads(processed).unionByName(category_entries(processed))
+
+
+def category_entries(processed: DataFrame) -> DataFrame:
+    """The entries of all written files, one block each."""
+    return _entries(processed, F.concat(_entry_top(), F.col("content")).alias("value"))
 
 
 def category_heads(processed: DataFrame) -> DataFrame:
@@ -101,16 +105,26 @@ def unified_blocks(
     without files are left out.  ``tree`` holds the rendered lines, ``treeless``
     names the projects that have none.
     """
-    blocks = _title(projects)
-    if tree is not None:
-        body = tree.select(
-            "project", F.lit(TREE).alias("section"), "sort_key", "ord", F.col("line").alias("value")
-        )
-        blocks = blocks.unionByName(body).unionByName(_tree_frame(projects, tree, treeless))
+    outline = unified_outline(projects, processed, tree, treeless)
+    return outline.unionByName(category_entries(processed).drop("target"))
+
+
+def unified_outline(
+    projects: DataFrame, processed: DataFrame, tree: DataFrame | None = None,
+    treeless: DataFrame | None = None,
+) -> DataFrame:
+    """All blocks of the unified document but the entries of files."""
     heads = category_heads(processed)
-    block = F.concat(_entry_top(), F.col("content"))
-    entries = _entries(processed, block.alias("value"))
-    return blocks.unionByName(heads.unionByName(entries).drop("target")).unionByName(_tails(heads))
+    blocks = _title(projects).unionByName(heads.drop("target")).unionByName(_tails(heads))
+    if tree is not None:
+        blocks = blocks.unionByName(tree_blocks(tree)).unionByName(_tree_frame(projects, tree, treeless))
+    return blocks
+
+
+def tree_blocks(tree: DataFrame) -> DataFrame:
+    return tree.select(
+        "project", F.lit(TREE).alias("section"), "sort_key", "ord", F.col("line").alias("value")
+    )
 
 
 def unified_sizes(

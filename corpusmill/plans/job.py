@@ -126,10 +126,19 @@ class Job:
         return drawn.where("not drawn").select("project")
 
     @property
-    def unified(self) -> DataFrame:
+    def tree_blocks(self) -> DataFrame:
+        return assembly.tree_blocks(self.tree)
+
+    @property
+    def outline(self) -> DataFrame:
+        """The unified document's blocks without the entries of files."""
         if not self.options.generate_tree:
-            return assembly.unified_blocks(self.projects, self.written)
-        return assembly.unified_blocks(self.projects, self.written, self.tree, self.treeless)
+            return assembly.unified_outline(self.projects, self.written)
+        return assembly.unified_outline(self.projects, self.written, self.tree, self.treeless)
+
+    @property
+    def unified(self) -> DataFrame:
+        return self.outline.unionByName(assembly.category_entries(self.written).drop("target"))
 
     @property
     def sizes(self) -> DataFrame:
@@ -192,6 +201,8 @@ def run(
     spark = files.sparkSession
     out = options.output_path()
     planned = options.planned_outputs()
+    # A set that an earlier run has committed and not yet moved is moved now.
+    publish.finish(spark, out, options.output_prefix)
     existing = publish.existing_outputs(spark, out, planned)
     dropped: list[str] = []
     options = filtering.checked_options(spark, options, dropped)
@@ -208,7 +219,7 @@ def run(
 
     outputs: list[str] = []
     if not dry_run:
-        outputs = _write(job, out, overwrite)
+        outputs = _write(job, out)
         if cache is not None:
             fresh = job.results.where("status = 'ok' and not cached").select(
                 "fingerprint", "project", "rel_path", "content", "n_tokens",
@@ -221,29 +232,33 @@ def run(
     )
 
 
-def _write(job: Job, out: str, overwrite: bool) -> list[str]:
-    options = job.options
-    outputs: list[str] = []
-
-    def put(name: str, blocks: DataFrame) -> None:
-        path = f"{out}/{options.output_prefix}_{name}"
-        publish.write_documents(blocks, path, overwrite)
-        outputs.append(path)
-
+def _write(job: Job, out: str) -> list[str]:
+    """All documents in one job: the stored text is read once and sorted once."""
+    options, prefix = job.options, job.options.output_prefix
+    name = lambda kind: f"{prefix}_{kind}"
+    outputs: dict[str, DataFrame] = {}
+    places = []
     if options.create_individual_files:
-        for name, target, wanted in (
+        heads = assembly.category_heads(job.written)
+        for kind, target, wanted in (
             ("modules", "module", options.process_modules),
             ("tests", "test", options.process_tests),
             ("resources", "resource", options.process_resources),
         ):
             if wanted:
-                put(name, job.categories.where(F.col("target") == target))
+                outputs[name(kind)] = heads.where(F.col("target") == target)
+                places.append(F.when(F.col("target") == target, F.lit(name(kind))))
         if options.generate_tree:
-            put("tree", job.tree.select(
-                "project", F.lit(0).alias("section"), "sort_key", "ord", F.col("line").alias("value")
-            ))
+            outputs[name("tree")] = job.tree_blocks.withColumn("section", F.lit(0))
     if options.create_unified_file:
-        put("full_context", job.unified)
+        outputs[name("full_context")] = job.outline
+        places.append(F.lit(name("full_context")))
     if options.save_error_log and not job.errors.isEmpty():
-        put("errors", assembly.error_blocks(job.errors))
-    return outputs
+        outputs[name("errors")] = assembly.error_blocks(job.errors)
+    if not outputs:
+        return []
+    shared = None
+    if places:
+        shared = assembly.category_entries(job.written).withColumn("outputs", F.array_compact(F.array(*places)))
+    publish.publish(outputs, shared, out, prefix)
+    return [f"{out}/{listed}" for listed in outputs]

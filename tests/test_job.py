@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.operators import assembly, reuse
 from corpusmill.options import JobOptions
-from corpusmill.plans import job
+from corpusmill.plans import job, publish
 from corpusmill.sources import corpus, directory
 
 APP = {
@@ -221,3 +221,68 @@ def test_dry_run_keeps_no_text(spark, files_of, tmp_path):
     made = job.run(files, options)
     pick = lambda report: report.summary.drop("dry_run", "will_generate").collect()
     assert pick(dry) == pick(made)
+
+
+class Stopped(Exception):
+    pass
+
+
+def test_stopped_between_two_outputs(spark, files_of, tmp_path, monkeypatch):
+    options = JobOptions(output_base_dir=str(tmp_path), generate_tree=False)
+    names, out, prefix = options.planned_outputs(), options.output_path(), options.output_prefix
+    job.run(files_of({"a.py": "old\n", "test_a.py": "old\n"}), options)
+    texts = lambda: {
+        n: document(p) for n, p in publish.located(spark, out, prefix, names).items() if "resources" not in n
+    }
+    before = texts()
+
+    # Stopped before the manifest: nothing has changed.
+    monkeypatch.setattr(publish, "commit", lambda *_: (_ for _ in ()).throw(Stopped()))
+    new = files_of({"a.py": "new\n", "test_a.py": "new\n"})
+    with pytest.raises(Stopped):
+        job.run(new, options, overwrite=True)
+    monkeypatch.undo()
+    assert texts() == before and all("old" in t for t in before.values())
+    assert publish.finish(spark, out, prefix) == [] and publish.drop_unfinished(spark, out, prefix) == 1
+
+    # Stopped after the manifest and one output: a reader sees the new set whole.
+    real, moves = publish._filesystem, []
+
+    class Failing:
+        def __init__(self, fs):
+            self.fs = fs
+
+        def __getattr__(self, name):
+            return getattr(self.fs, name)
+
+        def rename(self, source, target):
+            if "output=" in source.toString():
+                moves.append(1)
+                if len(moves) > 1:
+                    raise Stopped()
+            return self.fs.rename(source, target)
+
+    monkeypatch.setattr(publish, "_filesystem", lambda *a: (lambda fs, path: (Failing(fs), path))(*real(*a)))
+    with pytest.raises(Stopped):
+        job.run(new, options, overwrite=True)
+    monkeypatch.undo()
+    whole = texts()
+    assert whole == {n: t.replace("old", "new") for n, t in before.items()}
+    assert any("/." in p for p in publish.located(spark, out, prefix, names).values())
+
+    # The next run finishes it, here one that may not overwrite.
+    again = job.run(new, options)
+    assert not again.ok and len(again.existing) == len(names)
+    assert texts() == whole and not any("/." in p for p in publish.located(spark, out, prefix, names).values())
+    assert [n for n in os.listdir(out) if n.startswith(f".{prefix}-")] == []
+
+
+def test_run_sorts_text_once(spark, files_of, tmp_path, monkeypatch):
+    frames = []
+    real = publish.publish
+    monkeypatch.setattr(publish, "publish", lambda own, shared, *rest: frames.append((own, shared)) or real(own, shared, *rest))
+    report = job.run(files_of(APP), JobOptions(output_base_dir=str(tmp_path)))
+    own, shared = frames[0]
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert len(report.outputs) == 5 and not any("content" in plan(blocks) for blocks in own.values())
+    assert plan(shared).count("FileScan") == 1 and "Exchange" not in plan(shared)
