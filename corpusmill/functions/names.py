@@ -110,6 +110,16 @@ def has_listed_extension(name: Column, ext: Column, extensions: Iterable[str]) -
 
 # -- glob rules -------------------------------------------------------------
 
+def is_plain_glob(glob: Column) -> Column:
+    """Whether a glob is plain text, or plain text after stars."""
+    return ~F.rlike(plain_part(glob), F.lit(r"[*?\[]"))
+
+
+def plain_part(glob: Column) -> Column:
+    """A glob without its leading stars and final slashes."""
+    return F.regexp_replace(glob, r"\A\*+|/+\z", "")
+
+
 # One token: a bracket class, a run of stars, or a single character.
 _GLOB_TOKEN = r"(?s)(\[!?\]?[^\]]*\]|\*+|.)"
 

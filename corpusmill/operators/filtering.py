@@ -15,7 +15,7 @@ from ..functions import names
 from ..options import JobOptions
 from ..scale import small_side, spread_lookup
 
-IGNORE_RX = "ignore_rx"
+IGNORE = "ignore"
 
 
 def with_name_parts(files: DataFrame) -> DataFrame:
@@ -49,9 +49,12 @@ def ignore_rules(files: DataFrame, mode: str = "basename_suffix") -> DataFrame:
 
 
 def ignore_patterns(files: DataFrame, mode: str = "basename_suffix") -> DataFrame:
-    """One alternation per project with rules: ``(project, ignore_rx)``.
+    """What each project with rules ignores: ``(project, ignore)``.
 
-    Built inside the row of the ignore file, so no rows are grouped.
+    ``ignore`` holds the ends of names that plain rules tell (``*.log``), whole
+    ``names``, and one alternation ``regex`` of the globs that are left, null if
+    there are none.  Built inside the row of the ignore file, so no rows are
+    grouped.
     """
     rules = F.filter(
         F.transform(
@@ -60,16 +63,23 @@ def ignore_patterns(files: DataFrame, mode: str = "basename_suffix") -> DataFram
         ),
         lambda rule: (rule != "") & ~rule.startswith("#"),
     )
-    regexes = F.transform(rules, lambda rule: names.glob_to_regex(rule, mode))
-    return (
-        files.where(F.col("rel_path") == ".gitignore")
-        .select("project", F.array_join(regexes, "|").alias(IGNORE_RX))
-        .where(F.col(IGNORE_RX) != "")
+    listed = files.where(F.col("rel_path") == ".gitignore").select(
+        "project", F.array_distinct(rules).alias("rules")
     )
+    plain = F.filter("rules", names.is_plain_glob)
+    open_start = lambda rule: rule.startswith("*") | F.lit(mode == "basename_suffix")
+    globs = F.filter("rules", lambda rule: ~names.is_plain_glob(rule))
+    regexes = F.transform(globs, lambda rule: names.glob_to_regex(rule, mode))
+    ignore = F.struct(
+        F.transform(F.filter(plain, open_start), names.plain_part).alias("ends"),
+        F.transform(F.filter(plain, lambda rule: ~open_start(rule)), names.plain_part).alias("names"),
+        F.when(F.size(regexes) > 0, F.array_join(regexes, "|")).alias("regex"),
+    )
+    return listed.where(F.size("rules") > 0).select("project", ignore.alias(IGNORE))
 
 
 def with_ignore_patterns(files: DataFrame, mode: str = "basename_suffix") -> DataFrame:
-    """Give every file its project's ignore pattern (null where there is none).
+    """Give every file what its project ignores (null where there is nothing).
 
     The rules are written down and measured first: joined by broadcast when
     small, so that file content stays where it is.  Rules of very many projects
@@ -87,26 +97,32 @@ def with_ignore_patterns(files: DataFrame, mode: str = "basename_suffix") -> Dat
 # -- predicates -------------------------------------------------------------
 
 def _ignored(name: Column) -> Column:
-    return F.coalesce(F.rlike(name, F.col(IGNORE_RX)), F.lit(False))
+    """Ends and whole names first; a regex only where a project has other globs."""
+    ignore = F.col(IGNORE)
+    hit = (
+        F.exists(ignore["ends"], lambda end: name.endswith(end))
+        | F.array_contains(ignore["names"], name)
+        | F.coalesce(F.rlike(name, ignore["regex"]), F.lit(False))
+    )
+    return F.when(ignore.isNotNull(), hit).otherwise(False)
 
 
 def _ignored_dir(path: Column) -> Column:
     folders = names.directory(path)
-    hit = F.exists(F.split(folders, "/"), lambda d: F.rlike(d, F.col(IGNORE_RX)))
-    return (folders != "") & F.coalesce(hit, F.lit(False))
+    return (folders != "") & F.exists(F.split(folders, "/"), _ignored)
 
 
 def excluded(files: DataFrame, patterns: tuple[str, ...]) -> Column:
     name = F.col("file_name")
     hit = names.hits_any(name, patterns)
-    return hit | _ignored(name) if IGNORE_RX in files.columns else hit
+    return hit | _ignored(name) if IGNORE in files.columns else hit
 
 
 def prune_dirs(files: DataFrame, patterns: tuple[str, ...]) -> DataFrame:
     """Drop files below an excluded directory; they are not even counted."""
     path = F.col("rel_path")
     kept = files.where(~names.has_excluded_dir(path, patterns))
-    return kept.where(~_ignored_dir(path)) if IGNORE_RX in files.columns else kept
+    return kept.where(~_ignored_dir(path)) if IGNORE in files.columns else kept
 
 
 def eligible(options: JobOptions) -> Column:
@@ -183,7 +199,7 @@ def scan(files: DataFrame, options: JobOptions) -> DataFrame:
         files.withColumn("status", F.when(taken, "process").otherwise("skipped"))
         .withColumn("target", target(options))
         .withColumn("in_tree", tree_admits(files, options))
-        .drop(IGNORE_RX)
+        .drop(IGNORE)
     )
 
 

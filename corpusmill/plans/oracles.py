@@ -197,6 +197,18 @@ SELECT project, rel_path, status AS status_all,
   CASE WHEN NOT noise AND {_LISTED} THEN 'process' ELSE 'skipped' END AS status_modules
 FROM scanned"""
 
+ORACLES["scan_merged_rules"] = f"""
+WITH {_FILES}, {_RULES},
+both_files AS (SELECT project, rel_path, dir, file_name, ext, doc_id FROM files
+  UNION ALL SELECT project, '.gitignore', '', '.gitignore', '', 6 FROM last),
+judged AS (
+  SELECT f.*, NOT (doc_id % 10 IN (6, 7, 8, 2, 4) OR (doc_id % 10 = 1 AND file_name LIKE '%1.py')
+    OR regexp_matches(file_name, '[ab]pp_' || l.last_id || '..*\\.js$')) AS kept
+  FROM both_files f JOIN last l USING (project)
+  WHERE dir NOT LIKE '%/node_modules/%' AND len([x for x in string_split(dir, '/') if ends_with(x, 'd' || l.k)]) = 0)
+SELECT project, rel_path, CASE WHEN kept THEN 'process' ELSE 'skipped' END AS status, kept AND {_LISTED} AS in_tree
+FROM judged"""
+
 # -- classes ----------------------------------------------------------------
 
 ORACLES["split_ext"] = f"WITH {_FILES} SELECT project, rel_path, file_name, ext, dir FROM files"
@@ -265,6 +277,11 @@ _OUTLINE = _fill([
 ORACLES["skeleton"] = f"""
 WITH {_FILES} SELECT project, rel_path, CASE WHEN ext = '.py' THEN {_OUTLINE} ELSE content END AS content FROM files"""
 
+_SHORT = f"(CASE WHEN ext = '.py' THEN {_OUTLINE} ELSE content END)"
+ORACLES["chain_skeleton"] = f"""
+WITH {_SCANNED}, short AS (SELECT project, rel_path, ext, {_SHORT} AS content FROM written)
+SELECT project, rel_path, {_masked(_redacted(_minified('content', 'ext')))} AS content FROM short"""
+
 _SYMBOLS = """
 found AS (
   SELECT project, rel_path, 0 AS ord, 'function' AS kind, NULL AS parent, 'load_' || doc_id AS name FROM {src} WHERE ext = '.py'

@@ -157,6 +157,20 @@ def scan_status(spark, sf):
     return narrow.select(*KEY, "status_all", F.col("status").alias("status_modules"))
 
 
+MERGED = OPTIONS.with_(
+    respect_gitignore=True, exclude_patterns=(*OPTIONS.exclude_patterns, r"^Dockerfile$", r"^test_\d*1\.py$"),
+    include_patterns=(r"\.py$", r"\.(ts|js|md)$", r"^\.gitignore$", r"^\d+Test", r"Docker"),
+)
+
+
+@register
+def scan_merged_rules(spark, sf):
+    """Default and user patterns and the projects' ignore files, all at once."""
+    files = inputs.files(spark, sf)
+    both = files.select(*KEY, "content").unionByName(inputs.ignore_files(files))
+    return filtering.scan(both, MERGED).select(*KEY, "status", "in_tree")
+
+
 # -- classes ----------------------------------------------------------------
 
 @register
@@ -269,6 +283,14 @@ def transform_chain(spark, sf):
     return changed.select(*KEY, "content")
 
 
+@register
+def chain_skeleton(spark, sf):
+    """All four steps on the files that a run takes."""
+    options = CHAIN.with_(processing_depth="skeleton")
+    results = job.process(inputs.files(spark, sf, with_text=True), options)
+    return results.where("status = 'ok'").select(*KEY, "content")
+
+
 @register
 def csv_list(spark, sf):
     listed = F.concat(F.lit(" ."), "lang", F.lit(" , ,"), "source", F.lit(",,\tx "), F.col("doc_id").cast("string"), F.lit(" "))

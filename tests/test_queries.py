@@ -9,7 +9,7 @@ from corpusmill.plans.oracles import ORACLES
 from corpusmill.plans.registered import QUERIES
 
 # Only these may hand rows to Python: they parse Python code or run an encoder.
-PYTHON = {"skeleton", "symbols", "tree_symbols", "tokens_bpe"}
+PYTHON = {"skeleton", "chain_skeleton", "symbols", "tree_symbols", "tokens_bpe"}
 # These measure documents without their text.
 MEASURES = {"document_tokens", "run_summary"}
 # These look at names alone and may not read the text of a document.

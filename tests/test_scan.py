@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from corpusmill.operators import filtering
 from corpusmill.options import JobOptions
@@ -116,3 +117,21 @@ def test_flat_folder_and_unreadable_folder(spark, tmp_path, monkeypatch):
     assert len(rows) == 1 and rows[0][:2] == ("gone", False) and "gone" in rows[0][4]
     found = read_directory(spark, str(tmp_path), JobOptions()).collect()
     assert len(found) == 50 and all(r.error is None and r.content == "x" for r in found)
+
+
+@pytest.mark.parametrize("mode", ["basename_suffix", "basename_exact"])
+def test_plain_rules_hit_what_their_regex_hits(spark, files_of, mode):
+    rules = ["*.log", "build/", "**.tmp", "*", "/", "a?c", "[ab]x", "x*y", "*a*", "?", "!keep", "a.b", "[", "é*", "**", "a//", "*/"]
+    listed = ["x.log", "build", "rebuild", "y.tmp", "abc", "ax", "xay", "keep", "!keep", "a.b", "aXb", "[", "éa", "a", "", "*", "a/"]
+    both = files_of({(f"p{i}", ".gitignore"): rule for i, rule in enumerate(rules)})
+    found = filtering.ignore_patterns(both, mode)
+    regexes = filtering.ignore_rules(both, mode).select("project", "regex")
+    names = spark.createDataFrame([(n,) for n in listed], "name string")
+    rows = found.crossJoin(names).join(regexes, "project").select(
+        "project", "name", filtering._ignored(F.col("name")).alias("mine"), F.rlike("name", F.col("regex")).alias("regex")
+    ).collect()
+    assert len(rows) == len(rules) * len(listed)
+    assert [tuple(r) for r in rows if r.mine != r.regex] == []
+    kept = {r.project: r.ignore for r in found.collect()}
+    assert kept["p0"].regex is None and kept["p0"].ends == [".log"] and kept["p5"].regex is not None
+    assert (kept["p1"].names == ["build"]) == (mode == "basename_exact")
