@@ -8,12 +8,12 @@ thus spread over as many tasks as it needs.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..functions.tokens import tokens_from_chars
-from ..scale import stored
+from ..scale import prefix_sums
 
 ORDER = ["project", "section", "sort_key", "ord"]
 # Place of each part in the unified document.
@@ -210,36 +210,14 @@ def document_tokens(sizes: DataFrame) -> DataFrame:
 def document_map(sizes: DataFrame) -> DataFrame:
     """Where each block stands: adds ``start`` (characters before it) and ``first_line`` (from 1).
 
-    A prefix sum in two levels.  Blocks are range-partitioned in document order,
-    totals of the ranges are summed first, and a window runs inside each range;
-    so a project of any size is spread over the ranges it needs.  Blocks of equal
+    A project of any size is spread over the ranges it needs.  Blocks of equal
     keys are ordered by size.  No text is involved.
     """
-    wide = sizes.select(
-        F.coalesce("project", F.lit("")).alias("project"), *[c for c in sizes.columns if c != "project"]
-    )
-    # Written down, so that the number of a range is the same wherever it is read.
-    ranged = stored(wide.repartitionByRange(*ORDER).withColumn("_range", F.spark_partition_id()))
-    totals = ranged.groupBy("project", "_range").agg(
-        F.sum("n_chars").alias("_chars"), F.sum("n_lines").alias("_lines")
-    )
-    earlier = Window.partitionBy("project").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select(
-        "project", "_range",
-        *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in ("_chars", "_lines")],
-    )
-    inside = Window.partitionBy("project", "_range").orderBy(*ORDER[1:], "n_chars", "n_lines").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    within = lambda c: F.coalesce(F.sum(c).over(inside), F.lit(0))
-    return (
-        ranged.withColumns({"_c": within("n_chars"), "_l": within("n_lines")})
-        .join(before, ["project", "_range"])
-        .select(
-            *ORDER, (F.col("_chars") + F.col("_c")).alias("start"), "n_chars",
-            (F.col("_lines") + F.col("_l") + 1).alias("first_line"), "n_lines",
-        )
+    named = sizes.withColumn("project", F.coalesce("project", F.lit("")))
+    placed = prefix_sums(
+        named, [*ORDER[1:], "n_chars", "n_lines"], {"start": "n_chars", "lines": "n_lines"}, within=("project",)
     )
+    return placed.select(*ORDER, "start", "n_chars", (F.col("lines") + 1).alias("first_line"), "n_lines")
 
 
 def ordered(blocks: DataFrame) -> DataFrame:

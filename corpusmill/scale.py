@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
@@ -92,3 +92,31 @@ def spread_lookup(
         .join(copied.drop(weight), [*keys, "_slot"], "left")
         .drop("_slot")
     )
+
+
+def prefix_sums(df: DataFrame, order: list[str], sums: dict[str, str], within: tuple[str, ...] = ()) -> DataFrame:
+    """Add to every row the sums of columns over the rows before it.
+
+    ``sums`` names each new column's summand.  Rows are range-partitioned in
+    order and written down, so that the number of a range is the same wherever
+    it is read; totals of the ranges are summed first, and a window runs inside
+    each range.  So a group of ``within`` (never null) may have any size; only
+    one row per range and group meets in a task.
+    """
+    ranged = stored(df.repartitionByRange(*within, *order).withColumn("_range", F.spark_partition_id()))
+    totals = ranged.groupBy(*within, "_range").agg(
+        *[F.sum(old).alias(f"_total_{new}") for new, old in sums.items()]
+    )
+    def before(window, column: str):
+        return F.coalesce(F.sum(column).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    earlier = Window.partitionBy(*within).orderBy("_range")
+    inside = Window.partitionBy(*within, "_range").orderBy(*order)
+    heads = totals.select(
+        *within, "_range", *[before(earlier, f"_total_{new}").alias(f"_before_{new}") for new in sums]
+    )
+    return (
+        ranged.withColumns({f"_inside_{new}": before(inside, old) for new, old in sums.items()})
+        .join(heads, [*within, "_range"])
+        .select(*df.columns, *[(F.col(f"_before_{new}") + F.col(f"_inside_{new}")).alias(new) for new in sums])
+    )

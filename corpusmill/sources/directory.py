@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 from ..functions import names
 from ..functions.text import read_text
 from ..options import JobOptions
-from ..scale import stored
+from ..scale import prefix_sums, stored
 
 READ_TASK_BYTES = 128 * 1024 * 1024
+OPEN_BYTES = 64 * 1024
 _BATCH_BYTES = 32 * 1024 * 1024
 _ENTRY = "rel_path string, is_dir boolean, mtime timestamp, length bigint, error string"
 _CHUNK = 10_000
@@ -83,6 +84,29 @@ def list_tree(spark: SparkSession, root: str, exclude_patterns: tuple[str, ...])
         level = folders.repartition("rel_path")
 
 
+def deal_by_size(listed: DataFrame, task_bytes: int = READ_TASK_BYTES, open_bytes: int = OPEN_BYTES) -> DataFrame:
+    """The listing in partitions of about equal size, neighbours together.
+
+    A file costs its length and ``open_bytes``.  Cumulative costs in path order
+    cut the listing into ranges of ``task_bytes``, or less where the cores would
+    not all have work; a file above that is a range of its own.  So no task reads
+    more than twice as much, or one file.
+    """
+    cost = (F.greatest("length", F.lit(0)) + open_bytes).alias("_cost")
+    priced = listed.select("*", cost)
+    total = priced.agg(F.coalesce(F.sum("_cost"), F.lit(0))).first()[0]
+    share = min(task_bytes, max(open_bytes, total // listed.sparkSession.sparkContext.defaultParallelism, 1))
+    large = F.col("_cost") >= share
+    priced = priced.withColumns({
+        "_small_cost": F.when(large, 0).otherwise(F.col("_cost")), "_large": F.when(large, 1).otherwise(0),
+    })
+    sizes = priced.agg(F.coalesce(F.sum("_small_cost"), F.lit(0)), F.coalesce(F.sum("_large"), F.lit(0))).first()
+    n_small = sizes[0] // share + 1
+    placed = prefix_sums(priced, ["rel_path"], {"_start": "_small_cost", "_rank": "_large"})
+    number = F.when(large, F.col("_rank") + n_small).otherwise(F.floor(F.col("_start") / share))
+    return placed.repartitionById(int(n_small + sizes[1]), number.cast("int")).select(*listed.columns)
+
+
 def read_directory(
     spark: SparkSession, root: str, options: JobOptions, project: str | None = None
 ) -> DataFrame:
@@ -97,9 +121,6 @@ def read_directory(
     if not os.path.isdir(root):
         raise FileNotFoundError(f"no such directory: {root}")
     listed = list_tree(spark, root, options.exclude_patterns)
-    total = listed.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
-    tasks = max(1, total // READ_TASK_BYTES + 1, spark.sparkContext.defaultParallelism)
-
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows, size = [], 0
@@ -119,7 +140,7 @@ def read_directory(
                     rows, size = [], 0
             yield _frame(rows)
 
-    found = listed.repartition(int(tasks)).mapInPandas(read, _READ)
+    found = deal_by_size(listed).mapInPandas(read, _READ)
     name = project or os.path.basename(root.rstrip("/"))
     return stored(found.select(
         F.lit(name).alias("project"), "rel_path", read_text(F.col("raw")).alias("content"),

@@ -135,3 +135,21 @@ def test_plain_rules_hit_what_their_regex_hits(spark, files_of, mode):
     kept = {r.project: r.ignore for r in found.collect()}
     assert kept["p0"].regex is None and kept["p0"].ends == [".log"] and kept["p5"].regex is not None
     assert (kept["p1"].names == ["build"]) == (mode == "basename_exact")
+
+
+@pytest.mark.parametrize("n_large", [0, 1, 3])
+def test_reads_are_dealt_by_size(spark, n_large):
+    small = [(f"d{i % 13}/f{i:05}", 100 + i % 900) for i in range(10_000)]
+    large = [(f"d{i}/large", 60_000_000 * (i + 1)) for i in range(n_large)]
+    odd = [("e/unread", 0), ("e/none", None)]
+    listed = spark.createDataFrame(small + large + odd, "rel_path string, length bigint").repartition(5)
+    dealt = directory.deal_by_size(listed, task_bytes=1_000_000, open_bytes=1_000)
+    rows = dealt.withColumn("task", F.spark_partition_id()).collect()
+    assert sorted(r.rel_path for r in rows) == sorted(path for path, _ in small + large + odd)
+    tasks = {}
+    for r in rows:
+        tasks.setdefault(r.task, []).append((r.length or 0) + 1_000)
+    assert sum(len(t) == 1 and t[0] > 1_000_000 for t in tasks.values()) == n_large
+    others = [sum(t) for t in tasks.values() if max(t) <= 1_000_000]
+    assert max(others) <= 2_000_000 and len(others) <= sum(others) // 1_000_000 + 1
+    assert directory.deal_by_size(listed.limit(0)).collect() == []
