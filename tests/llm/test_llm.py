@@ -21,7 +21,7 @@ from corpusmill.llm import (
     components, fingerprints, language_id, language_model, line_dedup, mixing, near_dedup, packing, quality_rules,
     registered, secret_scan, token_counts,
 )
-from corpusmill.llm.texts import Lookup, Texts
+from corpusmill.llm.texts import Lookup, Texts, mixed, shingles
 
 TINY = "/root/testdata/sf0.001"
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -653,6 +653,39 @@ def test_simhash_query(spark, tiny):
     assert np.mean([r.near_edited for r in found.values()]) > np.mean([r.near_next for r in found.values()]) + 0.08
 
 
+def test_votes_are_those_of_plain_sums(tiny):
+    r = random.Random(12)
+    rows = ["", "  \n", "one", "One one ONE one", "é é 日本 🙂", None, *[t for _, t in tiny[:40]]]
+    rows += [" ".join(r.choice(WORDS) for _ in range(r.randrange(1, 400))) for _ in range(30)]
+
+    def term(*words):
+        """The 64-bit hash of a word or of two neighbouring words."""
+        texts = Texts(pa.array([" ".join(words)]))
+        starts, ends, owners = texts.words()
+        h = texts.hashes(starts, ends, fold=True)
+        return int(h[0] if len(words) == 1 else shingles(h, owners, 2)[0][0])
+
+    def bits(h):
+        halves = [int(mixed(np.array([x % 2**64], np.uint64))[0]) for x in (h, h + 0x5851F42D4C957F2D)]
+        raw = b"".join(x.to_bytes(8, "little") for x in halves)
+        return [byte >> (7 - k) & 1 for byte in raw for k in range(8)]
+
+    want = []
+    for text in rows:
+        words = [w.translate({c: c + 32 for c in range(65, 91)}) for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
+        terms = Counter(zip(words, words[1:])) if len(words) != 1 else Counter([(words[0],)])
+        sums = [0.0] * 128
+        for t, count in terms.items():
+            for k, bit in enumerate(bits(term(*t))):
+                sums[k] += (2 * bit - 1) * (1 + math.log2(count))
+        want.append(sums)
+    found = np.unpackbits(fingerprints.votes(Texts(pa.array(rows, pa.string()))), axis=1)
+    for sums, row in zip(want, found.tolist()):
+        # Votes that cancel out but for rounding may fall either way.
+        assert all(bit == (total > 0) for bit, total in zip(row, sums) if abs(total) > 1e-3)
+        assert any(sums) or not any(row)
+
+
 def test_tables_find_all_within_the_radius(spark):
     r = random.Random(8)
     base = [r.getrandbits(128) for _ in range(6)]
