@@ -63,10 +63,14 @@ def local_encoder(name: str, vocabulary_dir: str):
 
 
 def usable(encoder: Callable[[], object]) -> bool:
-    """Whether the encoder can be built; asked once per job, on the driver."""
+    """Whether the encoder is there; asked once per job, on the driver.
+
+    A missing vocabulary or library means the heuristic.  One that is there and
+    broken is an error.
+    """
     try:
         encoder()
-    except Exception:
+    except (MissingVocabulary, OSError, ImportError):
         return False
     return True
 

@@ -74,3 +74,11 @@ def test_missing_vocabulary_falls_back(spark, tmp_path):
     df = spark.createDataFrame([("abcdefgh",)], "t string")
     assert df.select(K.model_tokens(F.col("t"), "gpt-4o", str(tmp_path))).first()[0] == 2
     assert df.select(K.model_tokens(F.col("t"), "gpt-4o", None)).first()[0] == 2
+
+
+def test_a_broken_vocabulary_is_an_error(tmp_path):
+    assert K.token_method("gpt-4o", str(tmp_path)) == K.HEURISTIC
+    (tmp_path / "o200k_base.pattern").write_text(r"\S+|\s+")
+    (tmp_path / "o200k_base.tiktoken").write_text("YQ== zero\n")
+    with pytest.raises(ValueError):
+        K.token_method("gpt-4o", str(tmp_path))
