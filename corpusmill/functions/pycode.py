@@ -87,13 +87,16 @@ def skeleton(source: Column) -> Column:
     return run(source)
 
 
+def is_python(ext: Column) -> Column:
+    return F.lower(ext) == ".py"
+
+
 def skeleton_where_python(source: Column, ext: Column) -> Column:
     """Skeleton of ``.py`` text; other text passes by without leaving the JVM."""
-    is_python = F.lower(ext) == ".py"
     # Python workers evaluate UDF arguments for every row, so other rows send
     # a null instead of their text.
-    outline = skeleton(F.when(is_python, source))
-    return F.when(is_python, outline).otherwise(source)
+    outline = skeleton(F.when(is_python(ext), source))
+    return F.when(is_python(ext), outline).otherwise(source)
 
 
 def symbols(

@@ -13,7 +13,7 @@ from .. import fixed_values as fv
 from ..functions.pycode import SYMBOL_TYPE
 from ..functions.text import transform_column
 from ..functions.tokens import model_tokens, token_method
-from ..operators import assembly, counters, filtering, reuse, shared_text, tree
+from ..operators import assembly, counters, filtering, reuse, segments, shared_text, tree
 from ..options import JobOptions
 from ..scale import shared_dir
 from . import publish
@@ -25,13 +25,15 @@ def process(
     vocabulary_dir: str | None = None,
     digest: str = "content",
     share_texts: bool = False,
+    segment_bytes: int | None = None,
 ) -> DataFrame:
     """Every scanned file with its fate and, where it is taken, its new text.
 
     ``files`` is ``(project, rel_path, content[, mtime, length, error])`` with
     text content; ``error`` marks files the source could not read.  Files found
     in ``cache`` take their stored text; only the others are transformed, with
-    ``share_texts`` once for each text that several files have.
+    ``share_texts`` once for each text that several files have, and with
+    ``segment_bytes`` in segments where a text is longer than that.
     """
     if "error" not in files.columns:
         files = files.withColumn("error", F.lit(None).cast("string"))
@@ -53,9 +55,12 @@ def process(
         found, rest = reuse.split(marked, cache, finish)
 
     def change(df: DataFrame) -> DataFrame:
-        return transform_column(df, options).withColumn(
-            "n_tokens", model_tokens(F.col("content"), options.target_model, vocabulary_dir)
-        )
+        if segment_bytes is None:
+            changed = transform_column(df, options)
+        else:
+            changed = segments.transform_segmented(df, options, size=segment_bytes)
+        tokens = model_tokens(F.col("content"), options.target_model, vocabulary_dir)
+        return changed.withColumn("n_tokens", tokens)
 
     if share_texts:
         fresh = shared_text.transform_once(rest, change, by=("ext",), made=("content", "n_tokens"))
@@ -191,6 +196,7 @@ def run(
     vocabulary_dir: str | None = None,
     digest: str = "content",
     share_texts: bool = False,
+    segment_bytes: int | None = None,
 ) -> Report:
     """Process a corpus and write the documents the options ask for.
 
@@ -213,7 +219,7 @@ def run(
     method = token_method(options.target_model, vocabulary_dir)
     stored = cache.read(options, method) if cache is not None else None
     staging = f"{shared_dir(spark).rstrip('/')}/results-{uuid.uuid4().hex}"
-    results = process(files, options, stored, vocabulary_dir, digest, share_texts)
+    results = process(files, options, stored, vocabulary_dir, digest, share_texts, segment_bytes)
     (results.drop("content") if dry_run else results).write.parquet(staging)
     job = Job(spark.read.parquet(staging), options)
 

@@ -266,6 +266,12 @@ ORACLES["checksum"] = """
 SELECT d.doc_id, sha256(d.text) AS sha256, coalesce(l.quality = 0, false) AS differs
 FROM documents d LEFT JOIN labels l USING (doc_id)"""
 
+ORACLES["redact_segments"] = ORACLES["redact_all_edges"]
+ORACLES["chain_segments"] = f"""
+WITH {_SCANNED}, done AS (
+  SELECT project, rel_path, {_masked(_redacted(_minified('content', 'ext')))} AS content FROM written)
+SELECT project, rel_path, content, {_tokens('content')} AS n_tokens FROM done"""
+
 # -- Python code ------------------------------------------------------------
 
 _OUTLINE = _fill([

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names, pycode, text, tokens
-from ..operators import assembly, catalogue, costing, counters, filtering, reuse, shared_text, tree
+from ..operators import assembly, catalogue, costing, counters, filtering, reuse, segments, shared_text, tree
 from ..scale import shared_dir, stored
 from ..sources.corpus import from_table
 from ..streaming import changes, ingest
@@ -291,6 +291,21 @@ def chain_skeleton(spark, sf):
     return results.where("status = 'ok'").select(*KEY, "content")
 
 
+@register
+def redact_segments(spark, sf):
+    """All patterns over texts that are cut at every line end."""
+    edges = inputs.edge_texts(spark, sf).select("doc_id", "text").withColumn("ext", F.lit(""))
+    options = OPTIONS.with_(enable_sanitizer=True)
+    return segments.transform_segmented(edges, options, "text", size=1).drop("ext")
+
+
+@register
+def chain_segments(spark, sf):
+    """A run's text steps, every text above 256 bytes in segments."""
+    results = job.process(inputs.files(spark, sf, with_text=True), CHAIN, segment_bytes=256)
+    return results.where("status = 'ok'").select(*KEY, "content", "n_tokens")
+
+
 @register
 def csv_list(spark, sf):
     listed = F.concat(F.lit(" ."), "lang", F.lit(" , ,"), "source", F.lit(",,\tx "), F.col("doc_id").cast("string"), F.lit(" "))
