@@ -21,7 +21,7 @@ from . import publish
 def process(
     files: DataFrame,
     options: JobOptions,
-    cache: DataFrame | None = None,
+    cache: reuse.Stored | None = None,
     vocabulary_dir: str | None = None,
     digest: str = "content",
     share_texts: bool = False,
@@ -49,7 +49,7 @@ def process(
         df = df.withColumn("content", F.when(F.col("taken"), text))
         return reuse.with_fingerprint(df, options, digest)
 
-    if cache is None:
+    if cache is None or cache == []:
         found, rest = None, finish(marked)
     else:
         found, rest = reuse.split(marked, cache, finish)
@@ -217,7 +217,7 @@ def run(
                       dropped_patterns=dropped)
 
     method = token_method(options.target_model, vocabulary_dir)
-    stored = cache.read(options, method) if cache is not None else None
+    stored = cache.tables(options, method) if cache is not None else None
     staging = f"{shared_dir(spark).rstrip('/')}/results-{uuid.uuid4().hex}"
     results = process(files, options, stored, vocabulary_dir, digest, share_texts, segment_bytes)
     (results.drop("content") if dry_run else results).write.parquet(staging)

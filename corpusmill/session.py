@@ -9,6 +9,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # A union that claims its children's partitioning can split a key over tasks.
+    "spark.sql.unionOutputPartitioning": "false",
     # Rows are whole files, so a read split of 64 MB is already plenty of work.
     "spark.sql.files.maxPartitionBytes": str(64 * 1024 * 1024),
 }

@@ -76,6 +76,19 @@ def test_ties_come_out_once(spark):
     assert sorted((r.fingerprint, r.content) for r in reuse.newest(cache).collect()) == [("k1", "a"), ("k2", "x")]
 
 
+def test_several_tables_are_one(spark):
+    """Ranks and ties are settled across tables, not in each of them."""
+    table = lambda *rows: spark.createDataFrame(list(rows), CACHE)
+    tables = [table(stored_row("k1", "old"), stored_row("k2", "b"), stored_row("k4")),
+              table(stored_row("k1", "new", day=1), stored_row("k2", "a")), table(), table(stored_row("k3", "c"), stored_row("k2", "b"))]
+    expected = {"k1": "new", "k2": "a", "k3": "c"}
+    rows = reuse.newest(tables).collect()
+    assert len(rows) == 4 and {r.fingerprint: r.content for r in rows} == {**expected, "k4": "text"}
+    files = spark.createDataFrame([(f"k{i}", "p", f"{i}.py", "raw") for i in (1, 2, 3, 5)], "fingerprint string, project string, rel_path string, content string")
+    assert sorted((r.rel_path, r.content) for r in reuse.hits(files, tables).collect()) == [("1.py", "new"), ("2.py", "a"), ("3.py", "c")]
+    assert [r.rel_path for r in reuse.misses(files, tables).collect()] == ["5.py"]
+
+
 def test_twice_the_same_path(spark):
     """A hit and a miss of one path each come out once."""
     files = spark.createDataFrame(
@@ -126,23 +139,94 @@ def test_table_life_cycle(spark, tmp_path):
     assert cache.read(options).count() == 1
 
 
-def test_unfinished_versions_are_ignored(spark, tmp_path):
+def folder_of(tmp_path, cache):
+    return tmp_path / "cache" / cache._key(JobOptions(), "heuristic")
+
+
+def test_unfinished_generations_are_ignored(spark, tmp_path):
     options = JobOptions()
     cache = reuse.ResultCache(spark, str(tmp_path / "cache"), buckets=2)
     cache.append(spark.createDataFrame([stored_row("k1")], CACHE), options)
-    (tmp_path / "cache" / cache._key(options, "heuristic") / "v2").mkdir()
+    folder = folder_of(tmp_path, cache)
+    # Runs stopped while they wrote rows, before their manifest, and while they wrote that.
+    (folder / ("g" + "0" * 32)).mkdir()
+    cache._write(spark.createDataFrame([stored_row("k2")], CACHE), folder.name)
+    (folder / ("_draft-" + "0" * 32)).write_text("g" + "0" * 32 + "\n")
+    assert cache.read(options).count() == 1
+    cache.append(spark.createDataFrame([stored_row("k3")], CACHE), options)
+    assert sorted(r.fingerprint for r in cache.read(options).collect()) == ["k1", "k3"]
+    assert (folder / ("g" + "0" * 32)).exists()
+
+
+def test_files_stay_few(spark, tmp_path):
+    """Twenty runs: the newest rows are there, in a bounded number of files and folders."""
+    options = JobOptions()
+    cache = reuse.ResultCache(spark, str(tmp_path / "cache"), buckets=2, merge_at=3)
+    folder, written = folder_of(tmp_path, cache), 0
+    for run in range(20):
+        rows = [stored_row(f"k{run}", "x" * 50), stored_row("again", f"run {run}", day=run)]
+        cache.append(spark.createDataFrame(rows, CACHE), options)
+        named = cache.generations(options)
+        assert len(named) <= 2 * 3  # two of a size, in the three sizes that these rows can reach
+        assert len(list(folder.glob("g*/*.parquet"))) <= 2 * (len(named) + 4)
+        assert len(list(folder.glob("manifest-*"))) == min(run + 1, 2)
+    rows = {r.fingerprint: r.content for r in reuse.newest(cache.read(options)).collect()}
+    assert rows == {f"k{run}": "x" * 50 for run in range(20)} | {"again": "run 19"}
+    assert cache.read(options).where("fingerprint = 'again'").count() <= len(named)
+
+
+def test_two_writers(spark, tmp_path, monkeypatch):
+    """What another run commits between listing and writing a manifest is not lost."""
+    options = JobOptions()
+    first = reuse.ResultCache(spark, str(tmp_path / "cache"), buckets=2)
+    second = reuse.ResultCache(spark, str(tmp_path / "cache"), buckets=2)
+    config_hash = folder_of(tmp_path, first).name
+    names = [first._write(spark.createDataFrame([stored_row(f"k{i}")], CACHE), config_hash) for i in range(3)]
+    first._commit(config_hash, names[:1])
+    listed, calls = first._children, []
+
+    def children(folder):
+        found = listed(folder)
+        if not calls and any(n.startswith("manifest-") for n in found):
+            calls.append(second._commit(config_hash, names[1:2]))
+        return found
+
+    monkeypatch.setattr(first, "_children", children)
+    assert first._commit(config_hash, names[2:]) and calls == [True]
+    assert sorted(r.fingerprint for r in first.read(options).collect()) == ["k0", "k1", "k2"]
+    # A merge of what another one has merged already is given up.
+    assert second._commit(config_hash, ["g" + "1" * 32], names[:2])
+    assert not first._commit(config_hash, ["g" + "2" * 32], names[:1])
+
+
+def test_a_run_without_results_adds_no_generation(spark, tmp_path):
+    cache = reuse.ResultCache(spark, str(tmp_path / "cache"), buckets=2)
+    cache.append(spark.createDataFrame([], CACHE), JobOptions())
+    assert cache.generations(JobOptions()) == [] and cache.read(JobOptions()) is None
+
+
+def test_a_table_without_manifest_is_taken_over(spark, tmp_path, monkeypatch):
+    options = JobOptions()
+    cache = reuse.ResultCache(spark, str(tmp_path / "cache"), buckets=2)
+    folder = folder_of(tmp_path, cache)
+    (folder / cache._write(spark.createDataFrame([stored_row("k1")], CACHE), folder.name)).rename(folder / "v2")
+    (folder / "v3").mkdir()
     assert cache.read(options).count() == 1
+    cache.append(spark.createDataFrame([stored_row("k2")], CACHE), options)
+    assert cache.read(options).count() == 2 and cache.generations(options)[0].endswith("/v2")
 
 
 def test_lookup_leaves_stored_text_in_place(spark, tmp_path):
     options = JobOptions()
     cache = reuse.ResultCache(spark, str(tmp_path / "cache"), buckets=4)
-    cache.append(spark.createDataFrame([stored_row(f"k{i}") for i in range(40)], CACHE), options)
+    for part in range(2):
+        cache.append(spark.createDataFrame([stored_row(f"k{i}") for i in range(part, 40, 2)], CACHE), options)
+    assert len(cache.generations(options)) == 2
     keys = spark.createDataFrame([(f"k{i}", "p", f"{i}.py") for i in range(20)], "fingerprint string, project string, rel_path string")
     limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        found = reuse.hits(keys, cache.read(options))
+        found = reuse.hits(keys, cache.tables(options))
         moved, plan = moved_columns(found), found._jdf.queryExecution().executedPlan().toString()
         assert found.count() == 20
     finally:
