@@ -421,6 +421,10 @@ current_files AS (SELECT *, {_print('mtime_us', options=options)} AS fingerprint
 ORACLES["cache_hits"] = f"""
 WITH {_FILES}, {_cache()} SELECT f.project, f.rel_path, c.content, c.n_tokens
 FROM current_files f JOIN cache c USING (fingerprint)"""
+ORACLES["cache_generations"] = f"""
+WITH {_FILES}, {_cache()} SELECT f.project, f.rel_path,
+  CASE WHEN c.n_tokens % 2 = 1 THEN 'again ' ELSE '' END || c.content AS content, c.n_tokens
+FROM current_files f JOIN cache c USING (fingerprint)"""
 ORACLES["cache_misses"] = f"""
 WITH {_FILES}, {_cache()} SELECT project, rel_path, fingerprint FROM current_files
 WHERE fingerprint NOT IN (SELECT fingerprint FROM cache)"""

@@ -497,6 +497,21 @@ def cache_misses(spark, sf):
     return reuse.misses(_current(spark, sf), inputs.earlier_results(spark, sf)).select(*KEY, "fingerprint")
 
 
+@register
+def cache_generations(spark, sf):
+    """Hits in a cache that four runs wrote; the last one replaced results with odd counts."""
+    cache = reuse.ResultCache(spark, f"{shared_dir(spark)}/cache-{uuid.uuid4().hex}", buckets=8, merge_at=3)
+    earlier = stored(inputs.earlier_results(spark, sf))
+    run = F.pmod(F.crc32("fingerprint"), F.lit(3))
+    for number in range(3):
+        cache.append(earlier.where(run == number), OPTIONS)
+    again = earlier.where("n_tokens % 2 = 1").withColumns({
+        "content": F.concat(F.lit("again "), "content"), "created_at": F.col("created_at") + F.expr("interval 1 day"),
+    })
+    cache.append(again, OPTIONS)
+    return reuse.hits(_current(spark, sf), cache.tables(OPTIONS)).select(*KEY, "content", "n_tokens")
+
+
 @register
 def shared_copies(spark, sf):
     """How many files hold the same text, told at each of them."""

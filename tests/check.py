@@ -65,7 +65,8 @@ def main() -> int:
     from corpusmill.session import local_session
 
     sf_dir, wanted = sys.argv[1], sys.argv[2:] or list(QUERIES)
-    spark = local_session()
+    # With the default that the sessions of others have.
+    spark = local_session(**{"spark.sql.unionOutputPartitioning": "true"})
     failed = 0
     for name in wanted:
         start = time.time()

@@ -16,6 +16,8 @@ def spark(tmp_path_factory):
         4, "tests",
         # Many tiny jobs: compiling each stage would take longer than running it.
         **{"spark.sql.shuffle.partitions": "4", "spark.sql.codegen.wholeStage": "false",
+           # As in sessions that others make: no plan may rely on this being off.
+           "spark.sql.unionOutputPartitioning": "true",
            "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared"))},
     )
     yield session
