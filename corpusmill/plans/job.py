@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -15,7 +14,7 @@ from ..functions.text import transform_column
 from ..functions.tokens import model_tokens, token_method
 from ..operators import assembly, counters, filtering, reuse, segments, shared_text, tree
 from ..options import JobOptions
-from ..scale import shared_dir
+from ..scale import new_folder, remove, tables_in
 from . import publish
 
 def process(
@@ -93,10 +92,19 @@ def _result(df: DataFrame, cached: bool) -> DataFrame:
 
 @dataclass
 class Job:
-    """The frames of a run, all derived from one results table."""
+    """The frames of a run, all derived from one results table.
+
+    ``place`` is the folder of that table and of those that frames need; it
+    stays until :meth:`close`, after which the frames cannot be read any more.
+    """
 
     results: DataFrame
     options: JobOptions
+    place: str | None = None
+
+    def close(self) -> None:
+        if self.place is not None:
+            remove(self.results.sparkSession, self.place)
 
     @property
     def written(self) -> DataFrame:
@@ -119,7 +127,8 @@ class Job:
 
     @cached_property
     def tree(self) -> DataFrame:
-        return tree.tree_lines(self.tree_files)
+        with tables_in(self.place):
+            return tree.tree_lines(self.tree_files)
 
     @property
     def categories(self) -> DataFrame:
@@ -159,7 +168,8 @@ class Job:
     @property
     def map(self) -> DataFrame:
         """Character offset and line range of every block of the unified document."""
-        return assembly.document_map(self.sizes)
+        with tables_in(self.place):
+            return assembly.document_map(self.sizes)
 
     @property
     def counters(self) -> DataFrame:
@@ -173,7 +183,11 @@ class Job:
 
 @dataclass
 class Report:
-    """What a run did.  ``summary`` has one row per project."""
+    """What a run did.  ``summary`` has one row per project.
+
+    :meth:`close` deletes the run's intermediate tables, which ``summary`` and
+    ``job`` read; outputs and cache stay.
+    """
 
     ok: bool
     output_path: str
@@ -185,6 +199,10 @@ class Report:
     summary: DataFrame | None = None
     job: Job | None = None
 
+    def close(self) -> None:
+        if self.job is not None:
+            self.job.close()
+
 
 def run(
     files: DataFrame,
@@ -203,6 +221,7 @@ def run(
     The results are written down once, in the shared folder; every document,
     tree and counter is then derived from that table.  A dry run computes the
     same summary; it writes no documents, and its results keep sizes and no text.
+    Intermediate tables stay until ``Report.close()``; a run that fails leaves none.
     """
     spark = files.sparkSession
     out = options.output_path()
@@ -216,25 +235,31 @@ def run(
         return Report(False, out, "output files exist and overwrite is off", existing, planned=planned,
                       dropped_patterns=dropped)
 
-    method = token_method(options.target_model, vocabulary_dir)
-    stored = cache.tables(options, method) if cache is not None else None
-    staging = f"{shared_dir(spark).rstrip('/')}/results-{uuid.uuid4().hex}"
-    results = process(files, options, stored, vocabulary_dir, digest, share_texts, segment_bytes)
-    (results.drop("content") if dry_run else results).write.parquet(staging)
-    job = Job(spark.read.parquet(staging), options)
-
-    outputs: list[str] = []
-    if not dry_run:
-        outputs = _write(job, out)
-        if cache is not None:
-            fresh = job.results.where("status = 'ok' and not cached").select(
-                "fingerprint", "project", "rel_path", "content", "n_tokens",
-                F.current_timestamp().alias("created_at"),
-            )
-            cache.append(fresh, options, method)
+    place = new_folder(spark)
+    try:
+        with tables_in(place):
+            method = token_method(options.target_model, vocabulary_dir)
+            known = cache.tables(options, method) if cache is not None else None
+            results = process(files, options, known, vocabulary_dir, digest, share_texts, segment_bytes)
+            (results.drop("content") if dry_run else results).write.parquet(f"{place}/results")
+            job = Job(spark.read.parquet(f"{place}/results"), options, place)
+
+            outputs: list[str] = []
+            if not dry_run:
+                outputs = _write(job, out)
+                if cache is not None:
+                    fresh = job.results.where("status = 'ok' and not cached").select(
+                        "fingerprint", "project", "rel_path", "content", "n_tokens",
+                        F.current_timestamp().alias("created_at"),
+                    )
+                    cache.append(fresh, options, method)
+            summary = job.summary(dry_run)
+    except BaseException:
+        remove(spark, place)
+        raise
     return Report(
         True, out, existing=existing, outputs=outputs,
-        planned=planned if dry_run else [], dropped_patterns=dropped, summary=job.summary(dry_run), job=job,
+        planned=planned if dry_run else [], dropped_patterns=dropped, summary=summary, job=job,
     )
 
 

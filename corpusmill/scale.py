@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,6 +14,8 @@ from pyspark.sql import functions as F
 BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
 HOT_KEY_ROWS = 1_000_000
 
+_FOLDER: ContextVar[str | None] = ContextVar("corpusmill_folder", default=None)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
@@ -33,13 +38,35 @@ def shared_dir(spark: SparkSession) -> str:
     return current
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A name for a folder of its own in the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/run-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def tables_in(folder: str | None) -> Iterator[None]:
+    """Inside, :func:`stored` writes to ``folder``, so that :func:`remove` can clear it all."""
+    token = _FOLDER.set(folder)
+    try:
+        yield
+    finally:
+        _FOLDER.reset(token)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of :func:`new_folder` with all it holds, if it is there."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and go on from there.
 
     Used where several later steps need the same small table: the work above is
     done once, survives lost executors, and the planner knows the size.
     """
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    folder = _FOLDER.get() or shared_dir(df.sparkSession)
+    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

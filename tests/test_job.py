@@ -4,6 +4,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from corpusmill import scale
 from corpusmill.operators import assembly, reuse
 from corpusmill.options import JobOptions
 from corpusmill.plans import job, publish
@@ -286,3 +287,34 @@ def test_run_sorts_text_once(spark, files_of, tmp_path, monkeypatch):
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
     assert len(report.outputs) == 5 and not any("content" in plan(blocks) for blocks in own.values())
     assert plan(shared).count("FileScan") == 1 and "Exchange" not in plan(shared)
+
+
+def tables_of_runs(spark):
+    folder = scale.shared_dir(spark).removeprefix("file:")
+    return sorted(n for n in os.listdir(folder) if n.startswith(("run-", "table-")))
+
+
+def test_closing_leaves_no_tables(spark, files_of, tmp_path):
+    options = JobOptions(output_base_dir=str(tmp_path / "out"), enable_sanitizer=True)
+    cache = reuse.ResultCache(spark, str(tmp_path / "cache"), buckets=2)
+    files, before = files_of(APP), tables_of_runs(spark)
+    for run in range(2):
+        report = job.run(files, options, overwrite=True, cache=cache, share_texts=True, segment_bytes=16)
+        assert report.summary.first().cached == 5 * run and report.job.map.count() > 5
+        assert len(tables_of_runs(spark)) == len(before) + 1
+        report.close()
+        report.close()
+        assert tables_of_runs(spark) == before
+    text = document(f"{report.output_path}/transcription_modules")
+    assert "[[REDACTED_SECRET]]" in text and cache.read(options).count() == 5
+
+
+def test_a_failed_run_leaves_no_tables(spark, files_of, tmp_path, monkeypatch):
+    def broken(*_):
+        raise OSError("no space")
+
+    before = tables_of_runs(spark)
+    monkeypatch.setattr(publish, "publish", broken)
+    with pytest.raises(OSError):
+        job.run(files_of(APP), JobOptions(output_base_dir=str(tmp_path / "out")))
+    assert tables_of_runs(spark) == before
