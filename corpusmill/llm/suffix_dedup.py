@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scale import small_side, spread_lookup, stored
-from .texts import Texts, mixed, pieces
+from .texts import Texts, mixed, pieces, release, released
 
 SPAN = 50
 GRAM = 24
@@ -44,10 +44,13 @@ _U = np.uint64
 _BYTES = mixed((np.arange(256, dtype=np.uint64) + _U(77)) * _U(0x9E3779B97F4A7C15))
 #: A run's row as one string: bucket, suffix, its length, bytes before (nearest first), one more than their number.
 _WIDTH = 4 + SPAN + 1 + BEFORE + 1
+#: Numbers travel as bytes too: lists would pass the JVM element by element.
 _RUNS = (
     "bucket bigint, shared binary, sizes binary, tails binary, before_sizes binary, befores binary, "
-    "ids array<bigint>, tags array<bigint>, counts array<bigint>, places array<bigint>"
+    "ids binary, tags binary, counts binary, places binary"
 )
+#: Bytes of a run's rows that leave the worker at once, one row at least.
+BATCH_BYTES = 2 << 20
 _SPANS = "id bigint, tag bigint, start bigint, stop bigint"
 
 
@@ -117,7 +120,7 @@ def _anchored(docs: DataFrame, work, schema: str) -> DataFrame:
                 texts = Texts(piece.column(2))
                 yield from work(piece, texts, *anchors(texts.data, texts.offsets))
 
-    return docs.select("id", "tag", "text").mapInArrow(run, schema)
+    return docs.select("id", "tag", "text").mapInArrow(released(run), schema)
 
 
 def _gram_counts(docs: DataFrame) -> DataFrame:
@@ -185,12 +188,19 @@ def _rows(texts: Texts, at: np.ndarray, hashes: np.ndarray, most: np.ndarray, bu
     before = np.minimum(np.minimum(at - texts.offsets[owner], BEFORE), most)
     out = np.zeros((len(at), _WIDTH), np.uint8)
     out[:, :4] = (hashes % _U(buckets)).astype(">u4").view(np.uint8).reshape(-1, 4)
-    last = len(texts.data) - 1
-    ahead = np.arange(SPAN)
-    out[:, 4 : 4 + SPAN] = np.where(ahead < size[:, None], texts.data[np.minimum(at[:, None] + ahead, last)], 0)
+    if not len(at):
+        return out
+    # Windows on the bytes around the anchors: no index for each byte.
+    low, high = int(at.min()) - BEFORE, int(at.max()) + SPAN
+    near = np.zeros(high - low, np.uint8)
+    own = texts.data[max(low, 0) : high]
+    near[max(-low, 0) : max(-low, 0) + len(own)] = own
+    windows = np.lib.stride_tricks.sliding_window_view
+    out[:, 4 : 4 + SPAN] = windows(near, SPAN)[at - low]
+    out[:, 4 : 4 + SPAN] *= np.arange(SPAN) < size[:, None]
     out[:, 4 + SPAN] = size
-    back = np.arange(BEFORE)
-    out[:, 5 + SPAN : -1] = np.where(back < before[:, None], texts.data[np.maximum(at[:, None] - 1 - back, 0)], 0)
+    out[:, 5 + SPAN : -1] = windows(near, BEFORE)[at - low - BEFORE, ::-1]
+    out[:, 5 + SPAN : -1] *= np.arange(BEFORE) < before[:, None]
     out[:, -1] = before + 1
     return out
 
@@ -211,10 +221,14 @@ def _binary(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(edge), pa.py_buffer(np.ascontiguousarray(flat))])
 
 
-def _lists(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
-    edge = np.zeros(len(sizes) + 1, np.int32)
-    np.cumsum(sizes, out=edge[1:])
-    return pa.ListArray.from_arrays(pa.array(edge), pa.array(flat.astype(np.int64)))
+def _longs(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    return _binary(flat.astype("<i8"), np.asarray(sizes) * 8)
+
+
+def _numbers(column: pa.ChunkedArray, rows: np.ndarray) -> np.ndarray:
+    """The numbers that the given rows hold, one after the other."""
+    parts = [np.frombuffer(column[int(r)].as_buffer(), "<i8") for r in rows]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
 
 def _sorted_run(rows: np.ndarray, ids: np.ndarray, tags: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
@@ -262,13 +276,18 @@ def _sorted_run(rows: np.ndarray, ids: np.ndarray, tags: np.ndarray, places: np.
             # The spans' row: ids, tags, starts and stops in the last four columns.
             flat = np.concatenate([flat, spans[k - 6]]) if k > 5 else flat
             sizes = np.append(sizes, n_spans if k > 5 else 0)
-        arrays.append(_lists(flat, sizes) if k > 5 else _binary(flat.astype(np.uint8), sizes))
+        arrays.append(_longs(flat, sizes) if k > 5 else _binary(flat.astype(np.uint8), sizes))
     return pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in _RUNS.split(", ")])
 
 
 def _runs(docs: DataFrame, wanted, hot: np.ndarray, buckets: int, run_entries: int) -> DataFrame:
     """Sorted runs of the suffixes at the anchors that ``wanted`` lets through."""
 
+    def finished(held) -> list[pa.RecordBatch]:
+        batch = _sorted_run(*[np.concatenate(x) for x in zip(*held)])
+        step = max(1, batch.num_rows * BATCH_BYTES // max(1, batch.nbytes))
+        return [batch.slice(lo, step) for lo in range(0, batch.num_rows, step)]
+
     def run(batches):
         held, size = [], 0
         for batch in batches:
@@ -277,20 +296,24 @@ def _runs(docs: DataFrame, wanted, hot: np.ndarray, buckets: int, run_entries: i
                 at, h = wanted(piece, texts)
                 for lo in range(0, len(at), run_entries):
                     part, part_h, most = _contexts(texts, at[lo : lo + run_entries], h[lo : lo + run_entries], hot)
-                    for a in range(0, len(part), run_entries):
-                        p = part[a : a + run_entries]
+                    a = 0
+                    while a < len(part):
+                        # No more than a run has room for.
+                        b = a + run_entries - size
+                        p = part[a:b]
                         owner = texts.owner(p)
-                        rows = _rows(texts, p, part_h[a : a + run_entries], most[a : a + run_entries], buckets)
+                        rows = _rows(texts, p, part_h[a:b], most[a:b], buckets)
                         own = [piece.column(c).to_numpy()[owner] for c in (0, 1)]
                         held.append((rows, *own, p - texts.offsets[owner]))
                         size += len(p)
+                        a = b
                         if size >= run_entries:
-                            yield _sorted_run(*[np.concatenate(x) for x in zip(*held)])
+                            yield from finished(held)
                             held, size = [], 0
         if size:
-            yield _sorted_run(*[np.concatenate(x) for x in zip(*held)])
+            yield from finished(held)
 
-    return docs.mapInArrow(run, _RUNS)
+    return docs.mapInArrow(released(run), _RUNS)
 
 
 # -- the merge --------------------------------------------------------------------
@@ -352,13 +375,13 @@ def merge_runs(runs: list[tuple[list[bytes], list[int]]]) -> tuple[list[int], li
     return out_run, out_place, out_shared
 
 
-def _decoded(row: dict) -> tuple[list[bytes], list[int]]:
-    strings, last, at, tails = [], b"", 0, row["tails"]
-    for same, size in zip(row["shared"], row["sizes"]):
+def _decoded(shared: bytes, sizes: bytes, tails: bytes) -> tuple[list[bytes], list[int]]:
+    strings, last, at = [], b"", 0
+    for same, size in zip(shared, sizes):
         last = last[:same] + tails[at : at + size - same]
         at += size - same
         strings.append(last)
-    return strings, list(row["shared"])
+    return strings, list(shared)
 
 
 def _reach(shared: np.ndarray, sizes: np.ndarray, before: np.ndarray, befores: np.ndarray, ids: np.ndarray):
@@ -387,28 +410,32 @@ def _reach(shared: np.ndarray, sizes: np.ndarray, before: np.ndarray, befores: n
 
 def _merged(table: pa.Table) -> pa.Table:
     """The spans that a bucket's runs settle."""
-    rows = table.to_pylist()
-    settled = [r for r in rows if r["bucket"] < 0]
-    out = [[np.array(r[c], np.int64) for r in settled] for c in ("ids", "tags", "counts", "places")]
-    rows = [r for r in rows if r["bucket"] >= 0]
-    if rows:
-        run, place, shared = merge_runs([_decoded(r) for r in rows])
-        n = [len(r["ids"]) for r in rows]
+    bucket = table.column("bucket").to_numpy()
+    settled, rows = np.flatnonzero(bucket < 0), np.flatnonzero(bucket >= 0)
+    numbers = ("ids", "tags", "counts", "places")
+    out = [[_numbers(table.column(c), settled)] for c in numbers]
+    if len(rows):
+        part = {c: [table.column(c)[int(r)].as_py() for r in rows] for c in ("shared", "sizes", "tails", "before_sizes", "befores")}
+        run, place, shared = merge_runs([_decoded(*x) for x in zip(part["shared"], part["sizes"], part["tails"])])
+        n = [len(x) for x in part["sizes"]]
         entry = (np.cumsum(n) - n)[np.array(run)] + np.array(place)
-        whole = {c: np.concatenate([np.array(r[c], np.int64) for r in rows]) for c in ("ids", "tags", "counts", "places")}
-        sizes, before = (np.frombuffer(b"".join(r[c] for r in rows), np.uint8).astype(np.int64) for c in ("sizes", "before_sizes"))
+        whole = {c: _numbers(table.column(c), rows) for c in numbers}
+        sizes, before = (np.frombuffer(b"".join(part[c]), np.uint8).astype(np.int64) for c in ("sizes", "before_sizes"))
         befores = np.zeros((len(before), BEFORE), np.uint8)
-        befores[np.arange(BEFORE) < before[:, None]] = np.frombuffer(b"".join(r["befores"] for r in rows), np.uint8)
-        hit, most, least = _reach(np.array(shared), sizes[entry], before[entry], befores[entry], whole["ids"][entry])
+        befores[np.arange(BEFORE) < before[:, None]] = np.frombuffer(b"".join(part["befores"]), np.uint8)
+        shared = np.array(shared)
+        del run, place, part
+        hit, most, least = _reach(shared, sizes[entry], before[entry], befores[entry], whole["ids"][entry])
         most_of, least_of = np.full(len(entry), -1), np.zeros(len(entry), np.int64)
         most_of[entry[hit]], least_of[entry[hit]] = most[hit], least[hit]
         # Every place of an entry that was met.
         of = np.repeat(np.arange(len(entry)), whole["counts"])
         met = most_of[of] >= 0
         of, at = of[met], whole["places"][met]
-        for part, values in zip(out, (whole["ids"][of], whole["tags"][of], at - most_of[of], at - least_of[of] + SPAN)):
-            part.append(values)
-    columns = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
+        for found, values in zip(out, (whole["ids"][of], whole["tags"][of], at - most_of[of], at - least_of[of] + SPAN)):
+            found.append(values)
+        release()
+    columns = [np.concatenate(x) for x in out]
     return pa.table(dict(zip(("id", "tag", "start", "stop"), columns)))
 
 
@@ -525,5 +552,5 @@ def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             for piece in pieces(batch, "text"):
                 yield _cut(piece)
 
-    out = found.mapInArrow(run, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    out = found.mapInArrow(released(run), "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
     return out.withColumnRenamed("id", id_col)

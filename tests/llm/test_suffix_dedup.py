@@ -3,8 +3,10 @@
 import hashlib
 import os
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from check import compare
@@ -100,3 +102,38 @@ def test_blocks_do_not_change_anchors(monkeypatch):
 def test_suffix_query(spark):
     df = registered.QUERIES["op12_suffix_merge"](spark, TINY)
     assert compare(df, TINY, registered.ORACLES["op12_suffix_merge"]) == []
+
+
+def test_suffixes_are_taken_without_an_index_for_each_byte():
+    """A worker's memory: the rows of a run, not eight bytes of index for each of theirs."""
+    texts = suffix_dedup.Texts(pa.array([random.Random(3).randbytes(60_000).hex()] * 2))
+    at = np.concatenate([np.arange(50_000), np.arange(120_000, 170_000)])
+    tracemalloc.start()
+    rows = suffix_dedup._rows(texts, at, at.astype(np.uint64), np.full(len(at), suffix_dedup.BEFORE), 7)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * rows.nbytes
+    whole = texts.data.tobytes()
+    for k in (0, 1, 25, 26, 49_999, 50_000, 50_010, 99_999):
+        p, start = int(at[k]), 0 if at[k] < 120_000 else 120_000
+        back = whole[max(start, p - suffix_dedup.BEFORE) : p][::-1]
+        assert rows[k].tobytes() == (p % 7).to_bytes(4, "big") + whole[p : p + 50] + b"2" + back.ljust(suffix_dedup.BEFORE, b"\0") + bytes([len(back) + 1])
+
+
+def test_runs_and_their_batches_are_bounded(monkeypatch):
+    class Docs:
+        def mapInArrow(self, run, schema):
+            return run
+
+    monkeypatch.setattr(suffix_dedup, "BATCH_BYTES", 1, raising=False)
+    text = random.Random(4).randbytes(4000).hex()
+    rows = pa.record_batch({"id": list(range(6)), "tag": list(range(6)), "text": [text[k:] for k in range(6)]})
+
+    def wanted(piece, texts):
+        return suffix_dedup.anchors(texts.data, texts.offsets)
+
+    batches = list(suffix_dedup._runs(Docs(), wanted, np.zeros(0, np.int64), 3, 500)([rows, rows.slice(2)]))
+    assert len(batches) > 20 and all(b.num_rows == 1 for b in batches)
+    assert all(len(b.column("sizes")[0].as_py()) <= 500 for b in batches)
+    # Spans that a run settles are as many as its entries at most.
+    assert all(len(b.column("ids")[0].as_py()) <= 500 * 8 for b in batches)
