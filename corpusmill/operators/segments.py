@@ -117,7 +117,7 @@ def transform_segmented(
     whole = steps.transform_column(df.where(~long), options, name, ext)
 
     same = ["_digest", "_ext"]
-    found = df.where(long).withColumns({"_digest": F.sha2(name, 256), "_ext": F.coalesce(ext, F.lit(""))})
+    found = df.where(long).withColumns({"_digest": F.unhex(F.sha2(name, 256)), "_ext": F.coalesce(ext, F.lit(""))})
     pieces = stored(
         found.select(*same, F.posexplode(line_segments(F.col(name), size)).alias("_nth", "_part"))
         # Every copy of a text has the same pieces: one of each goes on.
